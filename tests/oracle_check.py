@@ -16,7 +16,7 @@ def make_spark(extra: dict | None = None):
     from pyspark.sql import SparkSession
     b = (SparkSession.builder.master("local[8]").appName("stamina-check")
          .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
-         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC"))
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
