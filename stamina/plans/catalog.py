@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from stamina.plans import q_checks, q_runs, q_survival  # noqa: F401
+from stamina.plans import q_checks, q_runs, q_snapshots, q_survival  # noqa: F401
 from stamina.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
