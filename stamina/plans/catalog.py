@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from stamina.plans import q_checks, q_runs, q_snapshots, q_survival, q_traces  # noqa: F401
+from stamina.plans import q_checks, q_plans, q_runs, q_snapshots, q_survival, q_text, q_traces  # noqa: F401
 from stamina.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
