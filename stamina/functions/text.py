@@ -35,28 +35,28 @@ def _trim_zeros(text: Column) -> Column:
 
 def four_digits(x: Column) -> Column:
     """Four significant digits without trailing zeros; scientific below 1e-4 and from 1e4 on."""
-    a = F.abs(x)
-    rounded = F.round(x, 0)
-    for limit, places in ((1e3, 1), (1e2, 2), (1e1, 3), (1.0, 4), (0.1, 5), (0.01, 6), (0.001, 7)):
-        rounded = F.when(a < limit, F.round(x, places)).otherwise(rounded)
-    e = F.floor(F.log10(a))
-    m = F.round(x / F.pow(F.lit(10.0), e), 3)
-    carry = F.abs(m) >= 10
-    m, e = F.when(carry, m / 10).otherwise(m), F.when(carry, e + 1).otherwise(e)
-    sci = F.concat(_trim_zeros(F.format_string("%.3f", m)), F.when(e < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(e)))
-    plain = _trim_zeros(F.format_string("%.7f", rounded))
-    return F.when((F.abs(rounded) >= 1e4) | ((a < 1e-4) & (x != 0)), sci).otherwise(plain)
+    parts = F.split(F.format_string("%.3e", x), "e")
+
+    def shape(p: Column) -> Column:
+        power = F.get(p, F.lit(1)).cast("int")
+        sci = F.concat(_trim_zeros(F.get(p, F.lit(0))), F.lit("e"), F.get(p, F.lit(1)))
+        plain = _trim_zeros(F.format_string("%.7f", F.concat_ws("e", p).cast("double")))
+        return F.when(power.between(-4, 3), plain).otherwise(sci)
+    # the one-element array names the split once instead of repeating it
+    return F.get(F.transform(F.array(parts), shape), F.lit(0))
 
 
 def si_format(value: Column, unit: Column) -> Column:
     """'3.3 nF': the prefix puts the mantissa in [1, 1000); null prints as '--'."""
-    mag = F.abs(value)
-    scale, prefix = F.lit(SI[0][0]), F.lit(SI[0][1])
-    for s, p in SI:
-        scale, prefix = F.when(mag >= s, s).otherwise(scale), F.when(mag >= s, p).otherwise(prefix)
-    scaled = F.concat(four_digits(value / scale), F.lit(" "), prefix, unit)
-    return (F.when(value.isNull(), "--").when(unit.isin(*UNSCALED_UNITS), F.rtrim(F.concat(four_digits(value), F.lit(" "), unit)))
-            .when(value == 0, F.concat(F.lit("0 "), unit)).otherwise(scaled))
+    def scaled(mag: Column) -> Column:
+        pick = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p")) for s, p in SI]), lambda e: mag >= e["s"])
+        best = F.coalesce(F.get(pick, F.size(pick) - 1), F.struct(F.lit(SI[0][0]).alias("s"), F.lit(SI[0][1]).alias("p")))
+        return best
+    best = scaled(F.abs(value))
+    plain = unit.isin(*UNSCALED_UNITS)
+    body = four_digits(F.when(plain, value).otherwise(value / best["s"]))
+    return (F.when(value.isNull(), "--").when(plain, F.rtrim(F.concat(body, F.lit(" "), unit)))
+            .when(value == 0, F.concat(F.lit("0 "), unit)).otherwise(F.concat(body, F.lit(" "), best["p"], unit)))
 
 
 def _mode_field(mode: Column, i: int) -> Column:
