@@ -17,20 +17,20 @@ def si_sql(v, unit):
     WHEN abs({v})>=1 THEN '' WHEN abs({v})>=1e-3 THEN 'm' WHEN abs({v})>=1e-6 THEN 'µ' WHEN abs({v})>=1e-9 THEN 'n' ELSE 'p' END||{unit} END"""
 
 
-@query("f_si_format", f"""SELECT event_id, {si_sql('v', 'u')} AS txt FROM (SELECT event_id, CASE WHEN event_id%17=0 THEN NULL WHEN event_id%19=0 THEN 0e0 ELSE value*pow(10e0, event_id%14-9) END AS v,
+@query("f_si_format", f"""SELECT event_id, {si_sql('v', 'u')} AS txt FROM (SELECT event_id, CASE WHEN event_id%17=0 THEN NULL WHEN event_id%19=0 THEN 0e0 ELSE value*1.0000003e0*pow(10e0, event_id%14-9) END AS v,
   ['F','Ω','','°'][event_id%4+1] AS u FROM events)""")
 def _(t):
     i = F.col("event_id")
-    v = F.when(i % 17 == 0, None).when(i % 19 == 0, 0.0).otherwise(F.col("value") * F.pow(F.lit(10.0), i % 14 - 9))
+    v = F.when(i % 17 == 0, None).when(i % 19 == 0, 0.0).otherwise(F.col("value") * 1.0000003 * F.pow(F.lit(10.0), i % 14 - 9))
     u = F.get(F.array(*[F.lit(x) for x in ("F", "Ω", "", "°")]), (i % 4).cast("int"))
     u = F.when(u.isin("", "°"), u).otherwise(u)
     return t("events").select(i, v.alias("v"), u.alias("u")).select("event_id", X.si_format(F.col("v"), F.col("u")).alias("txt"))
 
 
-@query("f_measurement_pair", f"""SELECT event_id, {si_sql('p', "'F'")} AS first, 'D: '||printf('%.4g',s)||'' AS second FROM (SELECT event_id, value*1e-9 AS p, value/1000 AS s FROM events)""".replace(
+@query("f_measurement_pair", f"""SELECT event_id, {si_sql('p', "'F'")} AS first, 'D: '||printf('%.4g',s)||'' AS second FROM (SELECT event_id, value*1.0000003e-9 AS p, value*1.0000003e0/1000 AS s FROM events)""".replace(
     "'D: '||printf('%.4g',s)||''", "rtrim('D: '||printf('%.4g',s))"))
 def _(t):
-    a, b = X.measurement_pair(F.lit("cpd"), F.col("value") * 1e-9, F.col("value") / 1000)
+    a, b = X.measurement_pair(F.lit("cpd"), F.col("value") * 1.0000003e-9, F.col("value") * 1.0000003 / 1000)
     return t("events").select("event_id", a.alias("first"), b.alias("second"))
 
 
@@ -45,9 +45,9 @@ def _(t):
     return t("pages").select("page_id", X.safe_name(F.col("url")).alias("txt"))
 
 
-@query("f_frame_name", oracle("""SELECT sample_id, 'run_s'||lpad(CAST(sample_id%60 AS VARCHAR),2,'0')||'_'||lpad(printf('%.2f',kv+0.0007e0),5,'0')||'kV_'||i_status||'.png' AS txt FROM telemetry""", "telemetry"))
+@query("f_frame_name", oracle("""SELECT sample_id, 'run_s'||lpad(CAST(sample_id%60 AS VARCHAR),2,'0')||'_'||lpad(printf('%.2f',kv+0.00003e0),5,'0')||'kV_'||i_status||'.png' AS txt FROM telemetry""", "telemetry"))
 def _(t):
-    return t.telemetry.select("sample_id", X.frame_name("run", F.col("sample_id") % 60, F.col("kv") + 0.0007, F.col("i_status")).alias("txt"))
+    return t.telemetry.select("sample_id", X.frame_name("run", F.col("sample_id") % 60, F.col("kv") + 0.00003, F.col("i_status")).alias("txt"))
 
 
 @query("f_capture_name", """SELECT event_id, regexp_replace(event_type||' x','[^A-Za-z0-9_-]','_','g')||'_'||lpad(CAST(event_id AS VARCHAR),4,'0')||'_'||strftime(ts,'%Y%m%d-%H%M%S')||
