@@ -114,8 +114,8 @@ def smooth(trace: DataFrame, keys: list[str], frame: str, disp: str) -> DataFram
             .result().withColumn("n_frames", F.col("n_frames") + 1))
 
 
-def pulses(trace: DataFrame, keys: list[str], frame: str, disp: str, fps: float = FPS) -> DataFrame:
-    """Pulses of every clip: onset, base, peak, t90, residual, recovery. No clip is collected.
+def pulse_measures(trace: DataFrame, keys: list[str], frame: str, disp: str, fps: float = FPS) -> DataFrame:
+    """Unrounded pulses of every clip: on, peak, base, t90, residual. No clip is collected.
 
     Up-crossings of 30 % of the clip maximum, thinned to one per two seconds; every pulse
     then owns the frames around it and is measured by aggregates over them.
@@ -144,7 +144,12 @@ def pulses(trace: DataFrame, keys: list[str], frame: str, disp: str, fps: float
         "stop": F.least(F.col("on") + peak_w, F.col("n_frames")), "nxt": F.coalesce("next_cross", "n_frames"),
         "walk_back": F.col("next_cross").isNotNull(), "base_or_on": F.lit(False),
         "in_base": (f >= F.greatest(F.col("lo"), F.col("on") - int(TAIL_S * fps))) & (f <= F.col("on"))})
-    return _pulse_rows(_measures(_measure(rows, pk, frame, fps), pk), pk, fps)
+    return _measures(_measure(rows, pk, frame, fps), pk)
+
+
+def pulses(trace: DataFrame, keys: list[str], frame: str, disp: str, fps: float = FPS) -> DataFrame:
+    """Pulses as reported: onset, base, peak, amplitude, t90, residual, recovered share."""
+    return _pulse_rows(pulse_measures(trace, keys, frame, disp, fps), [*keys, "cross"], fps)
 
 
 def windowed_measures(trace: DataFrame, onsets: DataFrame, keys: list[str], frame: str, disp: str,

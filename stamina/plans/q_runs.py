@@ -204,15 +204,17 @@ def _(t):
     return s.select("run_id", "sample_id", F.round("blind_s", 3).alias("blind_s"))
 
 
-@query("w8_timed_count", oracle(
-    """, a AS (SELECT *, CASE WHEN i_status='ok' THEN f_meas END AS f, lag(t_s) OVER w AS pt,
+TIMED = """, a AS (SELECT *, CASE WHEN i_status='ok' THEN f_meas END AS f, lag(t_s) OVER w AS pt,
       last_value(CASE WHEN i_status='ok' THEN f_meas END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lf,
       count(CASE WHEN i_status='ok' THEN 1 END) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS isl
       FROM telemetry WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
     b AS (SELECT *, min(CASE WHEN f IS NULL AND lf IS NOT NULL THEN t_s END) OVER (PARTITION BY run_id, isl) AS st FROM a),
     c AS (SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN t_s-st<=3600 THEN lf END AS used FROM b),
-    d AS (SELECT run_id, coalesce(sum(CASE WHEN t_s>pt THEN used*(t_s-pt) END),0) AS cy, bool_or(f IS NOT NULL AND NOT abs(f-3)/3<=0.02e0) AS mm FROM c GROUP BY run_id)
-    SELECT run_id, round(cy,3) AS cycles, mm AS mismatch, CAST(floor(round(cy,6)) AS BIGINT) AS credited FROM d""", "telemetry"))
+    d AS (SELECT run_id, coalesce(sum(CASE WHEN t_s>pt THEN used*(t_s-pt) END),0) AS cy, bool_or(f IS NOT NULL AND NOT abs(f-3)/3<=0.02e0) AS mm FROM c GROUP BY run_id)"""
+
+
+@query("w8_timed_count", oracle(
+    TIMED + " SELECT run_id, round(cy,3) AS cycles, mm AS mismatch, CAST(floor(round(cy,6)) AS BIGINT) AS credited FROM d", "telemetry"))
 def _(t):
     f = F.when(F.col("i_status") == "ok", F.col("f_meas"))
     return rounded(L.timed_count(t.telemetry, KEYS, ORDER, "t_s", f, F.lit(3.0), 3600.0), 3)

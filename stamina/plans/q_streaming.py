@@ -12,8 +12,8 @@ from stamina.streaming.engine import run_to_table, store_slices, telemetry_strea
 K, ORDER, SLICES = "run_id", ["t_s", "sample_id"], 3
 
 
-def replayed(t, df, ts="ts"):
-    path, schema = store_slices(df, ts, SLICES)
+def replayed(t, df, ts="ts", close_after=None):
+    path, schema = store_slices(df, ts, SLICES, close_after)
     return telemetry_stream(t.spark, path, schema, ts)
 
 
@@ -54,10 +54,14 @@ def _(t):
     return rounded(run(t, out), 3)
 
 
-@query("x5_stale_runs")
+@query("x5_stale_runs", oracle(
+    """, g AS (SELECT *, CASE WHEN t_s-lag(t_s) OVER w<7200 THEN 0 ELSE 1 END AS fresh FROM telemetry WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
+    h AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ses FROM g)
+    SELECT run_id, round(min(t_s),3) AS first_update, round(max(t_s)+7200,3) AS stale_at, count(*) AS updates FROM h GROUP BY run_id, ses""", "telemetry"))
 def _(t):
-    s = replayed(t, t.telemetry.select("run_id", "ts"))
-    return run(t, W.stale_runs(s, ["run_id"], "ts", "2 hours"))
+    s = replayed(t, t.telemetry.select("run_id", "ts"), close_after="30 days")
+    out = run(t, W.stale_runs(s, ["run_id"], "ts", "2 hours")).where("run_id is not null")
+    return rounded(out.select("run_id", *[(F.unix_micros(c) / 1e6).alias(c) for c in ("first_update", "stale_at")], "updates"), 3)
 
 
 @query("x6_milestone_stream", oracle(
@@ -69,7 +73,7 @@ def _(t):
     return run(t, out)
 
 
-@query("x6_timed_count_stream")
+@query("x6_timed_count_stream", oracle(QR.TIMED + " SELECT run_id, round(cy,3) AS cycles FROM d", "telemetry"))
 def _(t):
     s = replayed(t, t.telemetry).select("run_id", "sample_id", "t_s", F.when(F.col("i_status") == "ok", F.col("f_meas")).alias("f"))
     out = run(t, P.apply(s, P.TimedCounter(K, ORDER, 3600.0), "run_id bigint, t_s double, cycles double"))
@@ -85,10 +89,12 @@ def _(t):
     return run(t, P.apply(s, P.NewCommands(K, ORDER, ["sample_id", "seq"]), "run_id bigint, sample_id bigint, seq bigint"))
 
 
-@query("x8_latest_status")
+@query("x8_latest_status", oracle(
+    """SELECT run_id, CAST(floor(t_s/3600)*3600 AS BIGINT) AS slot, max_by(i_status, ts) AS status, round(max(t_s),3) AS updated FROM telemetry GROUP BY run_id, floor(t_s/3600)""", "telemetry"))
 def _(t):
-    s = replayed(t, t.telemetry.select("run_id", "ts", "i_status"))
-    return run(t, W.latest_status(s, ["run_id"], "ts", F.col("i_status"), "1 hour"))
+    s = replayed(t, t.telemetry.select("run_id", "ts", "i_status"), close_after="30 days")
+    out = run(t, W.latest_status(s, ["run_id"], "ts", F.col("i_status"), "1 hour")).where("run_id is not null")
+    return rounded(out.select("run_id", F.unix_seconds("slot").alias("slot"), "status", (F.unix_micros("updated") / 1e6).alias("updated")), 3)
 
 
 @query("x9_flag_ack_stream", oracle(
@@ -101,7 +107,9 @@ def _(t):
     return rounded(out.select("run_id", "flag_id", "acked_by", (F.col("acked_at") - F.col("raised_at")).alias("wait_s")), 3)
 
 
-@query("x10_rate_limiter")
+@query("x10_rate_limiter", oracle(
+    """, k AS (SELECT run_id, min(t_s) AS t FROM telemetry GROUP BY run_id UNION ALL SELECT k.run_id, min(s.t_s) FROM k JOIN telemetry s ON s.run_id=k.run_id AND s.t_s>=k.t+7200 GROUP BY k.run_id)
+    SELECT s.run_id, s.sample_id FROM telemetry s JOIN k ON k.run_id=s.run_id AND k.t=s.t_s""", "telemetry"))
 def _(t):
     s = replayed(t, t.telemetry).select("run_id", "sample_id", "t_s")
     return run(t, P.apply(s, P.RateLimiter(K, ORDER, 7200.0, ["sample_id"]), "run_id bigint, sample_id bigint"))
@@ -125,7 +133,9 @@ def _(t):
     return run(t, P.apply(s, P.EvidenceRing(K, ORDER, 12), "run_id bigint, trip_id bigint, sample_id bigint, age bigint"))
 
 
-@query("x14_live_envelope")
+@query("x14_live_envelope", oracle(
+    """SELECT run_id, CAST(floor(t_s/21600)*21600-21600*k AS BIGINT) AS slot, min(kv) AS lo, max(kv) AS hi, count(*) AS n FROM telemetry, (SELECT unnest([0,1]) AS k) GROUP BY ALL""", "telemetry"))
 def _(t):
-    s = replayed(t, t.telemetry.select("run_id", "ts", "kv"))
-    return run(t, W.live_envelope(s, ["run_id"], "ts", "kv", "12 hours", "6 hours"))
+    s = replayed(t, t.telemetry.select("run_id", "ts", "kv"), close_after="30 days")
+    out = run(t, W.live_envelope(s, ["run_id"], "ts", "kv", "12 hours", "6 hours")).where("run_id is not null")
+    return out.select("run_id", F.unix_seconds("slot").alias("slot"), "lo", "hi", "n")

@@ -74,11 +74,6 @@ def drive(t):
     return t.trace.select("clip", "frame", lift.alias("disp"))
 
 
-@query("w16_pulses")
-def _(t):
-    return T.pulses(drive(t), ["clip"], "frame", "disp", fps=4.0)
-
-
 DRIVE = """tr AS (SELECT clip, frame, CASE WHEN frame%21>=4 AND frame%21<14 THEN 30+abs(disp) ELSE abs(disp)/20 END AS disp FROM trace),
  s5 AS (SELECT *, median(disp) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM tr),
  onw AS (SELECT c.clip, o.onset, CAST(ceil(o.onset*32) AS BIGINT) AS i0, CAST(ceil((o.onset+0.5e0)*32) AS BIGINT) AS i1, CAST(ceil(o.nx*32) AS BIGINT) AS nx FROM (SELECT DISTINCT clip FROM tr) c,
@@ -108,15 +103,50 @@ def _(t):
     return rounded(j.groupBy("run_id", "win").agg(F.count(F.lit(1)).alias("n"), F.max("kv").alias("peak")))
 
 
-@query("a13_clip_stats")
+PULSE = DRIVE.split(",\n onw AS")[0] + """,
+ s6 AS (SELECT *, lag(sm) OVER (PARTITION BY clip ORDER BY frame) AS psm, max(disp) OVER (PARTITION BY clip) AS g, max(frame) OVER (PARTITION BY clip)+1 AS n FROM s5),
+ ups AS (SELECT clip, frame FROM s6 WHERE g>=5 AND sm>=0.3e0*g AND psm<0.3e0*g),
+ kpt AS (SELECT clip, min(frame) AS c FROM ups GROUP BY clip UNION ALL SELECT k.clip, min(u.frame) FROM kpt k JOIN ups u ON u.clip=k.clip AND u.frame>k.c+8 GROUP BY k.clip),
+ w1 AS (SELECT clip, c, coalesce(lag(c) OVER v+22,0) AS lo, lead(c) OVER v AS nx FROM kpt WINDOW v AS (PARTITION BY clip ORDER BY c)),
+ w2 AS (SELECT w1.*, (SELECT min(sm) FROM s6 WHERE s6.clip=w1.clip AND frame>=lo AND frame<c) AS fl, (SELECT max(g) FROM s6 WHERE s6.clip=w1.clip) AS g, (SELECT max(n) FROM s6 WHERE s6.clip=w1.clip) AS n FROM w1),
+ w3 AS (SELECT w2.*, CASE WHEN c>lo THEN coalesce((SELECT max(frame)+1 FROM s6 WHERE s6.clip=w2.clip AND frame>=lo AND frame<c AND sm<=fl+0.05e0*w2.g), lo) ELSE c END AS o FROM w2),
+ w4 AS (SELECT w3.*, (SELECT median(sm) FROM s6 WHERE s6.clip=w3.clip AND frame>=greatest(lo,o-1) AND frame<=o) AS base, (SELECT max(sm) FROM s6 WHERE s6.clip=w3.clip AND frame>=o AND frame<least(o+22,w3.n)) AS pk,
+  (SELECT arg_min(frame,(-sm,frame)) FROM s6 WHERE s6.clip=w3.clip AND frame>=o AND frame<least(o+22,w3.n)) AS pi FROM w3),
+ w5 AS (SELECT w4.*, (SELECT min(frame) FROM s6 WHERE s6.clip=w4.clip AND frame>=o AND frame<=pi AND sm-base>=0.9e0*(pk-base))-o AS t90,
+  CASE WHEN nx IS NULL THEN n ELSE coalesce((SELECT max(frame) FROM s6 WHERE s6.clip=w4.clip AND frame<=nx AND (frame-1<=pi OR psm>=sm)),nx) END AS no FROM w4),
+ w6 AS (SELECT w5.*, (SELECT median(sm) FROM s6 WHERE s6.clip=w5.clip AND frame>=greatest(pi+1,no-1) AND frame<no) AS res FROM w5)"""
+
+
+def _pulses(t):
+    return T.pulse_measures(drive(t), ["clip"], "frame", "disp", fps=4.0)
+
+
+@query("w16_pulses", oracle(
+    "SELECT clip, o AS \"on\", pi AS pk_i, round(base,4) AS base, round(pk,4) AS pk, t90, round(res,4) AS res FROM w6", "trace", ctes=PULSE))
+def _(t):
+    p = _pulses(t)
+    return rounded(p.select("clip", *[F.col(c).cast("int").alias(c) for c in ("on", "pk_i")], "base", "pk", F.col("t90").cast("int").alias("t90"), "res"), 4)
+
+
+@query("a13_clip_stats", oracle(
+    """SELECT clip, count(*) AS n_bends, round(avg(pk),4) AS peak, round(arg_min(pk,o),4) AS peak1, arg_min(t90,o) AS t90_1 FROM w6 GROUP BY clip""", "trace", ctes=PULSE))
 def _(t):
-    return rounded(T.clip_stats(T.pulses(drive(t), ["clip"], "frame", "disp", fps=4.0), ["clip"]), 4)
+    p = _pulses(t).withColumns({"onset_s": F.col("on"), "peak_px": F.col("pk"), "t90_s": F.col("t90"), "residual_px": F.col("res"),
+                                "recovered_frac": F.col("res") / F.col("pk")})
+    s = T.clip_stats(p, ["clip"])
+    return rounded(s.select("clip", "n_bends", F.col("peak_px").alias("peak"), F.col("peak1_px").alias("peak1"), F.col("t90_1_s").cast("int").alias("t90_1")), 4)
 
 
-@query("a14_clip_summary")
+@query("a14_clip_summary", oracle(
+    """, pq AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY o) AS k FROM w6), pp AS (SELECT clip, count(*) AS n_bends, max(CASE WHEN k=1 THEN pk END) AS p1, max(CASE WHEN k=2 THEN pk END) AS p2,
+     max(CASE WHEN k=3 THEN pk END) AS p3 FROM pq GROUP BY clip), b AS (SELECT clip, max(abs(disp)) AS md FROM tr GROUP BY clip)
+    SELECT b.clip, coalesce(n_bends,0) AS n_bends, round(md,1) AS max_disp_px, round(p1,4) AS peak1_px, round(p2,4) AS peak2_px, round(p3,4) AS peak3_px FROM b LEFT JOIN pp USING (clip)""", "trace", ctes=PULSE))
 def _(t):
     d = drive(t)
-    return T.summarize(d, T.pulses(d, ["clip"], "frame", "disp", fps=4.0), ["clip"], "disp")
+    p = _pulses(t).withColumns({"onset_s": F.col("on"), "peak_px": F.col("pk"), "t90_s": F.col("t90"), "residual_px": F.col("res"),
+                                "recovered_frac": F.col("res") / F.col("pk")})
+    s = T.summarize(d, p, ["clip"], "disp")
+    return rounded(s.select("clip", "n_bends", "max_disp_px", "peak1_px", "peak2_px", "peak3_px"), 4)
 
 
 CL = """cl AS (SELECT *, strptime(regexp_extract(name,'(\\d{8}_\\d{6})',1),'%Y%m%d_%H%M%S') AS cts FROM clips),

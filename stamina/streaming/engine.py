@@ -28,8 +28,12 @@ def late_rows(df: DataFrame, ts: str, seen_until: str, lateness_s: float) -> Dat
     return df.where(F.col(ts) < F.col(seen_until) - F.make_dt_interval(secs=F.lit(lateness_s)))
 
 
-def store_slices(df: DataFrame, ts: str, slices: int) -> tuple[str, T.StructType]:
-    """Stores rows as ``slices`` files in time order, so that a stream reads several micro-batches."""
+def store_slices(df: DataFrame, ts: str, slices: int, close_after: str | None = None) -> tuple[str, T.StructType]:
+    """Stores rows as ``slices`` files in time order, so that a stream reads several micro-batches.
+
+    ``close_after`` adds a last file with one all-null row that much later: it moves the
+    watermark past the data, so that every window of a finite replay is emitted.
+    """
     path = scratch(df.sparkSession, "replay")
     sec = F.unix_micros(F.col(ts).cast("timestamp"))
     ends = df.agg(F.min(sec).alias("lo"), F.max(sec).alias("hi")).first()
@@ -37,6 +41,10 @@ def store_slices(df: DataFrame, ts: str, slices: int) -> tuple[str, T.StructType
     for i in range(slices):
         part = df.where(F.floor((sec - ends.lo) / width) == i)
         part.coalesce(1).write.mode("append").parquet(path)
+    if close_after:
+        end = df.agg((F.max(ts) + F.expr(f"interval {close_after}")).alias(ts))
+        end.select(*[F.col(c) if c == ts else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
+                   ).write.mode("append").parquet(path)
     return path, df.schema
 
 
