@@ -43,9 +43,12 @@ def position_of(df: DataFrame, name: str) -> Column:
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """True when the optimizer's size estimate says all rows together are small."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= ONE_TASK_BYTES
+    """True when the inputs this frame reads are small in total, by their size estimates."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext() and total <= ONE_TASK_BYTES:
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total <= ONE_TASK_BYTES
 
 
 def find_hot(df: DataFrame, keys: list[str], per_segment: int | None = None,
@@ -126,15 +129,14 @@ class Ordered:
                                [*self.keys, SEG], "left")
 
     def _finish(self, cols: dict[str, Column]) -> "Ordered":
-        for name, col in cols.items():
-            self.df = self.df.withColumn(name, col)
-        self.df = self.df.drop(*[c for c in self.df.columns if c.startswith("__c_")])
+        self.df = self.df.withColumns(cols)
+        if not self.plain:
+            self.df = self.df.drop(*[c for c in self.df.columns if c.startswith("__c_")])
         return self
 
     # -- row-level derivations ------------------------------------------
     def with_columns(self, **cols: Column) -> "Ordered":
-        for name, col in cols.items():
-            self.df = self.df.withColumn(name, col)
+        self.df = self.df.withColumns(cols)
         return self
 
     def running_sum(self, **cols: Column) -> "Ordered":
@@ -188,33 +190,16 @@ class Ordered:
     def since(self, name: str, active: Column, reset: Column, value: Column) -> "Ordered":
         """``value`` at the first active row after the latest reset row, else null.
 
-        A reset row ends a streak; it must not be active itself. ``value`` must not
-        decrease along the order.
+        A reset row ends a streak and must not be active itself; rows that are neither
+        change nothing.
         """
-        flag = F.when(reset, 1).otherwise(0)
-        stamp = F.when(active, value)
-        run = self.within.rowsBetween(Window.unboundedPreceding, 0)
-        self.with_columns(__isl=F.sum(flag).over(run))
-        if not self.plain:
-            ends = F.max("__isl").over(self.whole)
-            self.with_columns(__tail=F.when(F.col("__isl") == ends, stamp))
-        self._carry(
-            {"__s_reset": F.max(flag), "__s_open": F.min("__tail")},
-            lambda w: {
-                "__g": F.sum("__s_reset").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                "__end": F.min("__s_open").over(
-                    Window.partitionBy(*self.keys, "__g").orderBy(SEG)
-                    .rowsBetween(Window.unboundedPreceding, 0)),
-                "__c_since": F.lag("__end", 1).over(w),
-            })
-        isl = Window.partitionBy(*self.task_keys, "__isl").orderBy(*self.order).rowsBetween(
-            Window.unboundedPreceding, 0)
-        local = F.min(stamp).over(isl)
-        if self.plain:
-            self._finish({name: local})
-        else:
-            self._finish({name: F.coalesce(F.when(F.col("__isl") == 0, F.col("__c_since")), local)})
-        self.df = self.df.drop("__isl", "__tail")
+        self.last(False, __st=F.when(active, 1).when(reset, 0))
+        opens = active & (F.coalesce("__st", F.lit(0)) == 0)
+        box = F.struct(value.alias("v"))
+        # a reset leaves a boxed null, so that a closed streak is not mistaken for an open one
+        closed = F.struct(F.when(F.lit(False), value).alias("v"))
+        self.last(**{name: F.when(opens, box).when(reset, closed)})
+        self.df = self.df.withColumn(name, F.col(name)["v"]).drop("__st")
         return self
 
     def total(self, **cols: Column) -> "Ordered":
