@@ -45,7 +45,7 @@ def square_drive(f: Column, c: Column, vpk: Column, vmin: Column) -> dict[str, C
     dv = F.abs(vpk - vmin)
     edge = F.when(known, F.greatest(c * dv / (I_LIMIT_UA - LEAK_MARGIN_UA), dv * 1000.0 / SLEW_V_PER_US / 1e6))
     current = F.when(edge > 0, c * dv / edge).otherwise(F.when(known, 0.0))
-    frac = edge / (0.5 / f)
+    frac = F.try_divide(edge, F.try_divide(F.lit(0.5), f))
     verdict = (F.when(~known, "warn").when((frac >= EDGE_REFUSE) | (f > BANDWIDTH_HZ), "refuse")
                .when(frac >= EDGE_WARN, "warn").otherwise("ok"))
     return {"verdict": verdict, "i_pk_ua": current, "i_frac": current / I_LIMIT_UA, "edge_s": edge,

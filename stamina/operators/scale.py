@@ -113,7 +113,7 @@ def ensemble(cands: DataFrame, keys: list[str], prev_method: DataFrame | None =
         __fit=F.min_by(F.struct("area", "cx", "cy", "diam"), F.when(fit, F.col("cand"))))
     o = o.total_median(__med=F.when(tier, F.col("area")))
     d = o.result()
-    spread = F.when(F.col("__n") > 1, F.col("__sd") / F.col("__mu")).otherwise(0.0)
+    spread = F.when(F.col("__n") > 1, F.try_divide("__sd", "__mu")).otherwise(0.0)
     agree = F.greatest(F.lit(0.0), 1 - spread)
     dist = F.hypot(F.col("cx") - F.col("__fit.cx"), F.col("cy") - F.col("__fit.cy"))
     inside = F.coalesce((dist <= 0.5 * F.col("__fit.diam")) & (F.col("area") <= 1.2 * F.col("__fit.area")), F.lit(False))
@@ -200,8 +200,8 @@ def circle_fit(points: DataFrame, keys: list[str], order: list[str], passes: int
         o = o.total(mx=F.avg(k("x")), my=F.avg(k("y")), mz=F.avg(k("z")), sxx=F.var_pop(k("x")), syy=F.var_pop(k("y")),
                     sxy=F.covar_pop(k("x"), k("y")), sxz=F.covar_pop(k("x"), k("z")), syz=F.covar_pop(k("y"), k("z")))
         det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
-        a = (F.col("sxz") * F.col("syy") - F.col("syz") * F.col("sxy")) / det
-        b = (F.col("syz") * F.col("sxx") - F.col("sxz") * F.col("sxy")) / det
+        a = F.try_divide(F.col("sxz") * F.col("syy") - F.col("syz") * F.col("sxy"), det)
+        b = F.try_divide(F.col("syz") * F.col("sxx") - F.col("sxz") * F.col("sxy"), det)
         c = F.col("mz") - a * F.col("mx") - b * F.col("my")
         o = o.with_columns(cx=a / 2, cy=b / 2).with_columns(
             r=F.sqrt(F.greatest(c + F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy"), F.lit(1e-9))))

@@ -155,7 +155,7 @@ def reconcile_pairs(best: DataFrame, keys: list[str], accept: float = SETTINGS["
     o = Ordered(rows, [*keys, "kv"], ["row_idx"]).total(
         __n=F.count(F.lit(1)), __lo=F.min("area"), __hi=F.max("area"), __t=F.sum(share)).result()
     mid = (F.col("__hi") + F.col("__lo")) / 2
-    rel, tol = (F.col("__hi") - F.col("__lo")) / mid, F.greatest(F.lit(0.04), F.col("__t"))
+    rel, tol = F.try_divide(F.col("__hi") - F.col("__lo"), mid), F.greatest(F.lit(0.04), F.col("__t"))
     live = (F.col("__n") > 1) & (mid > 0)
     under = round(accept - 0.01, 3)
     agree, clash = live & (rel <= tol), live & (rel > 2 * tol)

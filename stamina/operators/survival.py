@@ -68,7 +68,7 @@ def fit_mrr(df: DataFrame, keys: list[str]) -> DataFrame:
     fit = pts.groupBy(*keys).agg(
         F.max("n").alias("n"), F.count(F.lit(1)).alias("r_failures"),
         F.regr_slope("x", "y").alias("a"), F.regr_intercept("x", "y").alias("b"),
-        F.corr("x", "y").alias("c")).where("r_failures >= 2 and a <> 0")
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("c")).where("r_failures >= 2 and a <> 0")
     beta, eta = 1 / F.col("a"), F.exp("b")
     return fit.select(*keys, beta.alias("beta"), eta.alias("eta"), b_life(beta, eta).alias("b10"),
                       "n", "r_failures", (F.col("n") - F.col("r_failures")).alias("suspensions"),
@@ -110,15 +110,24 @@ MLE_COLS = "beta double, eta double, b10 double, loglik double, n bigint, r_fail
            "suspensions bigint, tau double, lf double, ln_beta_se double"
 
 
+def _keyed(keys: list[str], head, n: int) -> dict[str, pd.Series]:
+    """Key columns of a task's result; plain objects whatever the key type."""
+    return {k: pd.Series([head[k]] * n, dtype=object) for k in keys}
+
+
+def _no_rows(columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def _mle_task(keys: list[str]):
     """Maximum likelihood of one group held by a task (bounded by the hot-key limit)."""
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         lt, failed = np.log(pdf["cycles"].to_numpy(float)), (pdf["status"] == "failed").to_numpy()
-        out = {k: [pdf[k].iloc[0]] for k in keys}
+        out = _keyed(keys, pdf.iloc[0], 1)
         r, n = int(failed.sum()), len(pdf)
         cols = [c.split()[0] for c in MLE_COLS.split(", ")]
         if r < 2:
-            return pd.DataFrame({**{k: [] for k in keys}, **{c: [] for c in cols}})
+            return _no_rows(keys + cols)
         tau = lt.mean()
         u, lf = lt - tau, float((lt - tau)[failed].sum())
         lo, hi, beta = BETA_MIN, BETA_MAX, 1.2825 / max(u.std(), 1e-12)
@@ -134,7 +143,7 @@ def _mle_task(keys: list[str]):
             if abs(step) < 1e-13 * abs(beta) or hi - lo < 1e-14:
                 break
         if not BETA_MIN * 1.0001 < beta < BETA_MAX * 0.9999:
-            return pd.DataFrame({**{k: [] for k in keys}, **{c: [] for c in cols}})
+            return _no_rows(keys + cols)
         w = np.exp(beta * u)
         s0, m1 = w.sum(), (w * u).sum() / w.sum()
         eta = np.exp(tau + np.log(s0 / r) / beta)
@@ -210,7 +219,7 @@ def _bounds_row(keys, head, lo, hi):
     b10 = head["b10"]
     lo = lo if lo >= b10 * SEARCH_DOWN else None
     hi = hi if hi <= b10 * SEARCH_UP else None
-    return pd.DataFrame({**{k: [head[k]] for k in keys}, "b10_lo": [lo], "b10_hi": [hi]})
+    return pd.DataFrame({**_keyed(keys, head, 1), "b10_lo": [lo], "b10_hi": [hi]})
 
 
 def b10_interval(df: DataFrame, mle: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,7 +244,7 @@ def b10_interval(df: DataFrame, mle: DataFrame, keys: list[str]) -> DataFrame:
 
     def solve(left, right):
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({**{k: [] for k in keys}, "b10_lo": [], "b10_hi": []})
+            return _no_rows([*keys, "b10_lo", "b10_hi"])
         head = right.iloc[0]
         u = np.log(left["cycles"].to_numpy(float)) - head["tau"]
         r, llh = float(head["r_failures"]), head["loglik"] + head["r_failures"] * head["tau"]
@@ -265,7 +274,7 @@ def b10_interval(df: DataFrame, mle: DataFrame, keys: list[str]) -> DataFrame:
     def coarse_grid(pdf):
         head = pdf.iloc[0]
         g = np.unique(grids(head)[0])
-        return pd.DataFrame({**{k: head[k] for k in keys}, "tau": head["tau"], "beta": g})
+        return pd.DataFrame({**_keyed(keys, head, len(g)), "tau": head["tau"], "beta": g})
 
     def extremes(left, right):
         head = right.iloc[0]
@@ -277,7 +286,7 @@ def b10_interval(df: DataFrame, mle: DataFrame, keys: list[str]) -> DataFrame:
         head, b, lo, hi = extremes(left, right)
         step = grids(head)[1]
         g = np.unique(np.concatenate([b[lo.argmin()] * np.exp(step), b[hi.argmax()] * np.exp(step)]))
-        return pd.DataFrame({**{k: head[k] for k in keys}, "tau": head["tau"], "beta": g})
+        return pd.DataFrame({**_keyed(keys, head, len(g)), "tau": head["tau"], "beta": g})
 
     def bounds(left, right):
         head, b, lo, hi = extremes(left, right)

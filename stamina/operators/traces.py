@@ -212,7 +212,10 @@ def series_label(clips: DataFrame, ts: str, name: str) -> DataFrame:
 
 
 def select_clips(labelled: DataFrame, ts: str, name: str, dense_h: float = 165.0, every: dict | None = None) -> DataFrame:
-    """Series A: all within ``dense_h`` hours, then every 15th; series B: every 5th."""
+    """Series A: all within ``dense_h`` hours, then every 15th; series B: every 5th.
+
+    Hours count from the first clip; restrict ``labelled`` to the campaign beforehand.
+    """
     step = every or {"A": 15, "B": 5}
     sec = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     start = labelled.agg(F.min(sec).alias("v")).scalar()
@@ -275,7 +278,8 @@ def curvature(nodes: DataFrame, keys: list[str], order: str, n: int) -> DataFram
     """Tangent angle, its windowed mean over 15 % of ``n`` nodes, and curvature per node."""
     o = arc_length(nodes, keys, order).lag(xp=F.col("x"), yp=F.col("y"))
     xn, yn = F.coalesce("x_next", "x"), F.coalesce("y_next", "y")
-    theta = F.atan((yn - F.coalesce("yp", "y")) / (xn - F.coalesce("xp", "x")))
+    dy, dx = yn - F.coalesce("yp", "y"), xn - F.coalesce("xp", "x")
+    theta = F.coalesce(F.atan(F.try_divide(dy, dx)), F.atan2(dy, dx))
     d = o.with_columns(theta=theta).result().drop("xp", "yp", "x_next", "y_next")
     win = max(5, int(0.15 * n)) | 1
     h, part = haloed(d, keys, order, BLOCK, win // 2)
@@ -285,8 +289,8 @@ def curvature(nodes: DataFrame, keys: list[str], order: str, n: int) -> DataFram
     g = Ordered(sm, keys, [order]).lag(sp=F.col("s"), tp=F.col("theta_sm")).lead(tn=F.col("theta_sm"))
     hs, hd = F.col("s") - F.col("sp"), F.col("s_next") - F.col("s")
     t = F.col("theta_sm")
-    inner = (hs * hs * F.col("tn") + (hd * hd - hs * hs) * t - hd * hd * F.col("tp")) / (hs * hd * (hs + hd))
-    return g.with_columns(kappa=F.coalesce(inner, (F.col("tn") - t) / hd, (t - F.col("tp")) / hs)).result().drop("sp", "tp", "tn", "s_next")
+    inner = F.try_divide(hs * hs * F.col("tn") + (hd * hd - hs * hs) * t - hd * hd * F.col("tp"), hs * hd * (hs + hd))
+    return g.with_columns(kappa=F.coalesce(inner, F.try_divide(F.col("tn") - t, hd), F.try_divide(t - F.col("tp"), hs))).result().drop("sp", "tp", "tn", "s_next")
 
 
 def bend_summary(curved: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

@@ -21,7 +21,7 @@ def edge(top: Column, n: Column, i: Column) -> Column:
 def log_bin(x: Column, top: Column, per_decade: int = 24) -> tuple[Column, Column]:
     """(lo, hi] of the bin holding ``x``, computed directly instead of joining an edge table."""
     n = bin_count(top, per_decade)
-    guess = F.ceil(n * F.log10(F.greatest(x - 0.5, F.lit(0.5))) / F.log10(top)).cast("int")
+    guess = F.ceil(F.try_divide(n * F.log10(F.greatest(x - 0.5, F.lit(0.5))), F.log10(top))).cast("int")
     g = F.greatest(F.lit(1), F.least(n, guess))
     # rounding can move the first edge >= x by one place
     first = (F.when((g > 1) & (edge(top, n, g - 1) >= x), g - 1)

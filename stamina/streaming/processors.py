@@ -31,7 +31,8 @@ class Ordered(StatefulProcessor):
         state, out = self.advance(tuple(state), frame)
         self.state.update(tuple(state))
         if len(out):
-            out.insert(0, self.key, key[0])
+            out = out.reset_index(drop=True)
+            out.insert(0, self.key, pd.Series([key[0]] * len(out), dtype=object))
             yield out
 
     def advance(self, state: tuple, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
