@@ -51,6 +51,14 @@ def fits_one_task(df: DataFrame) -> bool:
     return total <= ONE_TASK_BYTES
 
 
+def broadcast_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Broadcast hint for a configuration table only after its row count is checked.
+
+    A longer table is joined without a hint, by a shuffle join with skew handling.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def find_hot(df: DataFrame, keys: list[str], per_segment: int | None = None,
              extra: dict[str, Column] | None = None) -> DataFrame | None:
     """Keys holding more rows than one task should take (at most MAX_HOT_KEYS), or None.

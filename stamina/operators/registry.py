@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stamina.operators.ordered import Ordered
+from stamina.operators.ordered import Ordered, broadcast_small
 
 # Geometry names and statuses of a specimen.
 GEOMETRIES = ("planar16", "bender_10x20", "bender_20x40", "bender_20x80", "custom")
@@ -19,7 +19,7 @@ def hard_cap(specimens: DataFrame, geometry_caps: DataFrame, specimen_caps: Data
              ceiling: float = CEILING_KV) -> DataFrame:
     """Specimen cap, else geometry cap, else the ceiling; never above the ceiling."""
     j = (specimens.join(specimen_caps.withColumnRenamed("cap_kv", "__s"), "specimen_id", "left")
-         .join(F.broadcast(geometry_caps.withColumnRenamed("cap_kv", "__g")), "geometry", "left"))
+         .join(broadcast_small(geometry_caps.withColumnRenamed("cap_kv", "__g")), "geometry", "left"))
     return j.withColumn("cap_kv", F.least(F.coalesce("__s", "__g", F.lit(ceiling)), F.lit(ceiling))).drop("__s", "__g")
 
 

@@ -409,16 +409,49 @@ def _(t):
     return rounded(a.withColumns({"capped": capped, "conf": conf}))
 
 
-@query("a23_photometric_fit")
+def _trim_sql(first: str, passes: int, fit: str, keys: str, resid: str, cut: str, least: int) -> str:
+    """CTEs of a fit repeated on the points it keeps; a cut that keeps too few changes nothing."""
+    out = [f"k0 AS (SELECT *, true AS keep FROM {first})"]
+    for i in range(passes):
+        out.append(f"f{i} AS (SELECT *, {fit} FROM k{i} WINDOW w AS (PARTITION BY {keys}))")
+        if i < passes - 1:
+            out.append(f"e{i} AS (SELECT *, {resid} AS e FROM f{i})")
+            out.append(f"c{i} AS (SELECT *, e <= {cut} AS nxt FROM e{i} WINDOW w AS (PARTITION BY {keys}))")
+            out.append(f"k{i + 1} AS (SELECT * EXCLUDE (keep, nxt, e, p0, p1, p2), CASE WHEN count(*) FILTER (nxt) OVER (PARTITION BY {keys}) >= {least} THEN nxt ELSE keep END AS keep FROM c{i})")
+    return ", ".join(out)
+
+
+PHOTO = """q AS (SELECT series_no, quantile_cont(disp, list_transform(range(49), lambda i: (2+2*i)/100e0)) AS a,
+  quantile_cont(disp*0.8e0+12+CASE WHEN frame%20=0 THEN 30 ELSE 0 END, list_transform(range(49), lambda i: (2+2*i)/100e0)) AS b FROM trace GROUP BY series_no),
+ pts AS (SELECT series_no, unnest(a) AS xb, unnest(b) AS xi FROM q), """ + _trim_sql(
+    "pts", 3, "regr_slope(CASE WHEN keep THEN xi END, CASE WHEN keep THEN xb END) OVER w AS p0, regr_intercept(CASE WHEN keep THEN xi END, CASE WHEN keep THEN xb END) OVER w AS p1, 0 AS p2",
+    "series_no", "abs(p0*xb+p1-xi)", "greatest(quantile_cont(e,0.67) OVER w, 1e-6)", 8)
+
+
+@query("a23_photometric_fit", oracle(
+    "SELECT series_no, round(any_value(p0),5) AS gain, round(any_value(p1),5) AS \"offset\" FROM f2 GROUP BY series_no", "trace", ctes=PHOTO))
 def _(t):
     base = t.trace.select("series_no", "disp")
     img = t.trace.select("series_no", (F.col("disp") * 0.8 + 12 + F.when(F.col("frame") % 20 == 0, 30.0).otherwise(0.0)).alias("disp"))
-    return rounded(C.photometric_fit(base, img, ["series_no"], "disp"))
+    return rounded(C.photometric_fit(base, img, ["series_no"], "disp"), 5)
+
+
+def _kept_sql(f):
+    return f.replace("X", "CASE WHEN keep THEN x END").replace("Y", "CASE WHEN keep THEN y END").replace("Z", "CASE WHEN keep THEN x*x+y*y END")
+
+
+_DET = "(var_pop(X) OVER w*var_pop(Y) OVER w-covar_pop(X,Y) OVER w*covar_pop(X,Y) OVER w)"
+_A = f"((covar_pop(X,Z) OVER w*var_pop(Y) OVER w-covar_pop(Y,Z) OVER w*covar_pop(X,Y) OVER w)/{_DET})"
+_B = f"((covar_pop(Y,Z) OVER w*var_pop(X) OVER w-covar_pop(X,Z) OVER w*covar_pop(X,Y) OVER w)/{_DET})"
+CIRCLE = """cp AS (SELECT clip, frame, 320+(100+disp/10)*cos(frame*(2*3.141592653589793e0/64)) AS x, 240+(100+disp/10)*sin(frame*(2*3.141592653589793e0/64)) AS y FROM trace), """ + _trim_sql(
+    "cp", 4, _kept_sql(f"{_A}/2 AS p0, {_B}/2 AS p1, sqrt(greatest(avg(Z) OVER w-{_A}*avg(X) OVER w-{_B}*avg(Y) OVER w+pow({_A}/2,2)+pow({_B}/2,2),1e-9)) AS p2"),
+    "clip", "abs(sqrt(pow(x-p0,2)+pow(y-p1,2))-p2)", "2.5e0*greatest(stddev_pop(CASE WHEN keep THEN e END) OVER w, 1e0)", 24)
 
 
-@query("a24_circle_fit")
+@query("a24_circle_fit", oracle(
+    "SELECT clip, round(any_value(p0),5) AS cx, round(any_value(p1),5) AS cy, round(any_value(p2),5) AS r, count(*) FILTER (keep) AS kept FROM f3 GROUP BY clip", "trace", ctes=CIRCLE))
 def _(t):
     th = F.col("frame") * (2 * 3.141592653589793 / 64)
     r = 100 + F.col("disp") / 10
     p = t.trace.select("clip", "frame", (320 + r * F.cos(th)).alias("x"), (240 + r * F.sin(th)).alias("y"))
-    return rounded(C.circle_fit(p, ["clip"], ["frame"]))
+    return rounded(C.circle_fit(p, ["clip"], ["frame"]), 5)
