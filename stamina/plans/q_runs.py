@@ -437,13 +437,13 @@ def _(t):
      imean_ua*60/2000 AS ipk_frac FROM blocks),
     u AS (UNPIVOT m ON soft_flags_per_kcycle, env_out_of_band, ipk_frac INTO NAME metric VALUE value)
     SELECT run_id, block_idx, CASE metric WHEN 'soft_flags_per_kcycle' THEN 'transient_cap' WHEN 'env_out_of_band' THEN 'env_band' ELSE 'ipk_headroom' END AS rule_id,
-    round(value,6) AS value FROM u WHERE (metric='soft_flags_per_kcycle' AND value>5) OR (metric='env_out_of_band' AND value>=1) OR (metric='ipk_frac' AND value>0.9e0)""", "blocks"))
+    round(value,8) AS value FROM u WHERE (metric='soft_flags_per_kcycle' AND value>5) OR (metric='env_out_of_band' AND value>=1) OR (metric='ipk_frac' AND value>0.9e0)""", "blocks"))
 def _(t):
     b = t.blocks.withColumns({
         "soft_flags": F.col("block_idx") % 9, "env_t_c": 15.0 + F.col("block_idx") % 20, "env_p_mbar": 890.0 + F.col("block_idx"),
         "t_lo": F.lit(15.0), "t_hi": F.lit(30.0), "p_lo": F.lit(900.0), "p_hi": F.lit(1100.0), "ipk_ua": F.col("imean_ua") * 60})
     m = R.to_metrics(R.block_metrics(b), ["run_id", "block_idx"], ["soft_flags_per_kcycle", "env_out_of_band", "ipk_frac"])
-    return rounded(R.fire_plain(m, R.default_rules(t.spark), "medium").select("run_id", "block_idx", "rule_id", "value"))
+    return rounded(R.fire_plain(m, R.default_rules(t.spark), "medium").select("run_id", "block_idx", "rule_id", "value"), 8)
 
 
 @query("r2_trend_series", oracle(
