@@ -11,8 +11,9 @@ at most 2 * MAX_HOT_KEYS segments together, whatever the data size: the hot-key
 table and the carry tables are broadcast under that bound. Nothing is collected.
 
 Finding the hot keys is one aggregation over the key and order columns, written to the
-checkpoint folder because every later branch reads it. Inputs whose whole size fits one
-task skip it, and when no key is hot the plan is the plain window plan.
+checkpoint folder because every later branch reads it; so are the carry tables, each by
+one job over the hot rows. Inputs whose whole size fits one task skip all this, and when
+no key is hot the plan is the plain window plan.
 """
 
 from __future__ import annotations
@@ -133,8 +134,9 @@ class Ordered:
         for name, col in scan(along).items():
             table = table.withColumn(name, col)
         keep = [c for c in table.columns if c.startswith("__c_")]
-        self.df = self.df.join(F.broadcast(table.select(*self.keys, SEG, *keep)),
-                               [*self.keys, SEG], "left")
+        # written once, so that chained operators stay a chain and do not nest their branches
+        carry = cut_lineage(table.select(*self.keys, SEG, *keep))
+        self.df = self.df.join(F.broadcast(carry), [*self.keys, SEG], "left")
 
     def _finish(self, cols: dict[str, Column]) -> "Ordered":
         self.df = self.df.withColumns(cols)
@@ -216,7 +218,7 @@ class Ordered:
             return self._finish({k: v.over(self.whole) for k, v in cols.items()})
         table = self._hot_rows().groupBy(*self.keys).agg(
             *[v.alias(f"__c_{k}") for k, v in cols.items()])
-        self.df = self.df.join(F.broadcast(table), self.keys, "left")
+        self.df = self.df.join(F.broadcast(cut_lineage(table)), self.keys, "left")
         return self._finish({k: F.when(F.col(PARTS).isNotNull(), F.col(f"__c_{k}")).otherwise(
             v.over(self.whole)) for k, v in cols.items()})
 
@@ -229,7 +231,7 @@ class Ordered:
         for k, v in cols.items():
             table = distributed_quantile(self._hot_rows(), self.keys, v, f"__c_{k}", 0.5,
                                          self.per_segment)
-            self.df = self.df.join(F.broadcast(table), self.keys, "left")
+            self.df = self.df.join(F.broadcast(cut_lineage(table)), self.keys, "left")
         return self._finish({k: F.when(F.col(PARTS).isNotNull(), F.col(f"__c_{k}")).otherwise(
             F.percentile(v, F.lit(0.5)).over(self.whole)) for k, v in cols.items()})
 
