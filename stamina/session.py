@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_SEGMENT = "stamina.rowsPerSegment"
 DEFAULT_ROWS_PER_SEGMENT = 1_000_000
-_SHIPPED: set[str] = set()
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,19 +25,18 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
     }.items():
         spark.conf.set(key, value)
-    ship(spark)
+    ship()
     return spark
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application; Python stages import it there."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "stamina")
-    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "stamina"))
-    _SHIPPED.add(app)
+def ship() -> None:
+    """Python stages carry this package's functions by value, so that no worker has to import it.
+
+    Files added to the application do not reach the worker that starts a stateful stream.
+    """
+    import stamina
+    from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
+    register_pickle_by_value(stamina)
 
 
 def rows_per_segment(spark: SparkSession) -> int:
