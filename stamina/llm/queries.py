@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import decontamination
+from stamina.llm import crf_quality, decontamination
 from stamina.llm.common import read
 from stamina.session import ship
 
@@ -50,3 +50,16 @@ def _(spark, sf_dir):
     found = decontamination.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def _held_out(column):
+    return F.crc32(column.cast("string").cast("binary")) % 5 == 0
+
+
+@query("op3_quality_classifier")
+def _(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = crf_quality.train(docs, read(spark, sf_dir, "labels").where(~_held_out(F.col("doc_id"))))
+    scored = crf_quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= crf_quality.ACCEPT).cast("int").alias("predicted"))
