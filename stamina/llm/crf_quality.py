@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         (F.avg(quality) >= 0.5).cast("int").alias("__q"))
     share = min(1.0, max_docs / max(1, votes.count()))
     picked = votes.where((F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    lines = F.size(F.split(F.col(text), "\n", -1))
+    lines = F.size(F.split(F.col("__text"), "\n", -1))
     sample = (docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(picked, "__id")
               .where(F.coalesce(lines, F.lit(1)) <= max_lines).dropDuplicates(["__id"]).orderBy("__id"))
     rows = sample.select("__text", "__q").collect()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import crf_quality, decontamination
+from stamina.llm import crf_quality, decontamination, mixing
 from stamina.llm.common import read
 from stamina.session import ship
 
@@ -63,3 +63,9 @@ def _(spark, sf_dir):
     scored = crf_quality.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= crf_quality.ACCEPT).cast("int").alias("predicted"))
+
+
+@query("op4_mixing_sources")
+def _(spark, sf_dir):
+    taken = mixing.takes(read(spark, sf_dir, "documents"), mixing.cycle_weights)
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
