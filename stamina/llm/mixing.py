@@ -79,6 +79,35 @@ def _split_nodes(nodes: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes
 
 
+def nearest(size: np.ndarray, n: np.ndarray, gap: float, free: int = 16, steps: int = 200_000) -> np.ndarray:
+    """How many of each bundle of a block, in permuted order, come nearest to ``gap`` words.
+
+    The bundles that fit one after the other are taken, but for the last ``free``; those and the rest of the block are
+    chosen by their reachable sums, held as the bits of one number (in units that keep it under twice ``steps`` bits).
+    """
+    took = np.zeros(len(size), np.int64)
+    fits = int(np.searchsorted(np.cumsum(size * n), gap, side="right"))
+    start = max(0, fits - free)
+    took[:start] = n[:start]
+    goal = gap - int((size[:start] * n[:start]).sum())
+    unit = max(1, int(goal) // steps)
+    items = [(i, int(round(size[i] / unit))) for i in range(start, len(size)) for _ in range(min(int(n[i]), 4))]
+    g = int(round(goal / unit))
+    mask = (1 << (2 * g + 2)) - 1
+    sums = [1]
+    for _, s in items:
+        sums.append(sums[-1] | ((sums[-1] << s) & mask) if s <= 2 * g + 1 else sums[-1])
+    below = (sums[-1] & ((1 << (g + 1)) - 1)).bit_length() - 1
+    over = sums[-1] >> (g + 1)
+    above = g + (over & -over).bit_length() if over else None
+    at = above if above is not None and above - g < g - below else below
+    for j in range(len(items) - 1, -1, -1):
+        if not sums[j] >> at & 1:
+            took[items[j][0]] += 1
+            at -= items[j][1]
+    return took
+
+
 def plan(docs: DataFrame, weigh, doc_id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None,
          most: float = 3.0, shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = 17) -> DataFrame:
     """One row per bundle: id, source, size, n (rows), source_size, target, passes (whole), extra (rows taken once more),
@@ -119,15 +148,8 @@ def plan(docs: DataFrame, weigh, doc_id: str = "doc_id", source: str = "source",
     rows = rows.join(side(edge.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
     def fill(pdf):
-        """Documents of one block in permuted order, each taken if it still fits; then the smallest if that comes nearer."""
-        pdf = pdf.sort_values(["order", "key"]).reset_index(drop=True)
-        gap, took = float(pdf["gap"].iloc[0]), np.zeros(len(pdf), np.int64)
-        for i, (s, n) in enumerate(zip(pdf["size"], pdf["n"])):
-            took[i] = n if s == 0 else min(n, int(gap // s))
-            gap -= took[i] * s
-        left = np.where((took < pdf["n"]) & (pdf["size"] < 2 * gap), pdf["size"], np.iinfo(np.int64).max)
-        if len(left) and left.min() < np.iinfo(np.int64).max:
-            took[int(left.argmin())] += 1
+        pdf = pdf.sort_values(["order", "key"])
+        took = nearest(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), float(pdf["gap"].iloc[0]))
         return pd.DataFrame({"k": pdf["key"], "took": took})
 
     part = (rows.where(F.col("block") == F.col("edge")).select("source", "block", "key", "order", "size", "n", "gap")
