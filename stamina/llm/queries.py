@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import crf_quality, decontamination, mixing
+from stamina.llm import crf_quality, decontamination, mixing, sharding
 from stamina.llm.common import read
 from stamina.session import ship
 
@@ -69,3 +69,15 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     taken = mixing.takes(read(spark, sf_dir, "documents"), mixing.cycle_weights)
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
+
+SHARDS = 24
+
+
+@query("op6_sharding")
+def _(spark, sf_dir):
+    # the digest columns are taken before the ranges are sorted, so that no text moves
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("key"), sharding.record_size(F.col("text")).alias("size"),
+                                                   F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = sharding.assign(docs, SHARDS, F.col("key"), F.xxhash64("doc_id"), F.col("size"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"),
+                         F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
