@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import crf_quality, decontamination, mixing, sharding
+from stamina.llm import crf_quality, decontamination, mixing, ngram_join, sharding
 from stamina.llm.common import read
 from stamina.session import ship
 
@@ -81,3 +81,9 @@ def _(spark, sf_dir):
     placed = sharding.assign(docs, SHARDS, F.col("key"), F.xxhash64("doc_id"), F.col("size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"),
                          F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_ngram_jaccard_join")
+def _(spark, sf_dir):
+    found = ngram_join.join(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
