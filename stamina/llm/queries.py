@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import crf_quality, decontamination, mixing, ngram_join, sharding
+from stamina.llm import crf_quality, decontamination, mixing, ngram_join, phrases, sharding
 from stamina.llm.common import read
 from stamina.session import ship
 
@@ -87,3 +87,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = ngram_join.join(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@query("op10_document_fingerprints")
+def _(spark, sf_dir):
+    return phrases.compare_with_next(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from stamina.llm.common import staged
@@ -38,7 +39,7 @@ def record_size(text: Column) -> Column:
 
 def _range_of(splits: np.ndarray):
     """Number of splitters that are not above (key, tie)."""
-    @pandas_udf("int")
+    @pandas_udf(T.IntegerType())
     def number(key: pd.Series, tie: pd.Series) -> pd.Series:
         k, t = key.to_numpy(np.int64), tie.to_numpy(np.int64)
         low, high = np.searchsorted(splits["k"], k, "left"), np.searchsorted(splits["k"], k, "right")
