@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import crf_quality, decontamination, mixing, ngram_join, phrases, sharding
+from stamina.llm import crf_quality, decontamination, mixing, ngram_join, phrases, sharding, token_counts, url_filter
 from stamina.llm.common import read
-from stamina.session import ship
+from stamina.session import ensure_checkpoint_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,59 @@ def _(spark, sf_dir):
 @query("op10_document_fingerprints")
 def _(spark, sf_dir):
     return phrases.compare_with_next(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: Rules as (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: A small labelled table; the names are invented.
+BLOCKED_URLS = [
+    "http://www.cheap-pills.example.com/en/450", "https://cheap-pills.example.net/en/12.html", "http://buy-pills-now.example.com/de/7",
+    "https://www.spam-farm.example.org/en/728", "http://spam-farm.example.net/fr/3/", "https://blog.spam-links.example.com/en/5",
+    "http://casino-win.example.net/en/99", "https://m.casino-win.example.com/es/41.html", "http://win-big-casino.example.org/en/2",
+    "https://free-bets.example.net/en/63", "http://www.free-bets.example.com/de/8/", "https://bets-bonus.example.org/en/77",
+    "http://adult-x.example.com/en/15", "https://m.adult-x.example.net/fr/20", "http://adult-cams.example.com/es/31",
+    "https://ads-track.example.com/en/6", "http://m.ads-track.example.net/en/54.html", "https://ads-click.example.org/de/9"]
+ALLOWED_URLS = [
+    "https://www.ththen.example.com/en/148.html", "http://blog.ththan.example.net/en/960", "https://m.therou.example.com/en/474.html",
+    "http://therha.example.com/fr/676", "https://ththin.example.com/en/671", "https://blog.tionsh.example.net/es/533/",
+    "http://ththed.example.org/en/453", "https://www.ththwh.example.org/en/471", "https://blog.thernd.example.net/de/612",
+    "http://thering.example.com/en/328/", "https://www.therti.example.org/en/334/", "https://m.ththth.example.net/en/25",
+    "http://library.example.org/en/books/4", "https://news.example.com/fr/2021/may/story.html", "https://www.garden-club.example.net/de/roses/",
+    "http://wiki.example.org/es/historia", "https://docs.example.net/en/guide/install.html", "https://www.city-museum.example.com/en/visit"]
+
+
+@query("op1_url_filters")
+def _(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    labelled = spark.createDataFrame([(u, 1) for u in BLOCKED_URLS] + [(u, 0) for u in ALLOWED_URLS], "url string, block int")
+    judged = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules, url_filter.train(labelled))
+    return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
+                         F.col("__verdict").alias("verdict"), F.col("__score").alias("score"))
+
+
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("op2_token_counts")
+def _(spark, sf_dir):
+    """All documents are inserted; toxic ones are deleted; those of bad quality are revised to their distinct lines, a batch that comes twice."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+
+    def changes(rows, op):
+        """Changes under two tokenizer versions: the byte-level vocabulary, and plain words."""
+        rows = rows.withColumn("words", mixing.n_words(F.col("text")))
+        counted = token_counts.count_tokens(rows, TOKENIZER_FILE)
+        each = F.explode(F.array(F.struct(F.lit("byte_bpe_50k").alias("tokenizer"), "tokens"), F.struct(F.lit("words").alias("tokenizer"), F.col("words").alias("tokens"))))
+        return counted.select("doc_id", "source", "lang", each.alias("c")).select("doc_id", "source", "lang", "c.*", F.lit(op).alias("op"), F.lit(0).alias("seq"))
+
+    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex[:12]}")
+    rollup.apply("load", changes(docs, "insert"))
+    toxic = labels.where("toxic = 1").select("doc_id", F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("words"))).alias("tokenizer"))
+    none = F.lit(None).cast("string")
+    rollup.apply("toxic", toxic.select("*", none.alias("source"), none.alias("lang"), F.lit(0).alias("tokens"), F.lit("delete").alias("op"), F.lit(0).alias("seq")))
+    poor = docs.join(labels.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id"), "doc_id")
+    revised = changes(poor.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")), "revise")
+    for _ in range(2):
+        rollup.apply("distinct-lines", revised)
+    return rollup.totals()
