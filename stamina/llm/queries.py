@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import crf_quality, decontamination, mixing, ngram_join, phrases, sharding, token_counts, url_filter
+from stamina.llm import (crf_quality, decontamination, license_scan, line_dedup, mixing, ngram_join, phrases, sharding,
+                         token_counts, url_filter)
 from stamina.llm.common import read
 from stamina.session import ensure_checkpoint_dir, ship
 
@@ -149,3 +150,68 @@ def _(spark, sf_dir):
     for _ in range(2):
         rollup.apply("distinct-lines", revised)
     return rollup.totals()
+
+
+_LINES = r"""
+  d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+  l0 AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS v FROM d),
+  l AS (SELECT doc_id, line, v, len(regexp_extract_all(v, '[^\x20\x09-\x0D]+')) AS w FROM l0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS p, sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS c FROM l WHERE w > 0),
+  spans AS (
+    SELECT a.doc_id, a.p AS s, min(b.p) AS e FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.c - a.c + a.w >= 50 GROUP BY ALL
+    UNION SELECT b.doc_id, max(a.p), b.p FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.p),
+  named AS (SELECT spans.doc_id, s, e, string_agg(v, chr(10) ORDER BY p) AS k FROM spans JOIN n ON n.doc_id = spans.doc_id AND p BETWEEN s AND e GROUP BY ALL),
+  later AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM named),
+  gone AS (SELECT DISTINCT n.doc_id, line FROM later JOIN n ON n.doc_id = later.doc_id AND p BETWEEN s AND e WHERE nth > 1)"""
+
+
+@query("op8_line_dedup", "WITH" + _LINES + """
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(gone.line) AS BIGINT) AS n_removed,
+    coalesce(string_agg(CAST(gone.line AS VARCHAR), ',' ORDER BY gone.line), '') AS removed_lines,
+    sha256(coalesce(string_agg(v, chr(10) ORDER BY l.line) FILTER (gone.line IS NULL), '')) AS kept_sha256
+  FROM l LEFT JOIN gone USING (doc_id, line) GROUP BY doc_id""")
+def _(spark, sf_dir):
+    cut = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"),
+                      F.array_join(F.col("__removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: License notices as (license, text).
+LICENSE_TEMPLATES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+                   'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+            '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+            "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.")]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("op9_license_scans", "WITH templates(license, text) AS (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in LICENSE_TEMPLATES) + f"""),
+  t AS (SELECT license, row_number() OVER () AS t, {SQL_WORDS} AS w FROM templates),
+  ts AS (SELECT DISTINCT license, t, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM t)),
+  size AS (SELECT license, t, count(*) AS n, (count(*) + 1) // 2 AS step, count(*) + (count(*) + 1) // 2 - 1 AS width FROM ts GROUP BY ALL),
+  d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+  dw AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+  hit AS (SELECT doc_id, p, dw.g, size.* FROM dw JOIN ts USING (g) JOIN size ON size.t = ts.t),
+  win AS (SELECT doc_id, license, t, n, g, unnest(range(greatest(0, CAST(ceil((p - width + 1) / step) AS BIGINT)), p // step + 1)) AS k FROM hit),
+  sure AS (SELECT doc_id, license, t, k, count(DISTINCT g) / any_value(n) AS share FROM win GROUP BY ALL HAVING count(DISTINCT g) * 10 >= any_value(n) * 8),
+  best AS (SELECT doc_id, license, max(share) AS share FROM sure GROUP BY ALL),
+  own AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS k, max(share) AS share FROM best GROUP BY doc_id)
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_licenses, coalesce(licenses, '') AS licenses, round(share, 6) AS best_share
+  FROM d LEFT JOIN own ON own.doc_id = d.doc_id""")
+def _(spark, sf_dir):
+    templates = spark.createDataFrame(LICENSE_TEMPLATES, "license string, text string")
+    found = license_scan.scan(read(spark, sf_dir, "documents"), templates)
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("matches").cast("long").alias("n_licenses"),
+                        F.array_join("matches.license", ",").alias("licenses"), F.round(F.array_max("matches.share"), 6).alias("best_share"))
