@@ -181,7 +181,7 @@ def _fit_chain(lines: Lines, label: np.ndarray, w: np.ndarray, turn: np.ndarray,
 def fit(texts: list[str | None], quality: np.ndarray, rounds: int = 3, steps: int = 60, ridge: float = 1e-4) -> Model:
     """Fit on a bounded sample that the caller holds in memory."""
     prior = float(np.mean(quality)) if len(quality) else 0.5
-    if not 0 < prior < 1:
+    if not len(quality) or not 0 < prior < 1:
         return Model(None, np.zeros((2, 2)), 0, 0, prior)
     lines = line_features(texts)
     of = np.repeat(np.arange(len(texts)), lines.count)
@@ -221,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the score of each text in column ``to``."""
+    """``docs`` with the score of each text in column ``to``, in place of a column of that name."""
+    docs = docs.drop(to)
     names = docs.columns
     at = names.index(text)
 

@@ -80,9 +80,10 @@ def _probe(rows: DataFrame, grams: DataFrame, sizes: list[int], with_rows: bool)
         k = sizes[0]
         at = at.select("*", F.lit(k).alias("size"), F.when(fits[k], _gram(k, F.col("at"))).alias("h"))
     else:
-        each = F.filter(F.array(*[F.struct(F.lit(k).alias("size"), F.when(fits[k], _gram(k, F.col("at"))).alias("h")) for k in sizes]),
-                        lambda x: x["h"].isNotNull() | ((F.col("at") < 0) & (x["size"] == sizes[0])))
+        # no lambda here: it would end the generated code, and every window would carry its document's words along
+        each = F.array(*[F.struct(F.lit(k).alias("size"), F.when(fits[k], _gram(k, F.col("at"))).alias("h")) for k in sizes])
         at = at.select("*", F.explode(each).alias("__x")).select("id", "__t1", "__t2", "n_words", "w", "at", "__x.size", "__x.h")
+        at = at.where(F.col("h").isNotNull() | ((F.col("at") < 0) & (F.col("size") == sizes[0])))
     set_ = F.broadcast(grams.select(F.col("h").alias("__h"), F.col("size").alias("__size"), "gram", "items"))
     # the words are compared after the probe: as part of the join they would be joined up for every window
     same = (F.col("size") == F.col("__size")) & (F.col("gram") == F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " "))

@@ -106,11 +106,12 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of the text, and __lines, __removed (numbers of the lines cut out)."""
-    gone = staged(repeated_lines(docs, doc_id, text, min_words).select(F.col("id").alias("__i"), F.col("t").alias("__j"), "lines"), "deleted")
-    total = gone.agg(F.sum(F.size("lines") + 4)).first()[0] or 0
+    gone = staged(repeated_lines(docs, doc_id, text, min_words).select(F.col("id").alias("__i"), F.col("t").alias("__j"), F.col("lines").alias("__gone")), "deleted")
+    total = gone.agg(F.sum(F.size("__gone") + 4)).first()[0] or 0
     side = F.broadcast(gone) if total <= MAX_BROADCAST_LINES else gone
     rows = docs.withColumn("__t", F.xxhash64(text)).join(side, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__j")), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lines", i)), "\n")
-    return rows.select(*[c for c in docs.columns if c != text], F.when(F.col("lines").isNull(), F.col(text)).otherwise(kept).alias(text),
-                       F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce("lines", F.array().cast("array<int>")).alias("__removed"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    cut = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(text)
+    return rows.select(*[cut if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).alias("__lines"),
+                       F.coalesce("__gone", F.array().cast("array<int>")).alias("__removed"))
