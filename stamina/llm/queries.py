@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stamina.llm import (crf_quality, decontamination, license_scan, line_dedup, mixing, ngram_join, phrases, sharding,
                          token_counts, url_filter)
-from stamina.llm.common import read
+from stamina.llm.common import read, staged
 from stamina.session import ensure_checkpoint_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,7 @@ def _(spark, sf_dir):
 
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MAX_BROADCAST_IDS = 2_000_000
 
 
 @query("op2_token_counts")
@@ -145,7 +146,9 @@ def _(spark, sf_dir):
     toxic = labels.where("toxic = 1").select("doc_id", F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("words"))).alias("tokenizer"))
     none = F.lit(None).cast("string")
     rollup.apply("toxic", toxic.select("*", none.alias("source"), none.alias("lang"), F.lit(0).alias("tokens"), F.lit("delete").alias("op"), F.lit(0).alias("seq")))
-    poor = docs.join(labels.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id"), "doc_id")
+    # ids alone are sent to the texts, up to a counted number of them
+    ids = staged(labels.where("quality = 0 and coalesce(toxic, 0) <> 1").select("doc_id"), "poor-ids")
+    poor = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id")
     revised = changes(poor.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")), "revise")
     for _ in range(2):
         rollup.apply("distinct-lines", revised)

@@ -18,7 +18,7 @@ def nasty(spark):
     near = base.replace(" ", "  ", 3) + " tail"
     lines = "\n".join([prose(30), prose(40), "", prose(12)])
     texts = [None, "", "   \n\n ", "word", "two words", base, base, near, base.upper(), lines, lines + "\n" + prose(20), prose(7) + "\n" + lines,
-             prose(20_000), "x" * 100_000, "Ünï " * 70, "!!! ### $$$", prose(60) + "\n\n\n" + prose(60), "a\n" * 3000]
+             prose(20_000), "x" * 100_000, "Ünï " * 70, "!!! ### $$$", prose(60) + "\n\n\n" + prose(60), "a\n" * 150]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, base), (None, None), (5, base), (5, base), (9, prose(80)), (40, prose(300))]
     made = [(i, t, "en", None if k % 7 == 3 else f"s{k % 3}", len(t or ""), "x", 1, "y", "z", "q", 2, "s") for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(made, SCHEMA).repartition(3).cache()
