@@ -40,7 +40,7 @@ def timed_count(samples: DataFrame, keys: list[str], order: list[str], t: str, f
     bad = F.col("__f").isNotNull() & ~frequency_ok(F.col("__f"), F.col("__cmd"))
     return o.result().groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(dt > 0, used * dt)), F.lit(0.0)).alias("cycles"),
-        F.bool_or(bad).alias("mismatch")).withColumn("credited", F.floor(F.round("cycles", 6)))
+        F.bool_or(bad).alias("mismatch")).withColumn("credited", F.floor("cycles"))
 
 
 def cap_crossing(ledgered: DataFrame, keys: list[str], order: list[str], max_cycles: float,

@@ -1,19 +1,16 @@
 """Ordered per-key computation that stays parallel and exact when one key is huge.
 
-A plain ``Window.partitionBy(run).orderBy(t)`` sends each run to one task. Here a
-run with more rows than ``limit`` is cut along its order into segments; every
-window then runs per (run, segment), and what a segment needs to know about the
-segments before it arrives through a small carry table.
-
-Bounds. A key is *hot* when it holds more than ``limit`` rows, where ``limit`` is at
-least 1/MAX_HOT_KEYS of all rows. So at most MAX_HOT_KEYS keys are hot and they have
-at most 2 * MAX_HOT_KEYS segments together, whatever the data size: the hot-key
-table and the carry tables are broadcast under that bound. Nothing is collected.
-
-Finding the hot keys is one aggregation over the key and order columns, written to the
-checkpoint folder because every later branch reads it; so are the carry tables, each by
-one job over the hot rows. Inputs whose whole size fits one task skip all this, and when
-no key is hot the plan is the plain window plan.
+A plain ``Window.partitionBy(run).orderBy(t)`` sends each run to one task. Here the rows of
+a key with more than ``limit`` rows are range-partitioned by (key, order), which cuts them by
+row count whatever the type, spread or ties of the order columns; every window then runs per
+(key, segment), and what a segment needs to know about the segments before it arrives through
+a carry table. Keys within the limit go through the plain window. The limit is the same at
+every data size, and the same path runs on small tables and large ones.
+
+Finding the hot keys is one count over the key columns. The hot rows are written once to the
+checkpoint folder with their segment, since a range partitioning may come out differently when it
+is computed again; so are the carry tables. Nothing is collected. Tables about hot keys are
+broadcast up to ``MAX_BROADCAST_ROWS`` counted rows and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -22,113 +19,67 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stamina.session import ROWS_PER_SEGMENT, cut_lineage, rows_per_segment
+from stamina.session import cut_lineage, rows_per_segment
 
 SEG = "__seg"
-PARTS = "__parts"
-MAX_HOT_KEYS = 100_000
-ONE_TASK_BYTES = 64 << 20
+MAX_BROADCAST_ROWS = 100_000
 
 
-def position_of(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the column's sort order."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    return col.cast("double")
+def hinted(df: DataFrame) -> DataFrame:
+    """A written table, with a broadcast hint if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the inputs this frame reads are small in total, by their size estimates."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext() and total <= ONE_TASK_BYTES:
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total <= ONE_TASK_BYTES
+def find_hot(df: DataFrame, keys: list[str], per_segment: int | None = None) -> DataFrame | None:
+    """(keys, __n): keys with more rows than one task should take, or None."""
+    per = per_segment or rows_per_segment(df.sparkSession)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > per)
+    return None if hot.isEmpty() else cut_lineage(hot)
 
 
-def broadcast_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """Broadcast hint for a configuration table only after its row count is checked.
-
-    A longer table is joined without a hint, by a shuffle join with skew handling.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def find_hot(df: DataFrame, keys: list[str], per_segment: int | None = None,
-             extra: dict[str, Column] | None = None) -> DataFrame | None:
-    """Keys holding more rows than one task should take (at most MAX_HOT_KEYS), or None.
-
-    Adds ``__n``, ``__limit`` and the ``extra`` aggregates.
-    """
-    spark = df.sparkSession
-    forced = per_segment is not None or spark.conf.get(ROWS_PER_SEGMENT, None) is not None
-    if not forced and fits_one_task(df):
-        return None
-    per = per_segment or rows_per_segment(spark)
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                  *[v.alias(k) for k, v in (extra or {}).items()])
-    share = stats.agg(F.ceil(F.sum("__n") / F.lit(float(MAX_HOT_KEYS))).alias("v")).scalar()
-    limit = F.greatest(F.lit(per).cast("bigint"), F.coalesce(share, F.lit(0)))
-    hot = cut_lineage(stats.withColumn("__limit", limit).where(F.col("__n") > F.col("__limit")))
-    return None if hot.isEmpty() else hot
+def join_keyed(df: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys``, null keys included; columns of ``table`` other than the keys are added."""
+    renamed = table.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [df[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys]
+    out = df.join(renamed, on, how)
+    return out.drop(*[f"__k_{k}" for k in keys])
 
 
 class Ordered:
     """Rows of ``df`` ordered by ``order`` within ``keys``; methods append columns.
 
-    ``order`` must identify rows uniquely within a key. Its first column decides the
-    segment. ``prefix sum``, ``last``, ``lag``, ``lead``, ``since`` and ``total`` equal
-    the plain window functions over the whole key.
+    ``order`` must identify rows uniquely within a key. ``prefix sum``, ``last``, ``lag``,
+    ``lead``, ``since`` and ``total`` equal the plain window functions over the whole key.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str],
                  per_segment: int | None = None):
         self.keys, self.order = list(keys), list(order)
         self.per_segment = per_segment
-        pos = position_of(df, order[0])
-        hot = find_hot(df, self.keys, per_segment, {"__lo": F.min(pos), "__hi": F.max(pos)})
-        self.plain = hot is None
-        if self.plain:
-            self.df = df
+        self.cold, self.warm = df, None
+        hot = find_hot(df, self.keys, per_segment)
+        if hot is None:
             return
-        self.hot = hot.where(F.col("__hi") > F.col("__lo")).select(
-            *keys, "__lo", "__hi", F.ceil(F.col("__n") / F.col("__limit")).cast("int").alias(PARTS))
-        cut = F.floor((pos - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col(PARTS))
-        seg = F.when(F.col(PARTS).isNull(), 0).otherwise(
-            F.coalesce(F.least(cut.cast("int"), F.col(PARTS) - 1), F.lit(0)))
-        self.df = (df.join(F.broadcast(self.hot), self.keys, "left")
-                   .withColumn(SEG, seg).drop("__lo", "__hi"))
+        per = per_segment or rows_per_segment(df.sparkSession)
+        parts = -(-2 * hot.agg(F.sum("__n")).first()[0] // per)
+        names = hinted(hot.select(*self.keys))
+        self.cold = join_keyed(df, names, self.keys, "left_anti")
+        rows = join_keyed(df, names, self.keys, "left_semi")
+        self.warm = cut_lineage(rows.repartitionByRange(parts, *self.keys, *self.order).withColumn(SEG, F.spark_partition_id()))
 
     # -- building blocks -------------------------------------------------
-    @property
-    def task_keys(self) -> list[str]:
-        return self.keys if self.plain else [*self.keys, SEG]
-
-    @property
-    def within(self):
-        return Window.partitionBy(*self.task_keys).orderBy(*self.order)
-
-    @property
-    def whole(self):
-        return Window.partitionBy(*self.task_keys)
-
-    def _hot_rows(self) -> DataFrame:
-        return self.df.join(F.broadcast(self.hot.select(*self.keys)), self.keys, "left_semi")
+    def _window(self, warm: bool):
+        return Window.partitionBy(*self.keys, *([SEG] if warm else [])).orderBy(*self.order)
 
     def _rank(self) -> Column:
         return F.struct(*self.order)
 
     def _carry(self, summary: dict[str, Column], scan: Callable) -> None:
         """Join per-segment values computed from the segments of the same hot key."""
-        if self.plain:
+        if self.warm is None:
             return
-        table = self._hot_rows().groupBy(*self.keys, SEG).agg(
+        table = self.warm.groupBy(*self.keys, SEG).agg(
             *[v.alias(k) for k, v in summary.items()])
         along = Window.partitionBy(*self.keys).orderBy(SEG)
         for name, col in scan(along).items():
@@ -136,17 +87,23 @@ class Ordered:
         keep = [c for c in table.columns if c.startswith("__c_")]
         # written once, so that chained operators stay a chain and do not nest their branches
         carry = cut_lineage(table.select(*self.keys, SEG, *keep))
-        self.df = self.df.join(F.broadcast(carry), [*self.keys, SEG], "left")
-
-    def _finish(self, cols: dict[str, Column]) -> "Ordered":
-        self.df = self.df.withColumns(cols)
-        if not self.plain:
-            self.df = self.df.drop(*[c for c in self.df.columns if c.startswith("__c_")])
+        self.warm = join_keyed(self.warm, hinted(carry), [*self.keys, SEG], "left")
+
+    def _finish(self, make: Callable) -> "Ordered":
+        """``make(warm)`` gives the columns to add to the cold rows and to the hot ones."""
+        self.cold = self.cold.withColumns(make(False))
+        if self.warm is not None:
+            warm = self.warm.withColumns(make(True))
+            self.warm = warm.drop(*[c for c in warm.columns if c.startswith("__c_")])
         return self
 
     # -- row-level derivations ------------------------------------------
     def with_columns(self, **cols: Column) -> "Ordered":
-        self.df = self.df.withColumns(cols)
+        return self._finish(lambda warm: cols)
+
+    def drop(self, *names: str) -> "Ordered":
+        self.cold = self.cold.drop(*names)
+        self.warm = None if self.warm is None else self.warm.drop(*names)
         return self
 
     def running_sum(self, **cols: Column) -> "Ordered":
@@ -154,16 +111,16 @@ class Ordered:
         self._carry({f"__s_{k}": F.sum(v) for k, v in cols.items()},
                     lambda w: {f"__c_{k}": F.sum(f"__s_{k}").over(
                         w.rowsBetween(Window.unboundedPreceding, -1)) for k in cols})
-        run = self.within.rowsBetween(Window.unboundedPreceding, 0)
-        out = {}
-        for k, v in cols.items():
-            local = F.sum(v).over(run)
-            if self.plain:
-                out[k] = F.coalesce(local, F.lit(0))
-            else:
-                carry = F.col(f"__c_{k}")
-                out[k] = F.coalesce(local + carry, local, carry, F.lit(0))
-        return self._finish(out)
+
+        def make(warm: bool) -> dict[str, Column]:
+            run = self._window(warm).rowsBetween(Window.unboundedPreceding, 0)
+            out = {}
+            for k, v in cols.items():
+                local = F.sum(v).over(run)
+                carry = F.col(f"__c_{k}") if warm else None
+                out[k] = F.coalesce(local + carry, local, carry, F.lit(0)) if warm else F.coalesce(local, F.lit(0))
+            return out
+        return self._finish(make)
 
     def row_number(self, name: str) -> "Ordered":
         return self.running_sum(**{name: F.lit(1).cast("bigint")})
@@ -175,12 +132,12 @@ class Ordered:
             {f"__s_{k}": F.max_by(v, F.when(v.isNotNull(), rank)) for k, v in cols.items()},
             lambda w: {f"__c_{k}": F.last(f"__s_{k}", ignorenulls=True).over(
                 w.rowsBetween(Window.unboundedPreceding, -1)) for k in cols})
-        run = self.within.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-        return self._finish({k: self._or_carry(F.last(v, ignorenulls=True).over(run), k)
-                             for k, v in cols.items()})
 
-    def _or_carry(self, local: Column, name: str) -> Column:
-        return local if self.plain else F.coalesce(local, F.col(f"__c_{name}"))
+        def make(warm: bool) -> dict[str, Column]:
+            run = self._window(warm).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+            local = {k: F.last(v, ignorenulls=True).over(run) for k, v in cols.items()}
+            return {k: F.coalesce(v, F.col(f"__c_{k}")) if warm else v for k, v in local.items()}
+        return self._finish(make)
 
     def _shift(self, step: int, cols: dict[str, Column]) -> "Ordered":
         boxed = {k: F.struct(v.alias("v")) for k, v in cols.items()}
@@ -188,8 +145,11 @@ class Ordered:
         move = F.lag if step < 0 else F.lead
         self._carry({f"__s_{k}": edge(v, self._rank()) for k, v in boxed.items()},
                     lambda w: {f"__c_{k}": move(f"__s_{k}", 1).over(w) for k in cols})
-        return self._finish({k: self._or_carry(move(v, 1).over(self.within), k)["v"]
-                             for k, v in boxed.items()})
+
+        def make(warm: bool) -> dict[str, Column]:
+            local = {k: move(v, 1).over(self._window(warm)) for k, v in boxed.items()}
+            return {k: (F.coalesce(v, F.col(f"__c_{k}")) if warm else v)["v"] for k, v in local.items()}
+        return self._finish(make)
 
     def lag(self, **cols: Column) -> "Ordered":
         return self._shift(-1, cols)
@@ -209,34 +169,33 @@ class Ordered:
         # a reset leaves a boxed null, so that a closed streak is not mistaken for an open one
         closed = F.struct(F.when(F.lit(False), value).alias("v"))
         self.last(**{name: F.when(opens, box).when(reset, closed)})
-        self.df = self.df.withColumn(name, F.col(name)["v"]).drop("__st")
-        return self
+        return self._finish(lambda warm: {name: F.col(name)["v"]}).drop("__st")
+
+    def _totals(self, table: DataFrame, cold: dict[str, Column]) -> "Ordered":
+        """Columns of ``table`` (keys, __c_..) for the hot rows, window functions for the others."""
+        self.warm = join_keyed(self.warm, hinted(cut_lineage(table)), self.keys, "left")
+        return self._finish(lambda warm: {k: F.col(f"__c_{k}") for k in cold} if warm else cold)
 
     def total(self, **cols: Column) -> "Ordered":
         """Whole-key aggregates next to every row (``F.max(..)``, ``F.count(..)`` and so on)."""
-        if self.plain:
-            return self._finish({k: v.over(self.whole) for k, v in cols.items()})
-        table = self._hot_rows().groupBy(*self.keys).agg(
-            *[v.alias(f"__c_{k}") for k, v in cols.items()])
-        self.df = self.df.join(F.broadcast(cut_lineage(table)), self.keys, "left")
-        return self._finish({k: F.when(F.col(PARTS).isNotNull(), F.col(f"__c_{k}")).otherwise(
-            v.over(self.whole)) for k, v in cols.items()})
+        cold = {k: v.over(Window.partitionBy(*self.keys)) for k, v in cols.items()}
+        if self.warm is None:
+            return self._finish(lambda warm: cold)
+        return self._totals(self.warm.groupBy(*self.keys).agg(*[v.alias(f"__c_{k}") for k, v in cols.items()]), cold)
 
     def total_median(self, **cols: Column) -> "Ordered":
         """Exact whole-key medians next to every row."""
         from stamina.operators.quantiles import distributed_quantile
-        if self.plain:
-            return self._finish({k: F.percentile(v, F.lit(0.5)).over(self.whole)
-                                 for k, v in cols.items()})
         for k, v in cols.items():
-            table = distributed_quantile(self._hot_rows(), self.keys, v, f"__c_{k}", 0.5,
-                                         self.per_segment)
-            self.df = self.df.join(F.broadcast(cut_lineage(table)), self.keys, "left")
-        return self._finish({k: F.when(F.col(PARTS).isNotNull(), F.col(f"__c_{k}")).otherwise(
-            F.percentile(v, F.lit(0.5)).over(self.whole)) for k, v in cols.items()})
+            cold = {k: F.percentile(v, F.lit(0.5)).over(Window.partitionBy(*self.keys))}
+            if self.warm is None:
+                self._finish(lambda warm, cold=cold: cold)
+            else:
+                self._totals(distributed_quantile(self.warm, self.keys, v, f"__c_{k}", 0.5, self.per_segment), cold)
+        return self
 
     def result(self) -> DataFrame:
-        return self.df.drop(SEG, PARTS)
+        return self.cold if self.warm is None else self.cold.unionByName(self.warm.drop(SEG))
 
 
 def haloed(df: DataFrame, keys: list[str], x: str, width: float, reach: float

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stamina.operators.ordered import Ordered, find_hot
+from stamina.operators.ordered import Ordered, find_hot, hinted
 
 
 def distributed_quantile(df: DataFrame, keys: list[str], value: Column, name: str,
@@ -42,7 +42,7 @@ def group_quantile(df: DataFrame, keys: list[str], values: dict[str, Column],
     found = find_hot(slim, keys, per_segment)
     if found is None:
         return builtin(slim)
-    hot = F.broadcast(found.select(*keys))
+    hot = hinted(found.select(*keys))
     large = slim.join(hot, keys, "left_semi")
     wide = found.select(*keys)
     for k in values:
@@ -63,7 +63,7 @@ def group_quantile_grid(df: DataFrame, keys: list[str], value: Column, grid: lis
     found = find_hot(slim, keys)
     if found is None:
         return builtin(slim)
-    hot = F.broadcast(found.select(*keys))
+    hot = hinted(found.select(*keys))
     hist = slim.join(hot, keys, "left_semi").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__cnt"))
     r = Ordered(hist, keys, ["__v"]).running_sum(__cum=F.col("__cnt")).total(__all=F.sum("__cnt")).result()
     before = F.col("__cum") - F.col("__cnt")

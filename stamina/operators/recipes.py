@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accepted keys, vocabularies and ranges of a plan.
 TOP_KEYS = ["schema", "name", "description", "geometry", "drive", "reference", "environment", "counting",
@@ -98,6 +99,13 @@ def all_pass(gates: Column) -> Column:
     return F.forall(gates, lambda g: g["ok"])
 
 
-def config_hash(config: Column) -> Column:
-    """SHA-256 of a configuration struct as JSON with its fields in sorted order."""
-    return F.sha2(F.to_json(config), 256)
+def config_hash(df: DataFrame, config: str) -> Column:
+    """SHA-256 of a configuration struct of ``df`` as JSON, fields sorted by name at every level, nulls kept."""
+    def ordered(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = sorted(kind.fields, key=lambda f: f.name)
+            return F.when(value.isNotNull(), F.struct(*[ordered(value[f.name], f.dataType).alias(f.name) for f in fields]))
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+            return F.transform(value, lambda x: ordered(x, kind.elementType))
+        return value
+    return F.sha2(F.to_json(ordered(F.col(config), df.schema[config].dataType), {"ignoreNullFields": "false"}), 256)

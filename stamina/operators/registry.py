@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stamina.operators.ordered import Ordered, broadcast_small
+from stamina.operators.ordered import Ordered
 
 # Geometry names and statuses of a specimen.
 GEOMETRIES = ("planar16", "bender_10x20", "bender_20x40", "bender_20x80", "custom")
@@ -19,7 +19,7 @@ def hard_cap(specimens: DataFrame, geometry_caps: DataFrame, specimen_caps: Data
              ceiling: float = CEILING_KV) -> DataFrame:
     """Specimen cap, else geometry cap, else the ceiling; never above the ceiling."""
     j = (specimens.join(specimen_caps.withColumnRenamed("cap_kv", "__s"), "specimen_id", "left")
-         .join(broadcast_small(geometry_caps.withColumnRenamed("cap_kv", "__g")), "geometry", "left"))
+         .join(geometry_caps.withColumnRenamed("cap_kv", "__g"), "geometry", "left"))
     return j.withColumn("cap_kv", F.least(F.coalesce("__s", "__g", F.lit(ceiling)), F.lit(ceiling))).drop("__s", "__g")
 
 
@@ -32,6 +32,8 @@ def over_cap(levels: DataFrame, max_kv: float = 10.0) -> DataFrame:
 def upsert_outcomes(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Fold run outcomes into the registry: totals add up, a failure latches.
 
+    Outcomes of specimens that nobody registered change nothing; ``unregistered_outcomes`` has them.
+
     ``outcomes``: specimen_id, run_seq, run_id, disposition, cycles, actuated_s, failure_mode.
     """
     failed = F.col("disposition") == "failed"
@@ -40,7 +42,7 @@ def upsert_outcomes(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.max_by("run_id", "run_seq").alias("__run"), F.bool_or(failed).alias("__failed"),
         F.min_by(F.when(failed, F.coalesce("failure_mode", F.lit("unspecified"))),
                  F.when(failed, F.col("run_seq"))).alias("__mode"))
-    j = registry.join(agg, "specimen_id", "full_outer")
+    j = registry.join(agg, "specimen_id", "left")
     zero = F.lit(0.0)
     status = (F.when((F.col("status") == "failed") | F.coalesce("__failed", F.lit(False)), "failed")
               .when(F.col("__run").isNotNull(), "suspended").otherwise(F.col("status")))
@@ -51,6 +53,11 @@ def upsert_outcomes(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.coalesce("__run", "last_run_id").alias("last_run_id"), F.coalesce("failure_mode", "__mode").alias("failure_mode"))
 
 
+def unregistered_outcomes(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Outcomes refused because their specimen is not in the registry."""
+    return outcomes.join(registry.select("specimen_id"), "specimen_id", "left_anti")
+
+
 def transition_problems(log: DataFrame, order: list[str]) -> DataFrame:
     """Registry changes that are refused: back to test after failure, unknown geometry or status."""
     o = Ordered(log, ["specimen_id"], order).lag(__prev=F.col("status")).result()

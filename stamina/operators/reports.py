@@ -13,7 +13,10 @@ def counts(blocks: DataFrame, interludes: DataFrame, keys: list[str]) -> DataFra
                                   F.array_join(F.array_sort(F.collect_set("counting")), ";").alias("modes"))
     i = interludes.groupBy(*keys).agg(F.count(F.lit(1)).alias("interludes"),
                                       F.count_if("is_baseline").alias("baselines"))
-    return b.join(i, keys)
+    # a run may have blocks only, or interludes only
+    both = b.join(i, keys, "full_outer")
+    return both.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) if c != "modes" else F.coalesce(c, F.lit("")).alias(c)
+                                for c in ("blocks", "modes", "interludes", "baselines")])
 
 
 def context_rows(df: DataFrame, keys: list[str], paths: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stamina.functions.units import compare
-from stamina.operators.ordered import Ordered, broadcast_small
+from stamina.operators.ordered import Ordered
 
 # The default rule set (tier, rule_id, metric, op, threshold, sustain_s, flag_at, action).
 DEFAULT_RULES = [
@@ -66,7 +66,7 @@ def to_metrics(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
 
 def match_rules(metrics: DataFrame, rules: DataFrame, tier: str) -> DataFrame:
     """Metric rows next to their rule (a rule pack is a configuration of a few rows)."""
-    pack = broadcast_small(rules.where(F.col("tier") == tier))
+    pack = rules.where(F.col("tier") == tier)
     return metrics.join(pack, "metric")
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stamina.operators.ordered import Ordered, find_hot
+from stamina.operators.ordered import Ordered, find_hot, hinted
 from stamina.session import cut_lineage
 
 # 90 % point of chi-square with one degree of freedom, bracket of the
@@ -93,12 +93,12 @@ def _hot_split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | N
     found = find_hot(df, keys)
     if found is None:
         return df, None, None
-    hot = F.broadcast(found.select(*keys))
+    hot = hinted(found.select(*keys))
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi"), hot
 
 
 def _moments(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of u^beta, u^beta ln u, u^beta (ln u)^2 per hot group (params: at most MAX_HOT_KEYS)."""
+    """Sums of u^beta, u^beta ln u, u^beta (ln u)^2 per hot group (params: one row each)."""
     lu = F.col("lt") - F.col("tau")
     w = F.exp(F.col("beta") * lu)
     sums = (rows.join(F.broadcast(params.select(*keys, "tau", "beta")), keys).groupBy(*keys)
@@ -158,7 +158,7 @@ def _key_ddl(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def fit_mle(df: DataFrame, keys: list[str], steps: int = 12) -> DataFrame:
+def fit_mle(df: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
     """Maximum likelihood with right censoring: safeguarded Newton on the shape score.
 
     A group that fits one task is solved there, after one shuffle. A hot group is solved
@@ -173,16 +173,24 @@ def fit_mle(df: DataFrame, keys: list[str], steps: int = 12) -> DataFrame:
     if large is None:
         return fitted
     rows, params = _log_units(large, keys)
-    params = cut_lineage(params.select(*keys, "n", "r", "tau", "lf", "beta"))
+    start = F.when((F.col("beta") > BETA_MIN) & (F.col("beta") < BETA_MAX), F.col("beta")).otherwise(F.sqrt(F.lit(BETA_MIN * BETA_MAX)))
+    params = cut_lineage(params.select(*keys, "n", "r", "tau", "lf", start.alias("beta"), F.lit(float(BETA_MIN)).alias("lo"),
+                                       F.lit(float(BETA_MAX)).alias("hi"), F.lit(False).alias("done")))
     m1 = F.col("s1") / F.col("s0")
     score = 1 / F.col("beta") + F.col("lf") / F.col("r") - m1
-    slope = -1 / (F.col("beta") * F.col("beta")) - (F.col("s2") / F.col("s0") - m1 * m1)
-    for _ in range(steps):
-        nxt = F.col("beta") - score / slope
-        nxt = F.greatest(F.col("beta") / 3, F.least(F.col("beta") * 3, nxt))
-        params = cut_lineage(_moments(rows, params, keys).select(
-            *keys, "n", "r", "tau", "lf",
-            F.greatest(F.lit(BETA_MIN), F.least(F.lit(BETA_MAX), nxt)).alias("beta")))
+    step = score / (1 / (F.col("beta") * F.col("beta")) + F.col("s2") / F.col("s0") - m1 * m1)
+    for _ in range(steps):                               # the bracket and the stop rule of a group in one task
+        m = _moments(rows, params, keys).withColumn("__up", score > 0).withColumn("__step", step)
+        m = m.withColumn("lo", F.when(F.col("__up"), F.col("beta")).otherwise(F.col("lo"))).withColumn(
+            "hi", F.when(F.col("__up"), F.col("hi")).otherwise(F.col("beta"))).withColumn("__to", F.col("beta") + F.col("__step"))
+        end = F.col("done") | (F.abs("__step") < 1e-13 * F.abs("__to")) | (F.col("hi") - F.col("lo") < 1e-14)
+        inside = (F.col("__to") > F.col("lo")) & (F.col("__to") < F.col("hi"))
+        to = F.when(F.col("done"), F.col("beta")).when(inside | end, F.col("__to")).otherwise(F.sqrt(F.col("lo") * F.col("hi")))
+        params = cut_lineage(m.select(*keys, "n", "r", "tau", "lf", to.alias("beta"), "lo", "hi", end.alias("done")))
+        if params.where("not done").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"the fit of some groups did not converge in {steps} steps")
     m = _moments(rows, params, keys).where(
         (F.col("beta") > BETA_MIN * 1.0001) & (F.col("beta") < BETA_MAX * 0.9999))
     r, beta = F.col("r").cast("double"), F.col("beta")

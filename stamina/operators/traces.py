@@ -245,7 +245,7 @@ def arc_length(nodes: DataFrame, keys: list[str], order: str) -> Ordered:
     o = Ordered(nodes, keys, [order]).lag(__px=F.col("x"), __py=F.col("y"))
     step = F.coalesce(F.hypot(F.col("x") - F.col("__px"), F.col("y") - F.col("__py")), F.lit(0.0))
     o = o.running_sum(s=step).lead(s_next=F.col("s"), x_next=F.col("x"), y_next=F.col("y")).total(s_all=F.max("s"))
-    o.df = o.df.drop("__px", "__py")
+    o.drop("__px", "__py")
     return o
 
 

@@ -18,7 +18,7 @@ def _event_folders(t):
         F.col("event_type").alias("action"), F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("message"))
     path = R.scratch(t.spark, "events")
     out = K.project(e.withColumn("__s", F.col("specimen")).withColumn("__r", F.col("run")), [*R.EVENTS, "__s", "__r"])
-    out.repartition("__s").write.partitionBy("__s", "__r").option("header", True).csv(path)
+    out.repartition("__s", "__r").write.partitionBy("__s", "__r").option("header", True).csv(path)
     return path
 
 
@@ -132,7 +132,7 @@ def _(t):
     head = ["frame", "t_s", "a_dx", "a_dy", "a_n", "b_dx", "b_dy", "b_n"]
     w = t.trace.select("frame", "t_s", F.col("disp").alias("a_dx"), F.lit(0.5).alias("a_dy"), F.lit(1).alias("a_n"), (-F.col("disp")).alias("b_dx"), F.lit(0.1).alias("b_dy"),
                        F.lit(1).alias("b_n"), F.concat(F.lit("clip"), F.col("clip") % 20).alias("c"))
-    w.repartition("c").write.partitionBy("c").option("header", True).csv(path)
+    w.repartition(F.col("c"), F.pmod(F.xxhash64("frame"), F.lit(8))).write.partitionBy("c").option("header", True).csv(path)
     raw = t.spark.read.schema(R.text_schema(head)).option("header", True).option("recursiveFileLookup", True).csv(path)
     d = raw.select(F.regexp_extract(F.col("_metadata.file_path"), "/c=([^/]+)/", 1).alias("clip"), *[
         F.trim(F.col(c)).try_cast("int" if c == "frame" else "double").alias(c) for c in head])

@@ -205,9 +205,12 @@ def _(t):
     return d.select("doc_id", F.array_join(P.claim_problems(), "; ").alias("problems")).where("problems <> ''")
 
 
-@query("k8_config_hash", oracle("""SELECT c_custkey, sha256('{"cap_kv":'||c_custkey||',"geometry":"'||c_mktsegment||'"}') AS sha FROM customer"""))
+@query("k8_config_hash", oracle("""SELECT c_custkey, sha256('{"cap_kv":'||c_custkey||',"drive":{"hz":0.5,"note":null},"geometry":"'||c_mktsegment||'"}') AS sha FROM customer"""))
 def _(t):
-    return t("customer").select("c_custkey", Q.config_hash(F.struct(F.col("c_custkey").alias("cap_kv"), F.col("c_mktsegment").alias("geometry"))).alias("sha"))
+    drive = F.struct(F.lit(None).cast("string").alias("note"), F.lit(0.5).alias("hz"))
+    config = F.struct(F.col("c_mktsegment").alias("geometry"), drive.alias("drive"), F.col("c_custkey").alias("cap_kv"))
+    c = t("customer").select("c_custkey", config.alias("config"))
+    return c.select("c_custkey", Q.config_hash(c, "config").alias("sha"))
 
 
 @query("a11_campaign_context", oracle(
@@ -235,8 +238,8 @@ def _(t):
 @query("r1_run_report", oracle(
     """, i AS (SELECT run_id, count(*) AS ni, count(*) FILTER (is_baseline) AS nb FROM interludes GROUP BY run_id),
     b AS (SELECT run_id, count(*) AS blocks, CAST(sum(CASE WHEN type='cycle' THEN cycles_done ELSE 0 END) AS BIGINT) AS cycles, bool_or(counting='burst' AND cycles_done>4800) AS f FROM blocks GROUP BY run_id)
-    SELECT b.run_id, blocks, cycles, ni AS interludes, nb AS baselines, CASE WHEN f THEN 'FAILED at '||format('{:,}',cycles)||' cycles: leakage' ELSE 'Reached its stop cap at '||format('{:,}',cycles)||' cycles' END AS verdict,
-    CASE WHEN f THEN 'failed' ELSE 'suspended' END AS enters_as FROM b JOIN i USING (run_id)""", "blocks", "interludes"))
+    SELECT b.run_id, blocks, cycles, coalesce(ni,0) AS interludes, coalesce(nb,0) AS baselines, CASE WHEN f THEN 'FAILED at '||format('{:,}',cycles)||' cycles: leakage' ELSE 'Reached its stop cap at '||format('{:,}',cycles)||' cycles' END AS verdict,
+    CASE WHEN f THEN 'failed' ELSE 'suspended' END AS enters_as FROM b LEFT JOIN i USING (run_id)""", "blocks", "interludes"))
 def _(t):
     from stamina.operators.registry import verdict
     c = P.counts(t.blocks, t.interludes, ["run_id"]).drop("modes")

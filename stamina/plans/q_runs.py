@@ -214,7 +214,7 @@ TIMED = """, a AS (SELECT *, CASE WHEN i_status='ok' THEN f_meas END AS f, lag(t
 
 
 @query("w8_timed_count", oracle(
-    TIMED + " SELECT run_id, round(cy,3) AS cycles, mm AS mismatch, CAST(floor(round(cy,6)) AS BIGINT) AS credited FROM d", "telemetry"))
+    TIMED + " SELECT run_id, round(cy,3) AS cycles, mm AS mismatch, CAST(floor(cy) AS BIGINT) AS credited FROM d", "telemetry"))
 def _(t):
     f = F.when(F.col("i_status") == "ok", F.col("f_meas"))
     return rounded(L.timed_count(t.telemetry, KEYS, ORDER, "t_s", f, F.lit(3.0), 3600.0), 3)
@@ -222,12 +222,11 @@ def _(t):
 
 @query("w20_evidence_ring", oracle(
     """, s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, sample_id) AS rn FROM telemetry),
-    tr AS (SELECT run_id, sample_id AS trip, rn FROM s WHERE i_status='offscreen' AND ts>=TIMESTAMP '2024-01-10')
-    SELECT s.run_id, tr.trip, s.sample_id, tr.rn-s.rn AS age FROM s JOIN tr ON s.run_id=tr.run_id AND s.rn BETWEEN tr.rn-11 AND tr.rn""", "telemetry"))
+    tr AS (SELECT run_id, sample_id AS trip, rn FROM s WHERE i_status='offscreen')
+    SELECT s.run_id, tr.trip, s.sample_id, tr.rn-s.rn AS age FROM s JOIN tr ON s.run_id=tr.run_id AND s.rn BETWEEN tr.rn-119 AND tr.rn""", "telemetry"))
 def _(t):
-    trips = (t.telemetry.where("i_status = 'offscreen' and ts >= timestamp'2024-01-10'")
-             .withColumn("trip", F.col("sample_id")))
-    return R.evidence_ring(t.telemetry, trips, KEYS, ORDER, "trip", 12).select("run_id", "trip", "sample_id", "age")
+    trips = t.telemetry.where("i_status = 'offscreen'").withColumn("trip", F.col("sample_id"))
+    return R.evidence_ring(t.telemetry, trips, KEYS, ORDER, "trip", 120).select("run_id", "trip", "sample_id", "age")
 
 
 @query("w21_recent_events", oracle(
@@ -310,7 +309,9 @@ def _(t):
         F.when((F.col("counting") == "burst") & (b % 4 == 0), "failed").otherwise("complete").alias("disposition"),
         F.col("cycles_done").cast("double").alias("cycles"), (F.col("cycles_done") / F.col("freq_hz") * 0.5).alias("actuated_s"),
         F.when(b % 8 != 0, "leakage").alias("failure_mode"))
-    return rounded(G.upsert_outcomes(reg, out), 4)
+    # outcomes of specimens that nobody registered must not enter
+    strange = out.withColumn("specimen_id", -F.col("specimen_id") - 1)
+    return rounded(G.upsert_outcomes(reg, out.unionByName(strange)), 4)
 
 
 CAPS = """caps AS (SELECT s.*, least(coalesce(specimen_cap_kv, g.cap, 10e0), 10e0) AS cap_kv FROM specimens s LEFT JOIN
@@ -423,12 +424,14 @@ def _(t):
 
 
 @query("a26_report_counts", oracle(
-    """, i AS (SELECT run_id, count(*) AS interludes, count(*) FILTER (is_baseline) AS baselines FROM interludes GROUP BY run_id)
-    SELECT b.run_id, count(*) AS blocks, array_to_string(list_sort(list(DISTINCT counting)),';') AS modes, any_value(interludes) AS interludes,
-    any_value(baselines) AS baselines FROM blocks b JOIN i USING (run_id) GROUP BY b.run_id""", "blocks", "interludes"))
+    """, i AS (SELECT run_id, count(*) AS interludes, count(*) FILTER (is_baseline) AS baselines FROM interludes WHERE rest_value>3.5 GROUP BY run_id),
+    b AS (SELECT run_id, count(*) AS blocks, array_to_string(list_sort(list(DISTINCT counting)),';') AS modes FROM blocks WHERE type='dc_hold' GROUP BY run_id)
+    SELECT run_id, coalesce(blocks,0) AS blocks, coalesce(modes,'') AS modes, coalesce(interludes,0) AS interludes,
+    coalesce(baselines,0) AS baselines FROM b FULL JOIN i USING (run_id)""", "blocks", "interludes"))
 def _(t):
+    """Holds and stiff interludes: some runs have only the one or the other."""
     from stamina.operators.reports import counts
-    return counts(t.blocks, t.interludes, ["run_id"])
+    return counts(t.blocks.where("type = 'dc_hold'"), t.interludes.where("rest_value > 3.5"), ["run_id"])
 
 
 @query("a27_medium_rules", oracle(

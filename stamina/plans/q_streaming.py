@@ -7,7 +7,7 @@ from stamina.plans.bindings import oracle
 from stamina.plans.registry import query, rounded
 from stamina.streaming import processors as P
 from stamina.streaming import windows as W
-from stamina.streaming.engine import run_to_table, store_slices, telemetry_stream
+from stamina.streaming.engine import CLOSING, run_to_table, store_slices, telemetry_stream
 
 K, ORDER, SLICES = "run_id", ["t_s", "sample_id"], 3
 
@@ -60,7 +60,7 @@ def _(t):
     SELECT run_id, round(min(t_s),3) AS first_update, round(max(t_s)+7200,3) AS stale_at, count(*) AS updates FROM h GROUP BY run_id, ses""", "telemetry"))
 def _(t):
     s = replayed(t, t.telemetry.select("run_id", "ts"), close_after="30 days")
-    out = run(t, W.stale_runs(s, ["run_id"], "ts", "2 hours")).where("run_id is not null")
+    out = run(t, W.stale_runs(s, ["run_id", CLOSING], "ts", "2 hours")).where(~F.col(CLOSING)).drop(CLOSING)
     return rounded(out.select("run_id", *[(F.unix_micros(c) / 1e6).alias(c) for c in ("first_update", "stale_at")], "updates"), 3)
 
 
@@ -93,7 +93,7 @@ def _(t):
     """SELECT run_id, CAST(floor(t_s/3600)*3600 AS BIGINT) AS slot, max_by(i_status, ts) AS status, round(max(t_s),3) AS updated FROM telemetry GROUP BY run_id, floor(t_s/3600)""", "telemetry"))
 def _(t):
     s = replayed(t, t.telemetry.select("run_id", "ts", "i_status"), close_after="30 days")
-    out = run(t, W.latest_status(s, ["run_id"], "ts", F.col("i_status"), "1 hour")).where("run_id is not null")
+    out = run(t, W.latest_status(s, ["run_id", CLOSING], "ts", F.col("i_status"), "1 hour")).where(~F.col(CLOSING)).drop(CLOSING)
     return rounded(out.select("run_id", F.unix_seconds("slot").alias("slot"), "status", (F.unix_micros("updated") / 1e6).alias("updated")), 3)
 
 
@@ -126,16 +126,16 @@ def _(t):
 
 
 @query("x12_evidence_stream", oracle(
-    """, s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, sample_id) AS rn FROM telemetry), tr AS (SELECT run_id, sample_id AS trip_id, rn FROM s WHERE i_status='offscreen' AND kv>0.3)
-    SELECT s.run_id, tr.trip_id, s.sample_id, tr.rn-s.rn AS age FROM s JOIN tr ON s.run_id=tr.run_id AND s.rn BETWEEN tr.rn-11 AND tr.rn""", "telemetry"))
+    """, s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, sample_id) AS rn FROM telemetry), tr AS (SELECT run_id, sample_id AS trip_id, rn FROM s WHERE i_status='offscreen')
+    SELECT s.run_id, tr.trip_id, s.sample_id, tr.rn-s.rn AS age FROM s JOIN tr ON s.run_id=tr.run_id AND s.rn BETWEEN tr.rn-119 AND tr.rn""", "telemetry"))
 def _(t):
-    s = replayed(t, t.telemetry).select("run_id", "sample_id", "t_s", ((F.col("i_status") == "offscreen") & (F.col("kv") > 0.3)).alias("trip"))
-    return run(t, P.apply(s, P.EvidenceRing(K, ORDER, 12), "run_id bigint, trip_id bigint, sample_id bigint, age bigint"))
+    s = replayed(t, t.telemetry).select("run_id", "sample_id", "t_s", (F.col("i_status") == "offscreen").alias("trip"))
+    return run(t, P.apply(s, P.EvidenceRing(K, ORDER, 120), "run_id bigint, trip_id bigint, sample_id bigint, age bigint"))
 
 
 @query("x14_live_envelope", oracle(
     """SELECT run_id, CAST(floor(t_s/21600)*21600-21600*k AS BIGINT) AS slot, min(kv) AS lo, max(kv) AS hi, count(*) AS n FROM telemetry, (SELECT unnest([0,1]) AS k) GROUP BY ALL""", "telemetry"))
 def _(t):
     s = replayed(t, t.telemetry.select("run_id", "ts", "kv"), close_after="30 days")
-    out = run(t, W.live_envelope(s, ["run_id"], "ts", "kv", "12 hours", "6 hours")).where("run_id is not null")
+    out = run(t, W.live_envelope(s, ["run_id", CLOSING], "ts", "kv", "12 hours", "6 hours")).where(~F.col(CLOSING)).drop(CLOSING)
     return out.select("run_id", F.unix_seconds("slot").alias("slot"), "lo", "hi", "n")

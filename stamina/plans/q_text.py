@@ -212,7 +212,7 @@ def _(t):
         e.where("value < 2").select("user_id", "event_type"), ["user_id", "event_type"], "left_anti")
 
 
-@query("u3_sorted_distinct", """SELECT user_id, array_to_string(list_sort(list(DISTINCT CAST(floor(value) AS BIGINT))),';') AS lv FROM events WHERE value<8 GROUP BY user_id""")
+@query("u3_sorted_distinct", """SELECT user_id, array_to_string(list_sort(list(DISTINCT CAST(floor(value) AS BIGINT))),';') AS lv FROM events GROUP BY user_id""")
 def _(t):
-    return (t("events").where("value < 8").select("user_id", F.floor("value").alias("v")).distinct().groupBy("user_id")
+    return (t("events").select("user_id", F.floor("value").alias("v")).distinct().groupBy("user_id")
             .agg(F.array_join(F.array_sort(F.collect_list("v")), ";").alias("lv")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ def rows_per_segment(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only if unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of this machine's only if that is unset and Spark runs on it alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset; executors on other machines need a shared folder")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current

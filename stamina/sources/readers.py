@@ -175,9 +175,8 @@ def files_below(spark: SparkSession, pattern: str) -> DataFrame:
 
 def every_nth(files: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Every n-th item of each folder in name order."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return files.withColumn("__k", F.row_number().over(w)).where((F.col("__k") - 1) % n == 0).drop("__k")
+    from stamina.operators.ordered import Ordered
+    return Ordered(files, keys, order).row_number("__k").result().where((F.col("__k") - 1) % n == 0).drop("__k")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

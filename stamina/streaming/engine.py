@@ -12,6 +12,7 @@ from stamina.sources.readers import scratch
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATENESS = "10 minutes"
+CLOSING = "__closing"
 
 
 def telemetry_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts",
@@ -31,9 +32,11 @@ def late_rows(df: DataFrame, ts: str, seen_until: str, lateness_s: float) -> Dat
 def store_slices(df: DataFrame, ts: str, slices: int, close_after: str | None = None) -> tuple[str, T.StructType]:
     """Stores rows as ``slices`` files in time order, so that a stream reads several micro-batches.
 
-    ``close_after`` adds a last file with one all-null row that much later: it moves the
-    watermark past the data, so that every window of a finite replay is emitted.
+    ``close_after`` adds a last file with one row that much later, marked in column ``CLOSING``: it moves
+    the watermark past the data, so that every window of a finite replay is emitted.
     """
+    if close_after:
+        df = df.withColumn(CLOSING, F.lit(False))
     path = scratch(df.sparkSession, "replay")
     sec = F.unix_micros(F.col(ts).cast("timestamp"))
     ends = df.agg(F.min(sec).alias("lo"), F.max(sec).alias("hi")).first()
@@ -43,7 +46,7 @@ def store_slices(df: DataFrame, ts: str, slices: int, close_after: str | None =
         part.coalesce(1).write.mode("append").parquet(path)
     if close_after:
         end = df.agg((F.max(ts) + F.expr(f"interval {close_after}")).alias(ts))
-        end.select(*[F.col(c) if c == ts else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
+        end.select(*[F.col(c) if c == ts else F.lit(True).alias(c) if c == CLOSING else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
                    ).write.mode("append").parquet(path)
     return path, df.schema
 
