@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stamina.functions.text import circular_resample  # noqa: F401  (part of the waveform family)
-from stamina.operators.intervals import interval_join
+from stamina.operators.intervals import asof_join
 
 # Staircase timing defaults in seconds, burst margin and chunk size.
 RAMP_S, LANDING_S, SETTLE_S, LEAD_S, WARMUP_S = 5.0, 60.0, 2.0, 1.0, 2.0
@@ -80,15 +80,20 @@ def snapshot_plan(profiles: DataFrame, steps: DataFrame, keys: list[str], settle
                             .select(*keys, F.col("s.t").alias("t"), "step", "kv", F.col("s.tag").alias("tag")))
 
 
-def commanded_level(points: DataFrame, segs: DataFrame, keys: list[str], t: str, bucket: float = 60.0) -> DataFrame:
-    """Commanded kV at each time: 0 before the first segment, linear in ramps, last level after the end."""
+def commanded_level(points: DataFrame, segs: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """Commanded kV at each time: 0 before the first segment, linear in ramps, last level after the end.
+
+    Segments of a key do not overlap, so the one a time lies in is the last that begins by then.
+    """
     ends = segs.groupBy(*keys).agg(F.max("t1").alias("__end"), F.max_by("to_kv", F.struct("t1", "t0")).alias("__final"))
-    j = interval_join(points, segs.select(*keys, "kind", "t0", "t1", "from_kv", "to_kv"), keys, t, "t0", "t1", bucket, how="left")
-    u = (F.col(t) - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    inside = F.when(F.col("kind") == "hold", F.col("to_kv")).otherwise(F.col("from_kv") + (F.col("to_kv") - F.col("from_kv")) * u)
+    begun = segs.where("t1 > t0").select(*keys, F.col("t0").alias(t), F.struct("kind", "t0", "t1", "from_kv", "to_kv").alias("__seg_box"))
+    j = asof_join(points, begun, keys, t, {"__s": F.col("__seg_box")}, [])
+    s = F.col("__s")
+    u = (F.col(t) - s["t0"]) / (s["t1"] - s["t0"])
+    inside = F.when(s["kind"] == "hold", s["to_kv"]).otherwise(s["from_kv"] + (s["to_kv"] - s["from_kv"]) * u)
     out = j.join(ends, keys)
-    return out.withColumn("kv_at", F.when(F.col("kind").isNotNull() & (F.col(t) > 0), inside).when(
-        F.col(t) >= F.col("__end"), F.col("__final")).otherwise(0.0)).drop("kind", "t0", "t1", "from_kv", "to_kv", "__end", "__final")
+    return out.withColumn("kv_at", F.when((F.col(t) < s["t1"]) & (F.col(t) > 0), inside).when(
+        F.col(t) >= F.col("__end"), F.col("__final")).otherwise(0.0)).drop("__s", "__end", "__final")
 
 
 def flatten_plan(plan: DataFrame, keys: list[str]) -> DataFrame:

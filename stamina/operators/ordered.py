@@ -171,17 +171,18 @@ class Ordered:
         self.last(**{name: F.when(opens, box).when(reset, closed)})
         return self._finish(lambda warm: {name: F.col(name)["v"]}).drop("__st")
 
-    def _totals(self, table: DataFrame, cold: dict[str, Column]) -> "Ordered":
+    def _totals(self, table: DataFrame, cold: dict[str, Column], keys: list[str]) -> "Ordered":
         """Columns of ``table`` (keys, __c_..) for the hot rows, window functions for the others."""
-        self.warm = join_keyed(self.warm, hinted(cut_lineage(table)), self.keys, "left")
+        self.warm = join_keyed(self.warm, hinted(cut_lineage(table)), keys, "left")
         return self._finish(lambda warm: {k: F.col(f"__c_{k}") for k in cold} if warm else cold)
 
-    def total(self, **cols: Column) -> "Ordered":
-        """Whole-key aggregates next to every row (``F.max(..)``, ``F.count(..)`` and so on)."""
-        cold = {k: v.over(Window.partitionBy(*self.keys)) for k, v in cols.items()}
+    def total(self, by: tuple[str, ...] = (), **cols: Column) -> "Ordered":
+        """Aggregates of the whole key, or of its rows with equal ``by``, next to every row (``F.max(..)`` and so on)."""
+        keys = [*self.keys, *by]
+        cold = {k: v.over(Window.partitionBy(*keys)) for k, v in cols.items()}
         if self.warm is None:
             return self._finish(lambda warm: cold)
-        return self._totals(self.warm.groupBy(*self.keys).agg(*[v.alias(f"__c_{k}") for k, v in cols.items()]), cold)
+        return self._totals(self.warm.groupBy(*keys).agg(*[v.alias(f"__c_{k}") for k, v in cols.items()]), cold, keys)
 
     def total_median(self, **cols: Column) -> "Ordered":
         """Exact whole-key medians next to every row."""
@@ -191,7 +192,7 @@ class Ordered:
             if self.warm is None:
                 self._finish(lambda warm, cold=cold: cold)
             else:
-                self._totals(distributed_quantile(self.warm, self.keys, v, f"__c_{k}", 0.5, self.per_segment), cold)
+                self._totals(distributed_quantile(self.warm, self.keys, v, f"__c_{k}", 0.5, self.per_segment), cold, self.keys)
         return self
 
     def result(self) -> DataFrame:

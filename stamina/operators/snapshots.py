@@ -60,16 +60,14 @@ def breakdown(rows: DataFrame, keys: list[str], settings: dict = SETTINGS) -> Da
     base = base.last(False, __prev=F.when(seen, F.struct("area", "kv")))
     drop = F.coalesce(seen & (F.col("kv") >= F.col("__prev.kv")) & (
         F.col("area") < F.col("__prev.area") * (1 - settings["area_jump_pct"] / 100)), F.lit(False))
-    out = (base.with_columns(
+    base = base.with_columns(
         current=F.when(F.col("event") & near, "current").when(
             ~has & (F.abs("ua") > settings["breakdown_ua"]), "absolute"),
         transient=F.col("event") & ~near, collapse=drop,
         collapse_pct=F.when(drop, 100 * (1 - F.col("area") / F.col("__prev.area"))),
-        has_median=has).result().drop("__pe", "__ne", "__prev", "__m", "n_ua", "last_ua"))
-    # one row per (run, level) that saw an event; tolerance far below any level step
-    level = F.round("kv", 6)
-    hit = (out.where("event").select(*keys, level.alias("__lv")).distinct().withColumn("__hit", F.lit(True)))
-    out = out.withColumn("__lv", level).join(hit, [*keys, "__lv"], "left").drop("__lv")
+        has_median=has, __lv=F.round("kv", 6))           # tolerance far below any level step
+    out = (base.total(by=("__lv",), __hit=F.max(F.col("event") & F.col("__lv").isNotNull())).result()
+           .drop("__pe", "__ne", "__prev", "__m", "n_ua", "last_ua", "__lv"))
     certain = F.col("collapse") & (~F.col("has_median") | F.coalesce("__hit", F.lit(False)))
     confirmed = F.coalesce(F.col("current"), F.when(certain, "area"))
     advisory = F.concat_ws("; ", F.when(F.col("transient"), "transient"), F.when(F.col("collapse") & ~certain, "collapse"))
