@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stamina.llm.textvec import texts_of
+
 MAX_TRAINING_DOCS = 2000
 MAX_TRAINING_LINES = 2000
 ACCEPT = 0.3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 UPPER, LOWER, DIGIT, LEAD, CONT, SPACE, PLAIN, SHOUT, ODD = range(9)
 
@@ -228,9 +230,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             out, chunk, size = [], [], 0
-            for t in texts:
+            for t in texts_of(batch.column(at)):
                 chunk.append(t)
                 size += len(t or "") + 1
                 if size >= CHUNK_BYTES:

@@ -59,7 +59,7 @@ def _sign(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for raw in textvec.chunks(batch.column(3).to_pylist()):
+            for raw in textvec.chunks(textvec.texts_of(batch.column(3))):
                 values, count = textvec.shingle_sets(raw, SHINGLE)
                 d1, d2 = textvec.digests(values, count)
                 sig = textvec.minhash(values, count, BANDS * BAND_ROWS, SEED)
@@ -238,7 +238,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: flo
         for table in _groups(batches, 3):
             first, end = _bounds(table, 3)
             sets = []
-            for raw in textvec.chunks(table.column("text").to_pylist()):
+            for raw in textvec.chunks(textvec.texts_of(table.column("text"))):
                 values, count = textvec.shingle_sets(raw, SHINGLE)
                 sets += np.split(values, np.cumsum(count)[:-1])
             own, ta, tb, node, copies = (table.column(c).to_numpy() for c in ("own", "ta", "tb", "node", "copies"))

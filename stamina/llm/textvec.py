@@ -5,11 +5,11 @@ Words are the runs of bytes that are digits, letters (A-Z as a-z) or not ASCII,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
@@ -24,7 +24,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+def texts_of(column, step: int = 1000) -> Iterator[str | None]:
+    """The texts of an Arrow column, turned into Python strings a few at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """The texts as bytes (null as none), in lists of about ``limit`` bytes and at most 60,000 texts."""
     out, size = [], 0
     for t in texts:
