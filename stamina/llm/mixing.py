@@ -29,6 +29,7 @@ from stamina.llm.common import staged
 BLOCK_DOCS = 256
 GROUP_BLOCKS = 1024
 SHARDS = 16
+HANDS = 4096
 MAX_BROADCAST_SOURCES = 200_000
 WORD_PATTERN = r"[\x20\x09-\x0D]+"
 
@@ -205,6 +206,6 @@ def mix(docs: DataFrame, weigh, doc_id: str = "doc_id", source: str = "source",
     rows = rows.withColumn("more", (F.when(F.col("__n") > 1, nth).otherwise(1) <= F.col("extra")).cast("long"))
     rows = rows.select("__doc", F.posexplode(placements(rows)).alias("__copy", "__shard"))
     by = F.xxhash64(F.col(f"__doc.{doc_id}"), F.col("__copy"), F.lit(seed + 2))
-    # a shard of any size is written by as many tasks as it needs
-    rows = rows.withColumn("__by", by).repartition("__shard", F.pmod("__by", F.lit(16)))
+    # a shard of any size is written by as many tasks as there are: its rows are dealt in many small hands
+    rows = rows.withColumn("__by", by).repartition("__shard", F.pmod("__by", F.lit(HANDS)))
     return rows.sortWithinPartitions("__shard", "__by").select("__doc.*")
