@@ -111,6 +111,16 @@ def _bounds(table: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], table.num_rows)
 
 
+def _pieces(table: pa.Table, keys: int, rows: int) -> Iterator[pa.Table]:
+    """The table in pieces of whole groups: about ``rows`` rows, or one larger group."""
+    first, end = _bounds(table, keys)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(end, first[at] + rows, "right")))
+        yield table.slice(int(first[at]), int(end[to - 1] - first[at]))
+        at = to
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Smallest row number of each component, after adding edges a - b."""
     while len(a):
@@ -183,25 +193,32 @@ def _candidates(nodes: DataFrame, threshold: float, tolerance: float, tile: int)
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _overlaps(values: list[np.ndarray]) -> np.ndarray:
-    """Number of common values of every two of some sorted distinct arrays."""
+def _overlaps(values: list[np.ndarray], at_once: int = 1 << 19) -> np.ndarray:
+    """Number of common values of every two of some sorted distinct arrays of 48-bit hashes.
+
+    The hashes are taken in ranges of about ``at_once`` values, so that long texts cost time and not memory.
+    """
     n = len(values)
-    of = np.repeat(np.arange(n), [len(v) for v in values])
-    _, column, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    of, column = of[shared], column[shared]
     out = np.zeros((n, n), np.float32)
-    if not len(of):
-        return out
-    _, column = np.unique(column, return_inverse=True)
+    ranges = 1 + sum(len(v) for v in values) // at_once
+    bounds = (np.arange(1, ranges, dtype=np.float64) * (float(1 << 48) / ranges)).astype(np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(v, bounds), [len(v)]]) for v in values]
     width = max(1, (1 << 21) // n)
-    order = np.argsort(column, kind="stable")
-    of, column = of[order], column[order]
-    for low in range(0, int(column[-1]) + 1, width):
-        a, b = np.searchsorted(column, [low, low + width])
-        m = np.zeros((n, width), np.float32)
-        m[of[a:b], column[a:b] - low] = 1
-        out += m @ m.T
+    for r in range(ranges):
+        _, column, times = np.unique(np.concatenate([v[c[r]:c[r + 1]] for v, c in zip(values, cuts)]), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(n), [c[r + 1] - c[r] for c in cuts])
+        shared = times[column] > 1
+        of, column = of[shared], column[shared]
+        if not len(of):
+            continue
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        for low in range(0, int(column[-1]) + 1, width):
+            a, b = np.searchsorted(column, [low, low + width])
+            m = np.zeros((n, width), np.float32)
+            m[of[a:b], column[a:b] - low] = 1
+            out += m @ m.T
     return out
 
 
@@ -236,17 +253,18 @@ def _verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: flo
 
     def run(batches):
         for table in _groups(batches, 3):
-            first, end = _bounds(table, 3)
-            sets = []
-            for raw in textvec.chunks(textvec.texts_of(table.column("text"))):
-                values, count = textvec.shingle_sets(raw, SHINGLE)
-                sets += np.split(values, np.cumsum(count)[:-1])
-            own, ta, tb, node, copies = (table.column(c).to_numpy() for c in ("own", "ta", "tb", "node", "copies"))
-            links, root = np.zeros(len(node), np.int64), node.copy()
-            for a, b in zip(first, end):
-                if b - a > 1:
-                    links[a:b], root[a:b] = judge(sets[a:b], node[a:b], copies[a:b], own[a:b], ta[a] != tb[a])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], names=["node", "links", "root"])
+            for piece in _pieces(table, 3, tile):
+                first, end = _bounds(piece, 3)
+                sets = []
+                for raw in textvec.chunks(textvec.texts_of(piece.column("text"))):
+                    values, count = textvec.shingle_sets(raw, SHINGLE)
+                    sets += np.split(values, np.cumsum(count)[:-1])
+                own, ta, tb, node, copies = (piece.column(c).to_numpy() for c in ("own", "ta", "tb", "node", "copies"))
+                links, root = np.zeros(len(node), np.int64), node.copy()
+                for a, b in zip(first, end):
+                    if b - a > 1:
+                        links[a:b], root[a:b] = judge(sets[a:b], node[a:b], copies[a:b], own[a:b], ta[a] != tb[a])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], names=["node", "links", "root"])
 
     return rows.mapInArrow(run, "node long, links long, root long")
 
