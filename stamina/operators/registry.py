@@ -69,15 +69,17 @@ def transition_problems(log: DataFrame, order: list[str]) -> DataFrame:
     return o.withColumn("problems", probs).where(F.size("problems") > 0).drop("__prev")
 
 
-def verdict(disposition: Column, cycles: Column, mode: Column) -> tuple[Column, Column]:
-    """(verdict text, how the run enters survival analysis)."""
+def verdict(disposition: Column, cycles: Column, mode: Column, milestone: Column | None = None) -> tuple[Column, Column]:
+    """(verdict text, how the run enters survival analysis); a report at a milestone is of a run that still goes on."""
     n = F.format_number(cycles, 0)
-    text = (F.when(disposition == "failed", F.concat(F.lit("FAILED at "), n, F.lit(" cycles: "), mode))
+    mark = F.lit(None).cast("long") if milestone is None else milestone
+    snapshot = F.concat(F.lit("Milestone "), F.format_number(mark, 0), F.lit(" passed, now at "), n, F.lit(" cycles; the run goes on"))
+    text = (F.when(mark.isNotNull(), snapshot).when(disposition == "failed", F.concat(F.lit("FAILED at "), n, F.lit(" cycles: "), mode))
             .when(disposition == "NOT_ZEROED", "ENDED WITH DRIVE NOT ZEROED")
             .when(disposition == "complete", F.concat(F.lit("Reached its stop cap at "), n, F.lit(" cycles")))
             .when(disposition == "suspended", F.concat(F.lit("Suspended at "), n, F.lit(" cycles")))
             .otherwise(F.concat(F.lit("Run ended: "), disposition, F.lit(" at "), n, F.lit(" cycles"))))
-    return text, F.when(disposition == "failed", "failed").otherwise("suspended")
+    return text, F.when(mark.isNotNull(), None).when(disposition == "failed", "failed").otherwise("suspended")
 
 
 def health(allowed: Column, flag_count: Column, disposition: Column) -> Column:

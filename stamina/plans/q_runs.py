@@ -340,13 +340,17 @@ def _(t):
 
 
 @query("p23_verdict", oracle(
-    """SELECT o_orderkey, CASE d WHEN 'failed' THEN 'FAILED at '||n||' cycles: leakage' WHEN 'complete' THEN 'Reached its stop cap at '||n||' cycles'
-    WHEN 'suspended' THEN 'Suspended at '||n||' cycles' WHEN 'NOT_ZEROED' THEN 'ENDED WITH DRIVE NOT ZEROED' ELSE 'Run ended: '||d||' at '||n||' cycles' END AS verdict,
-    CASE WHEN d='failed' THEN 'failed' ELSE 'suspended' END AS enters_as FROM (SELECT o_orderkey, format('{:,}',CAST(floor(o_totalprice) AS BIGINT)) AS n,
+    """SELECT o_orderkey, CASE WHEN m IS NOT NULL THEN 'Milestone '||format('{:,}',m)||' passed, now at '||n||' cycles; the run goes on'
+    WHEN d='failed' THEN 'FAILED at '||n||' cycles: leakage' WHEN d='complete' THEN 'Reached its stop cap at '||n||' cycles'
+    WHEN d='suspended' THEN 'Suspended at '||n||' cycles' WHEN d='NOT_ZEROED' THEN 'ENDED WITH DRIVE NOT ZEROED' ELSE 'Run ended: '||d||' at '||n||' cycles' END AS verdict,
+    CASE WHEN m IS NULL THEN CASE WHEN d='failed' THEN 'failed' ELSE 'suspended' END END AS enters_as
+    FROM (SELECT o_orderkey, format('{:,}',CAST(floor(o_totalprice) AS BIGINT)) AS n,
+    CASE WHEN o_orderkey%7=0 THEN CAST(floor(o_totalprice/1000)*1000 AS BIGINT) END AS m,
     CASE o_orderkey%5 WHEN 0 THEN 'failed' WHEN 1 THEN 'complete' WHEN 2 THEN 'suspended' WHEN 3 THEN 'NOT_ZEROED' ELSE 'aborted' END AS d FROM orders)"""))
 def _(t):
     d = F.get(F.array(*[F.lit(x) for x in ("failed", "complete", "suspended", "NOT_ZEROED", "aborted")]), (F.col("o_orderkey") % 5).cast("int"))
-    text, enters = G.verdict(d, F.floor("o_totalprice"), F.lit("leakage"))
+    mark = F.when(F.col("o_orderkey") % 7 == 0, F.floor(F.col("o_totalprice") / 1000) * 1000)
+    text, enters = G.verdict(d, F.floor("o_totalprice"), F.lit("leakage"), mark)
     return t("orders").select("o_orderkey", text.alias("verdict"), enters.alias("enters_as"))
 
 

@@ -108,11 +108,13 @@ def _(t):
 
 
 @query("x10_rate_limiter", oracle(
-    """, k AS (SELECT run_id, min(t_s) AS t FROM telemetry GROUP BY run_id UNION ALL SELECT k.run_id, min(s.t_s) FROM k JOIN telemetry s ON s.run_id=k.run_id AND s.t_s>=k.t+7200 GROUP BY k.run_id)
-    SELECT s.run_id, s.sample_id FROM telemetry s JOIN k ON k.run_id=s.run_id AND k.t=s.t_s""", "telemetry"))
+    """, k AS (SELECT run_id, min(t_s) AS t, min(t_s) AS v, true AS slow FROM telemetry GROUP BY run_id
+      UNION ALL SELECT run_id, n, CASE WHEN n>=v+18000 THEN n ELSE v END, n>=v+18000 FROM
+        (SELECT k.run_id, k.v, min(s.t_s) AS n FROM k JOIN telemetry s ON s.run_id=k.run_id AND s.t_s>=k.t+7200 GROUP BY k.run_id, k.v))
+    SELECT s.run_id, s.sample_id, k.slow FROM telemetry s JOIN k ON k.run_id=s.run_id AND k.t=s.t_s""", "telemetry"))
 def _(t):
     s = replayed(t, t.telemetry).select("run_id", "sample_id", "t_s")
-    return run(t, P.apply(s, P.RateLimiter(K, ORDER, 7200.0, ["sample_id"]), "run_id bigint, sample_id bigint"))
+    return run(t, P.apply(s, P.RateLimiter(K, ORDER, 7200.0, ["sample_id"], slow_s=18000.0), "run_id bigint, sample_id bigint, slow boolean"))
 
 
 @query("x11_attestation_ttl", oracle(

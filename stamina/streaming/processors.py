@@ -201,35 +201,44 @@ class FlagAcks(Ordered):
 
     def advance(self, state, frame):
         open_ = [tuple(o) for o in (state[0] if state[0] is not None else [])]
-        out = []
-        for kind, ident, t in zip(frame["kind"], frame["id"], frame["t_s"]):
-            if kind == "flag":
-                open_.append((int(ident), float(t)))
-            else:
-                out += [(i, raised, int(ident), float(t)) for i, raised in open_]
-                open_ = []
-        return (open_,), pd.DataFrame(out, columns=["flag_id", "raised_at", "acked_by", "acked_at"])
+        flag, ident, t = (frame["kind"] == "flag").to_numpy(bool), frame["id"].to_numpy("int64"), frame["t_s"].to_numpy(float)
+        ids = np.concatenate([np.array([o[0] for o in open_], "int64"), ident[flag]])
+        raised = np.concatenate([np.array([o[1] for o in open_], float), t[flag]])
+        at = np.concatenate([np.full(len(open_), -1), np.flatnonzero(flag)])
+        acks = np.flatnonzero(~flag)
+        first = np.searchsorted(acks, at)
+        done = first < len(acks)
+        by = acks[first[done]]
+        out = pd.DataFrame({"flag_id": ids[done], "raised_at": raised[done], "acked_by": ident[by], "acked_at": t[by]})
+        return (list(zip(ids[~done].tolist(), raised[~done].tolist())),), out
 
 
 class RateLimiter(Ordered):
-    """Samples that are due; the next one is due a period after the sample actually taken."""
+    """Samples that are due; the next one is due a period after the sample actually taken.
 
-    state_schema = "due double"
-    initial = (float("-inf"),)
+    With ``slow_s`` column ``slow`` says which of them also take the slower reading, on a schedule of its own.
+    """
 
-    def __init__(self, key, order, period_s: float, carry: list[str]):
+    state_schema = "due double, slow_due double"
+    initial = (float("-inf"), float("-inf"))
+
+    def __init__(self, key, order, period_s: float, carry: list[str], slow_s: float | None = None):
         super().__init__(key, order)
-        self.period_s, self.carry = period_s, carry
+        self.period_s, self.carry, self.slow_s = period_s, carry, slow_s
 
     def advance(self, state, frame):
-        t, due, keep, i = frame["t_s"].to_numpy(float), state[0], [], 0
+        t, (due, slow_due), keep, slow, i = frame["t_s"].to_numpy(float), state, [], [], 0
         while True:
             i = int(np.searchsorted(t, due))
             if i >= len(t):
                 break
             keep.append(i)
             due = t[i] + self.period_s
-        return (float(due),), frame.iloc[keep][self.carry]
+            slow.append(bool(t[i] >= slow_due))
+            if slow[-1] and self.slow_s is not None:
+                slow_due = t[i] + self.slow_s
+        out = frame.iloc[keep][self.carry]
+        return (float(due), float(slow_due)), out if self.slow_s is None else out.assign(slow=slow)
 
 
 class LastAttestation(Ordered):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stamina.operators import feasibility as D
 from stamina.operators import ledger as L
 from stamina.operators import rules as R
-from stamina.streaming.processors import BlindLadder, RateLimiter, Sustained, TimedCounter, Watchdog
+from stamina.streaming.processors import BlindLadder, FlagAcks, RateLimiter, Sustained, TimedCounter, Watchdog
 
 
 def series(seed, n=70):
@@ -113,6 +113,21 @@ def test_stream_processors_equal_loops_over_batches(seed):
             want.append(r[1])
             due = r[2] + 4.0
     assert list(drain(RateLimiter("run", ["t_s"], 4.0, ["id"]), pdf)["id"]) == want
+    slow, want_slow = float("-inf"), []
+    for t in (r[2] for r in rows if r[1] in set(want)):
+        want_slow.append(t >= slow)
+        slow = t + 9.0 if t >= slow else slow
+    both = drain(RateLimiter("run", ["t_s"], 4.0, ["id"], slow_s=9.0), pdf)
+    assert list(both["id"]) == want and list(both["slow"]) == want_slow
+    kinds, open_, want = ["ack" if r[3] is None else "flag" for r in rows], [], []
+    for kind, r in zip(kinds, rows):
+        if kind == "flag":
+            open_.append((r[1], r[2]))
+        else:
+            want += [(*o, r[1], r[2]) for o in open_]
+            open_ = []
+    acks = drain(FlagAcks("run", ["t_s", "id"]), pdf.assign(kind=kinds))
+    assert list(acks.itertuples(index=False, name=None)) == want and want
     b = drain(BlindLadder("run", ["t_s"], 2.0, ["id"]), pdf.assign(readable=[r[3] is not None or r[4] for r in rows]))
     since, warned, want = None, False, []
     for r in rows:
