@@ -48,10 +48,10 @@ def suffix_ranks(docs: DataFrame, doc_id: str, text: str, min_words: int) -> Dat
 
     ``run`` is a stretch of neighbouring lines that all occur elsewhere.
     """
-    lines = _lines(docs, doc_id, text)
+    lines = _lines(docs, doc_id, text).dropDuplicates(["id", "t", "line"])      # repeated rows are one document before places are numbered
     lines = staged(lines.withColumn("place", F.row_number().over(Window.partitionBy("id", "t").orderBy("line")) - 1), "lines")
     known = _ranked(lines, ["a", "b"], "line-ranks")
-    now = lines.join(known, ["a", "b"]).drop("a", "b").dropDuplicates(["id", "t", "line"])
+    now = lines.join(known, ["a", "b"]).drop("a", "b")
     by = Window.partitionBy("id", "t").orderBy("place")
     now = staged(now.withColumn("run", F.col("place") - F.row_number().over(by)).withColumn("ranks", F.array("rank")), "suffixes")
     length = 1

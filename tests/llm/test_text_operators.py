@@ -111,6 +111,19 @@ def test_line_dedup_with_short_runs(spark, least):
     assert got == {k[0]: v for k, v in dedup_lines(rows, least).items()}
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_line_dedup_of_repeated_rows(spark, times):
+    """A passage of several lines goes, also from a document whose row comes more than once."""
+    passage = "\n".join(" ".join(f"p{k}_{j}" for j in range(15)) for k in range(6))
+    other = "\n".join(" ".join(f"q{k}_{j}" for j in range(20)) for k in range(4))
+    rows = [(1, "own first line\n" + passage)] + [(2, "another head\n" + passage + "\n\ntail")] * times
+    rows += [(None, other)] * times + [(3, other + "\nend")] + [(4, "alone\n" + " ".join(f"z{j}" for j in range(70)))] * times
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text")).repartition(4)).collect()
+    want = dedup_lines(list(dict.fromkeys(rows)))
+    assert len(got) == len(rows) and want[rows[1]] == list(range(1, 7)) and want[3, other + "\nend"] == [0, 1, 2, 3]
+    assert all(list(r["__removed"]) == want[r["doc_id"], r["old"]] for r in got)
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.dedup(empty).count() == 0
 
