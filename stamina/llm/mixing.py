@@ -83,20 +83,39 @@ def _split_nodes(nodes: DataFrame, shards: int, seed: int) -> DataFrame:
 def nearest(size: np.ndarray, n: np.ndarray, gap: float, free: int = 16, steps: int = 200_000) -> np.ndarray:
     """How many of each bundle of a block, in permuted order, come nearest to ``gap`` words.
 
-    The bundles that fit one after the other are taken, but for the last ``free``; those and the rest of the block are
-    chosen by their reachable sums, held as the bits of one number (in units that keep it under twice ``steps`` bits).
+    The rows that fit one after the other are taken, but for the last ``free`` (a bundle without words counts as one); those and
+    the rest of the block are chosen by their reachable sums, held as the bits of one number (in units that keep it under
+    twice ``steps`` bits). A bundle's rows enter the sums as 1, 2, 4, ... and the remaining ones, so that any number can be taken.
     """
     took = np.zeros(len(size), np.int64)
-    fits = int(np.searchsorted(np.cumsum(size * n), gap, side="right"))
-    start = max(0, fits - free)
-    took[:start] = n[:start]
-    goal = gap - int((size[:start] * n[:start]).sum())
+    upto = np.cumsum(size * n)
+    fits = int(np.searchsorted(upto, gap, side="right"))
+    took[:fits] = n[:fits]
+    if fits < len(size):
+        took[fits] = int(gap - (upto[fits - 1] if fits else 0)) // size[fits]
+    start, back = min(fits + 1, len(size)), free
+    while start and back:
+        start -= 1
+        given = min(int(took[start]), back) if size[start] else int(took[start])
+        took[start] -= given
+        back -= given if size[start] else 1
+    goal = gap - int((size * took).sum())
     unit = max(1, int(goal) // steps)
-    items = [(i, int(round(size[i] / unit))) for i in range(start, len(size)) for _ in range(min(int(n[i]), 4))]
+    items = []
+    for i in range(start, len(size)):
+        left = int(n[i] - took[i])
+        if size[i]:                                      # beyond twice the goal no sum is nearer than none
+            left = min(left, int(2 * goal // size[i]) + 1)
+        some = 1
+        while left:
+            some = min(some, left)
+            items.append((i, some, int(round(int(size[i]) * some / unit))))
+            left -= some
+            some *= 2
     g = int(round(goal / unit))
     mask = (1 << (2 * g + 2)) - 1
     sums = [1]
-    for _, s in items:
+    for _, _, s in items:
         sums.append(sums[-1] | ((sums[-1] << s) & mask) if s <= 2 * g + 1 else sums[-1])
     below = (sums[-1] & ((1 << (g + 1)) - 1)).bit_length() - 1
     over = sums[-1] >> (g + 1)
@@ -104,8 +123,8 @@ def nearest(size: np.ndarray, n: np.ndarray, gap: float, free: int = 16, steps:
     at = above if above is not None and above - g < g - below else below
     for j in range(len(items) - 1, -1, -1):
         if not sums[j] >> at & 1:
-            took[items[j][0]] += 1
-            at -= items[j][1]
+            took[items[j][0]] += items[j][1]
+            at -= items[j][2]
     return took
 
 

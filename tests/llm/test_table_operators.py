@@ -79,6 +79,38 @@ def test_nearest_sum():
     assert mixing.nearest(np.array([10, 0]), np.array([1, 1]), 3.0).sum() == 0
 
 
+def test_nearest_sum_of_repeated_rows():
+    assert mixing.nearest(np.array([10]), np.array([1000]), 5000.0).tolist() == [500]
+    assert mixing.nearest(np.array([7]), np.array([10**9]), 3.5e9).tolist() == [500_000_000]
+    rng = np.random.default_rng(6)
+    for most in (2, 50, 100_000):
+        for _ in range(10):
+            size, n = rng.integers(1, 60, 25), rng.integers(1, most, 25)
+            gap = float(rng.integers(0, (size * n).sum()))
+            took = mixing.nearest(size, n, gap)
+            assert ((took >= 0) & (took <= n)).all() and abs((took * size).sum() - gap) <= 1
+    took = mixing.nearest(np.array([3, 0, 5]), np.array([4, 1000, 4]), 21.0)
+    assert took[0] * 3 + took[2] * 5 == 21
+
+
+def test_targets_with_repeated_rows(spark):
+    """A source of one row a thousand times, one of null ids, and one of rows that come fifty times."""
+    rows = [(1, "w " * 10, "one")] * 1000 + [(None, "v " * 10, "null")] * 1000
+    rows += [(i, "u " * (5 + i % 11), "fifty") for i in range(20)] * 50 + [(i, "t " * 10, "single") for i in range(100, 1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weigh = lambda s: s.withColumn("weight", F.when(F.col("source") == "single", 3.0).otherwise(1.0))
+    taken, target = Counter(), {}
+    for r in mixing.takes(docs, weigh, shards=4).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    mixed = Counter()
+    for r in mixing.mix(docs, weigh, shards=4).collect():
+        mixed[r["source"]] += n_words(r["text"])
+    assert mixed == taken and target["one"] < 10_000
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 5, s
+
+
 def test_mixed_rows(nasty, empty):
     out = mixing.mix(nasty, mixing.cycle_weights, shards=3, block_docs=4)
     assert out.columns == nasty.columns
