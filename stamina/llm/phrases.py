@@ -5,7 +5,7 @@ tossing turns neighbouring symbols into labels below six, and a phrase begins at
 Phrases are named by a hash of their content, and the names are parsed again, so that names of higher levels stand for longer
 phrases. Whether a phrase begins at a place depends on a few symbols near it, so equal substrings get equal phrases,
 except at their ends, wherever they lie. The fingerprint is the bottom sketch (the ``SKETCH`` smallest hashes) of the names of
-levels 2 to 4, filled up with level 1 in short texts; the likeness of two fingerprints estimates the Jaccard similarity of their name sets.
+levels 2 to 4, filled up with level 1 where those are too few; the likeness of two fingerprints estimates the Jaccard similarity of their name sets.
 
 ``with_next`` pairs each document with the next in descending order of id without a global sort: sampled splitters cut the ids into
 ranges, a range is sorted and read as a stream, and the first document of each range is sent along with the range before it.
@@ -101,7 +101,7 @@ def _level(symbol: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sketches(raw: list[bytes]) -> list[np.ndarray]:
-    """Sorted bottom sketch of each text's phrase names; names of level 1 are above all others, and so count in short texts only."""
+    """Sorted bottom sketch of each text's phrase names; names of level 1 are above all others, and so count only where those are too few."""
     size = np.array([len(r) for r in raw], np.int64)
     some = np.flatnonzero(size)
     out = [np.zeros(0, np.uint64)] * len(raw)
@@ -113,15 +113,13 @@ def sketches(raw: list[bytes]) -> list[np.ndarray]:
     for level in range(1, LEVELS + 1):
         symbol, head = _level(symbol, head)
         low = mix(symbol + np.uint64(level)) >> np.uint64(33)
-        if level == 1:
-            # at most a sketch's worth of them is ever looked at
-            few = np.diff(head, append=len(symbol)) <= 8 * SKETCH
-            low = low[np.repeat(few, np.diff(head, append=len(symbol)))] | np.uint64(1 << 31)
-            of = np.repeat(np.flatnonzero(few), np.diff(head, append=len(symbol))[few])
-        else:
-            of = np.repeat(np.arange(len(some)), np.diff(head, append=len(symbol)))
-        keys.append(of.astype(np.uint64) << np.uint64(32) | low)
-    key = np.unique(np.concatenate(keys))
+        of = np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(head, append=len(symbol)))
+        keys.append(of << np.uint64(32) | low)
+    key = np.unique(np.concatenate(keys[1:]))
+    few = np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(some)) < SKETCH
+    if few.any():
+        fill = keys[0][few[(keys[0] >> np.uint64(32)).astype(np.int64)]] | np.uint64(1 << 31)
+        key = np.unique(np.concatenate([key, fill]))
     edge = np.searchsorted(key, np.arange(len(some) + 1, dtype=np.uint64) << np.uint64(32))
     low = key & np.uint64(0xFFFFFFFF)
     for i, a, b in zip(some, edge[:-1], edge[1:]):

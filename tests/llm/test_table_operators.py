@@ -315,6 +315,18 @@ def test_equal_parts_get_equal_phrases():
     assert phrases.likeness(together[1], together[1]) == 1 and phrases.likeness(together[1], a) == 0
 
 
+def test_repetitive_texts_keep_their_small_phrases():
+    """A paragraph repeated often has the phrases of the same paragraph repeated a few times."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(40)]
+    part = (" ".join(words)[:100] + "\n").encode()
+    few, many = phrases.sketches([part * 6])[0], phrases.sketches([part * 400])[0]
+    assert phrases.likeness(few, many) > 0.8
+    prose = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(2000)).encode()
+    together = phrases.sketches([part * 400, prose, part * 6, b"x"])
+    assert (together[0] == many).all() and (together[2] == few).all() and len(together[1]) == phrases.SKETCH and (together[1] < 1 << 31).all()
+
+
 def plain_fingerprints(rows):
     order = sorted(rows, key=lambda r: -r[0])
     out = {}
