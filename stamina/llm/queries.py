@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stamina.llm import (crf_quality, decontamination, license_scan, line_dedup, mixing, ngram_join, phrases, sharding,
+from stamina.llm import (crf_quality, decontamination, license_scan, line_dedup, mixing, ngram_join, phrases, pieces, sharding,
                          token_counts, url_filter)
 from stamina.llm.common import read, staged
 from stamina.session import ensure_checkpoint_dir, ship
@@ -218,3 +218,20 @@ def _(spark, sf_dir):
     found = license_scan.scan(read(spark, sf_dir, "documents"), templates)
     return found.select(F.col("id").alias("doc_id"), "n_words", F.size("matches").cast("long").alias("n_licenses"),
                         F.array_join("matches.license", ",").alias("licenses"), F.round(F.array_max("matches.share"), 6).alias("best_share"))
+
+
+def piece_model(path: str | None = None) -> bytes:
+    """The model file, read by the driver; by default the public one of 32,000 pieces."""
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@query("op13_sentencepiece_coding")
+def _(spark, sf_dir):
+    model = piece_model()
+    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model, packed=True), model)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
