@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stamina.llm import (crf_quality, decontamination, license_scan, line_dedup, mixing, ngram_join, phrases, pieces, sharding,
-                         token_counts, url_filter)
+                         source_audit, token_counts, url_filter)
 from stamina.llm.common import read, staged
 from stamina.session import ensure_checkpoint_dir, ship
 
@@ -235,3 +235,26 @@ def _(spark, sf_dir):
     coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model, packed=True), model)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
+
+
+@query("op11_source_divergence", f"""WITH
+  d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  o AS (SELECT id, lang, source, unnest(w) AS t FROM d),
+  k AS (SELECT lang, t, count(*) AS lc FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  l AS (SELECT lang, count(t) AS v, coalesce(sum(lc), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+  c AS (SELECT lang, source, t, count(*) AS c FROM o SEMI JOIN k USING (lang, t) GROUP BY ALL),
+  dense AS (SELECT g.lang, g.source, k.t, lc, coalesce(c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+  gn AS (SELECT lang, source, sum(c) AS n FROM dense GROUP BY ALL),
+  p AS (SELECT dense.*, CAST(1 + CAST(1000000000 AS HUGEINT) * (c + 2) // (gn.n + 2 * v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (lc + 2) // (l.n + 2 * v) AS BIGINT) AS q FROM dense JOIN gn USING (lang, source) JOIN l USING (lang)),
+  s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+  r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q)
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+  QUALIFY part = 'pair' OR rank <= 10""")
+def _(spark, sf_dir):
+    return source_audit.audit(read(spark, sf_dir, "documents"))
