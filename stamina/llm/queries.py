@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stamina.llm import (crf_quality, decontamination, license_scan, line_dedup, mixing, ngram_join, phrases, pieces, sharding,
-                         source_audit, token_counts, url_filter)
+                         source_audit, token_counts, url_filter, whitening)
 from stamina.llm.common import read, staged
 from stamina.session import ensure_checkpoint_dir, ship
 
@@ -258,3 +258,8 @@ def _(spark, sf_dir):
   QUALIFY part = 'pair' OR rank <= 10""")
 def _(spark, sf_dir):
     return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def _(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
