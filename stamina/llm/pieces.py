@@ -5,8 +5,8 @@ A text is rewritten from left to right: at each place the longest rule that fits
 itself (a byte that is no UTF-8 for U+FFFD). Each byte of the normal form keeps the place of its source, so that the pieces, found
 there by merging the best-scored neighbours first, are projected to spans of original bytes.
 
-Pieces never run from another character into a word mark, so what stands between word marks is merged by itself, and merged
-results of words seen before are kept, up to a stated number. A long text is normalised a megabyte at a time; only an unfinished word
+Pieces never run from another character into a word mark, so what stands between word marks is merged by itself. New words of about a
+megabyte of text are merged together, with arrays; results are kept for words seen again, up to a stated number. A long text is normalised a megabyte at a time; only an unfinished word
 is carried on. Nothing is shuffled; the model (its size is its vocabulary's) is read by the driver and sent with the tasks.
 
 Defined results: a null or empty text has no pieces but the begin and end marks; repeated rows give repeated rows; an empty table
@@ -18,10 +18,9 @@ from __future__ import annotations
 
 import codecs
 import heapq
-import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ MARK = "▁"
 CHUNK_BYTES = 1 << 20
 KEPT_WORDS = 200_000
 KEPT_LETTERS = 64
+NEVER = 2**31
 OUT_BYTES = 4 << 20
 #: Fixed values of the model format: kinds of pieces, and the fields that are read.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -139,7 +139,7 @@ class PieceModel:
         self.byte_fallback = bool(trainer.get("byte_fallback", 0))
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0])
         self.begin, self.end = (self.ids[trainer.get(k, v).decode()] for k, v in (("begin", b"<s>"), ("end", b"</s>")))
-        self.together = {t[k:k + 2] for t in self.scores for k in range(len(t) - 1)}
+        self._number_pairs()
         self.map = CharacterMap(normalizer.get("map", b""))
         unfit = [why for why, bad in (
             ("not a pair-merge model", trainer.get("method", 1) != 2), ("pieces of the user", np.isin(self.kinds, [USER, UNUSED]).any()),
@@ -226,11 +226,7 @@ class PieceModel:
 
     def _merge(self, word: str) -> bytes:
         """Pieces of one word, the best-scored neighbours joined first (the leftmost of equals): pairs of id and bytes passed, packed."""
-        cuts = [k + 1 for k, pair in enumerate(map(str.__add__, word, word[1:])) if pair not in self.together]
-        if cuts:                                            # letters that no piece has side by side: never joined
-            return b"".join(map(self.merged.__getitem__, map(word.__getitem__, map(slice, [0, *cuts], [*cuts, None]))))
-        parts = self._joined(word) if len(word) <= KEPT_LETTERS else self._joined_long(word)
-        return b"".join(map(self.packed.__getitem__, parts))
+        return b"".join(map(self.packed.__getitem__, self._joined(word)))
 
     def _pack(self, part: str) -> bytes:
         """Pairs of id and bytes passed of one final piece."""
@@ -244,21 +240,7 @@ class PieceModel:
         return b"".join(struct.pack("<2I", *p) for p in pairs)
 
     def _joined(self, word: str) -> list[str]:
-        """Few letters: the scores of all neighbours in one list."""
-        parts, score, none = list(word), self.scores.get, -math.inf
-        scores = [score(x + y, none) for x, y in zip(word, word[1:])]
-        while scores and (best := max(scores)) > none:
-            k = scores.index(best)
-            parts[k:k + 2] = [parts[k] + parts[k + 1]]
-            del scores[k]
-            if k:
-                scores[k - 1] = score(parts[k - 1] + parts[k], none)
-            if k < len(scores):
-                scores[k] = score(parts[k] + parts[k + 1], none)
-        return parts
-
-    def _joined_long(self, word: str) -> list[str]:
-        """Any number of letters: a heap of neighbours over a linked list."""
+        """One word of any length: a heap of neighbours over a linked list."""
         parts: list[str] = list(word)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -284,17 +266,120 @@ class PieceModel:
             offer(a, after[a])
         return list(filter(None, parts))
 
+    def _number_pairs(self) -> None:
+        """Numbers for pieces and for letters inside pieces, and a sorted table of the neighbours that join: key, rank by score, number."""
+        normal = [(i, t) for t, i in self.ids.items() if t in self.scores]
+        letters = {c: len(self.texts) + k for k, c in enumerate(sorted({c for _, t in normal for c in t} - self.scores.keys()))}
+        number = {t: i for i, t in normal} | letters
+        self.letter = np.full(0x110000, -1, np.int32)
+        for t, i in number.items():
+            if len(t) == 1:
+                self.letter[ord(t)] = i
+        self.numbers = len(self.texts) + len(letters)
+        self.sizes = np.array([len(t.encode()) for t in self.texts] + [0] * len(letters), np.uint32)
+        order = {v: k for k, v in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        found = sorted((number[t[:k]] * self.numbers + number[t[k:]], order[self.scores[t]], i)
+                       for i, t in normal for k in range(1, len(t)) if t[:k] in number and t[k:] in number)
+        self.pair_keys, self.pair_ranks, self.pair_numbers = (np.array(c, np.int64) for c in (zip(*found) if found else ([], [], [])))
+        self.lone = "".join(c for c in "\n\r\t" if self.letter[ord(c)] < 0)        # in no piece: they end a word
+        self.words = re.compile(f"{MARK}*[^{MARK}{self.lone}]+|{MARK}+" + (f"|[{self.lone}]" if self.lone else ""))
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, number of the joined piece) of neighbours; those that don't join have the rank ``NEVER``."""
+        key = left.astype(np.int64) * self.numbers + right
+        key[(left < 0) | (right < 0)] = -1
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        hit = self.pair_keys[at] == key if len(self.pair_keys) else np.zeros(key.shape, bool)
+        return np.where(hit, self.pair_ranks[at], NEVER), np.where(hit, self.pair_numbers[at], -1)
+
+    def learn(self, words: set[str]) -> None:
+        """Join the letters of many new words at once: in each round every word joins its best pair, so all get shorter by one."""
+        new = words - self.merged.keys()
+        if len(self.merged) + len(new) > KEPT_WORDS:
+            self.merged.clear()
+            new = words
+        short = sorted((w for w in new if len(w) <= KEPT_LETTERS), key=len)
+        for k in range(0, len(short), 2048):
+            self._learn(short[k:k + 2048])
+
+    def _learn(self, words: list[str]) -> None:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        parts = np.full((len(words), lengths[-1]), -1, np.int32)
+        parts[np.arange(lengths[-1]) < lengths[:, None]] = self.letter[codes]
+        own = np.flatnonzero((parts >= 0).sum(1) == lengths)                          # words with other letters are joined one by one
+        parts = parts[own]
+        rank, joined = self._pairs(parts[:, :-1], parts[:, 1:])
+        while len(own):
+            best = rank.argmin(1) if rank.shape[1] else np.zeros(len(own), np.int64)
+            going = rank[np.arange(len(own)), best] < NEVER if rank.shape[1] else np.zeros(len(own), bool)
+            self._keep([words[i] for i in own[~going]], parts[~going])
+            own, parts, rank, joined, best = own[going], parts[going], rank[going], joined[going], best[going]
+            if not len(own):
+                break
+            rows, width = np.arange(len(own)), parts.shape[1] - 1
+            parts[rows, best] = joined[rows, best]
+            move = np.arange(width) + (np.arange(width) > best[:, None])
+            parts = np.take_along_axis(parts, move, 1)
+            rank, joined = np.take_along_axis(rank, move[:, :-1], 1), np.take_along_axis(joined, move[:, :-1], 1)
+            for at, some in ((best - 1, best > 0), (best, best < width - 1)):
+                r, c = rows[some], at[some]
+                rank[r, c], joined[r, c] = self._pairs(parts[r, c], parts[r, c + 1])
+
+    def _keep(self, words: list[str], parts: np.ndarray) -> None:
+        pieces = parts < len(self.texts)
+        for i in np.flatnonzero(~pieces.all(1)):                                      # a letter that is no piece by itself
+            self.merged[words[i]] = self._merge(words[i])
+        done = pieces.all(1)
+        parts = parts[done]
+        flat = parts[parts >= 0]
+        raw = np.stack([flat.astype(np.uint32), self.sizes[flat]], 1).astype("<u4").tobytes()
+        ends = 8 * np.cumsum((parts >= 0).sum(1))
+        at = 0
+        for word, end in zip((w for w, d in zip(words, done) if d), ends.tolist()):
+            self.merged[word] = raw[at:end]
+            at = end
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of each text; new words of about a megabyte of short texts are learned together."""
+        waiting, size = [], 0
+        for data in texts:
+            if len(data) < CHUNK_BYTES:
+                waiting.append([(form, places, self.words.findall(form.decode())) for form, places in self.normalise(data)])
+                waiting[-1].append(len(data))
+                size += len(data)
+            if size >= CHUNK_BYTES or len(data) >= CHUNK_BYTES:
+                yield from self._waiting(waiting)
+                waiting, size = [], 0
+            if len(data) >= CHUNK_BYTES:
+                yield self.encode(data)
+        yield from self._waiting(waiting)
+
+    def _waiting(self, waiting: list[list]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self.learn({w for *forms, _ in waiting for form in forms for w in form[2]})
+        for *forms, size in waiting:
+            yield self._coded(forms, size)
+
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids with begin and end marks, first byte, byte after the last) of each piece of a text, as unsigned 32-bit numbers."""
+        def forms():
+            for form, places in self.normalise(data):
+                words = self.words.findall(form.decode())
+                self.learn(set(words))
+                yield form, places, words
+        return self._coded(forms(), len(data))
+
+    def _coded(self, forms: Iterable[tuple[bytes, np.ndarray, list[str]]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, begins, ends = [[self.begin]], [[0]], [[0]]
-        for form, places in self.normalise(data):
-            packed = b"".join(map(self.merged.__getitem__, _WORDS.findall(form.decode())))
+        for _, places, words in forms:
+            packed = b"".join(map(self.merged.__getitem__, words))
             pairs = np.frombuffer(packed, "<u4").reshape(-1, 2)
             passed = np.cumsum(pairs[:, 1], dtype=np.int64)
             ids.append(pairs[:, 0])
             begins.append(places[passed - pairs[:, 1]])
             ends.append(places[passed])
-        parts = [np.concatenate(p).astype("<u4") for p in (ids + [[self.end]], begins + [[len(data)]], ends + [[len(data)]])]
+        parts = [np.concatenate(p).astype("<u4") for p in (ids + [[self.end]], begins + [[size]], ends + [[size]])]
         if not self.byte_fallback:                          # neighbouring unknown pieces are one
             unknown = parts[0] == self.unknown
             more = unknown & np.r_[False, unknown[:-1]]
@@ -317,7 +402,6 @@ class PieceModel:
 
 
 _MARK = MARK.encode()
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _before_marks(form: bytes, end: int) -> int:
@@ -347,7 +431,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", packed: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceModel(model)
         for batch in batches:
-            yield from _in_parts(batch, lambda raw: coder.encode(raw or b""), lambda found: sum(a.nbytes for a in found),
+            yield from _in_parts(batch, lambda texts: coder.encode_all(t or b"" for t in texts), lambda found: sum(a.nbytes for a in found),
                                  lambda found: [_packed([f[k] for f in found], arrow) for k in range(3)], schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -367,17 +451,17 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", to: str = "decode
             return None if found is None else coder.decode(np.frombuffer(found, "<u4") if packed else np.asarray(found, np.int64))
 
         for batch in batches:
-            yield from _in_parts(batch, text_of, lambda t: len(t or ""), lambda texts: [pa.array(texts, pa.string())], schema.names, drop=False)
+            yield from _in_parts(batch, lambda found: map(text_of, found), lambda t: len(t or ""), lambda texts: [pa.array(texts, pa.string())], schema.names, drop=False)
 
     return rows.mapInArrow(run, schema).select(*[c for c in encoded.columns if c != to], to)
 
 
-def _in_parts(batch, make, size, columns, names, drop=True) -> Iterator[pa.RecordBatch]:
-    """``make`` over the last column of ``batch``, row by row, given back in batches of a few megabytes."""
+def _in_parts(batch: pa.RecordBatch, make: Callable, size: Callable, columns: Callable, names: list[str], drop: bool = True) -> Iterator[pa.RecordBatch]:
+    """``make`` over the values of the last column of ``batch``, given back in batches of a few megabytes."""
     done, last, made, weight = 0, batch.num_columns - 1, [], 0
-    for k in range(batch.num_rows):
-        made.append(make(batch.column(last)[k].as_py()))
-        weight += size(made[-1])
+    for k, value in enumerate(make(batch.column(last)[k].as_py() for k in range(batch.num_rows))):
+        made.append(value)
+        weight += size(value)
         if weight >= OUT_BYTES or k == batch.num_rows - 1:
             part = batch.slice(done, len(made))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(batch.num_columns - drop)), *columns(made)], names=names)
