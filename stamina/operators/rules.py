@@ -146,6 +146,16 @@ def blind_ladder(df: DataFrame, keys: list[str], order: list[str], t: str, reada
     return o.with_columns(ladder=step).result().drop("__ok", "__since", "__pb")
 
 
+def silence_ladder(df: DataFrame, keys: list[str], order: list[str], t: str, limits: list[tuple[float, str]]) -> DataFrame:
+    """A run without rows for each of the ``limits`` (seconds, name) after a row, also after its last one, and the row that ends a silence."""
+    o = Ordered(df, keys, order).lead(__nt=F.col(t)).result()
+    gap = F.col("__nt") - F.col(t)
+    steps = F.array(*[F.struct((F.col(t) + limit).alias("at"), F.lit(name).alias("ladder"), F.lit(float(limit)).alias("silent_s")) for limit, name in limits])
+    due = F.filter(steps, lambda s: F.coalesce(gap >= s["silent_s"], F.lit(True)))
+    back = F.when(gap >= limits[0][0], F.array(F.struct(F.col("__nt").alias("at"), F.lit("recovered").alias("ladder"), gap.alias("silent_s"))))
+    return o.select(*keys, F.inline(F.concat(due, F.coalesce(back, F.array().cast("array<struct<at:double,ladder:string,silent_s:double>>")))))
+
+
 def evidence_ring(samples: DataFrame, trips: DataFrame, keys: list[str], order: list[str],
                   trip_id: str, size: int = 120) -> DataFrame:
     """The last ``size`` samples up to each trip, by row number instead of pairing rows."""

@@ -265,14 +265,18 @@ def _(t):
     return rounded(j.select("run_id", "sample_id", "att_id", (F.col("t_s") - F.col("att_t")).alias("age_s")), 3)
 
 
-@query("j11_milestones", oracle(
+MARKS = [1000, 5000, 10000, 20000]
+MILESTONE_SQL = oracle(
     """, n AS (SELECT *, lead(type) OVER (PARTITION BY run_id ORDER BY block_idx) AS nx FROM led),
     s AS (SELECT * FROM n WHERE type='cycle' AND coalesce(nx,'')<>'dc_hold')
     SELECT run_id, arg_min(block_idx, block_idx) AS block_idx, m AS milestone, min(cycles_total) AS cycles_total FROM s,
-    (SELECT CAST(unnest([1000,5000,10000,20000]) AS BIGINT) AS m) WHERE cycles_total>=m GROUP BY run_id, m""", "blocks", ctes=LEDGER))
+    (SELECT CAST(unnest([1000,5000,10000,20000]) AS BIGINT) AS m) WHERE cycles_total>=m GROUP BY run_id, m""", "blocks", ctes=LEDGER)
+
+
+@query("j11_milestones", MILESTONE_SQL)
 def _(t):
     return L.milestones(t.blocks, ["run_id"], ["block_idx"], F.when(F.col("type") == "cycle", F.col("cycles_done")),
-                        "type", ["cycle"], ["dc_hold"], [1000, 5000, 10000, 20000])
+                        "type", ["cycle"], ["dc_hold"], MARKS)
 
 
 @query("j14_reconcile", oracle(

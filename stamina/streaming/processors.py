@@ -1,6 +1,8 @@
-"""Stateful per-run operators. State is a few numbers per run; rows of a micro-batch are
-put in order and advanced with array operations, using the same formulas as the batch
-operators. A trigger's input size bounds the rows a run can bring at once.
+"""Stateful per-run operators. State is a few numbers per run and the rows the watermark has not passed yet: rows wait in a list
+until no earlier one can come, are put in order, and are advanced with array operations, using the same formulas as the batch
+operators. So results depend neither on the order of arrival nor on how rows fell into micro-batches, as long as rows are no later than
+the watermark allows; later ones are dropped here and belong to the dead letters (``engine.accept``). Timers release waiting rows and
+report silence when a run sends nothing more.
 """
 
 from __future__ import annotations
@@ -10,27 +12,90 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from stamina.streaming.engine import CLOSING, LATENESS
+
+AT = "event_us"     # the worker renames columns that begin with an underscore
+
 
 class Ordered(StatefulProcessor):
-    """Rows of a key in ``order``; ``advance(state, frame)`` returns (new state, output)."""
+    """Rows of a key by event time, ties by ``order``; ``advance(state, frame)`` returns (new state, output).
+
+    ``idle(state, until)`` may report what follows from no row up to the time ``until``, and ``wake(state)`` says when to ask.
+    """
 
     state_schema = ""
     initial: tuple = ()
+    row: T.StructType
 
     def __init__(self, key: str, order: list[str]):
         self.key, self.order = key, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("s", self.state_schema)
+        self.clock = handle.getValueState("clock", "timer bigint")
+        self.held = handle.getListState("held", self.row)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
-        state = self.state.get() if self.state.exists() else self.initial
-        state, out = self.advance(tuple(state), frame)
-        self.state.update(tuple(state))
-        if len(out):
+        new: list[tuple] = []
+        for frame in rows:
+            if len(frame):
+                frame = frame[frame[AT].notna() & ~(frame[CLOSING].astype(bool) if CLOSING in frame else False)]
+                new += zip(*[self._values(frame[f.name], f.dataType) for f in self.row.fields])
+        yield from self._step(key, new, timer_values.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
+
+    @staticmethod
+    def _values(column: pd.Series, kind: T.DataType) -> list:
+        as_ = {"long": int, "integer": int, "boolean": bool, "double": float}.get(kind.typeName(), lambda v: v)
+        return [None if v is None or v is pd.NA or v != v else as_(v) for v in column.tolist()]
+
+    def _step(self, key, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        timer = self.clock.get()[0] if self.clock.exists() else None
+        at = self.row.fieldNames().index(AT)
+        first = min((r[at] for r in new), default=None)
+        if (timer is None or timer > watermark) and (first is None or first > watermark * 1000):
+            if new:                                         # nothing can be released: only put the rows with the others
+                self.held.appendList(new)
+                self._set_timer(timer, min(t for t in (timer, -(-first // 1000)) if t is not None), watermark)
+            return
+        rows = [*(self.held.get() if self.held.exists() else []), *new]
+        rows = [tuple(r) for r in rows]
+        ready, rest = [r for r in rows if r[at] <= watermark * 1000], [r for r in rows if r[at] > watermark * 1000]
+        self.held.put(rest) if rest else self.held.clear()
+        state = tuple(self.state.get()) if self.state.exists() else self.initial
+        if ready:
+            frame = pd.DataFrame.from_records(ready, columns=self.row.fieldNames()).sort_values([AT, *self.order], kind="stable").reset_index(drop=True)
+            state, out = self.advance(state, frame)
+            yield from self._keyed(key, out)
+        if ready or self.state.exists():
+            state, out = self.idle(tuple(state), watermark / 1000)
+            yield from self._keyed(key, out)
+            self.state.update(tuple(state))
+            wake = self.wake(tuple(state))
+        else:
+            wake = None
+        due = [-(-r[at] // 1000) for r in rest] + ([] if wake is None else [int(np.ceil(wake * 1000))])
+        self._set_timer(timer, min(due, default=None), watermark)
+
+    def _set_timer(self, old: int | None, due: int | None, watermark: int) -> None:
+        due = None if due is None else max(due, watermark + 1)
+        if due == old:
+            return
+        if old is not None and old > watermark:
+            self.handle.deleteTimer(old)
+        if due is not None:
+            self.handle.registerTimer(due)
+        self.clock.update((due,))
+
+    def _keyed(self, key, out: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        if out is not None and len(out):
             out = out.reset_index(drop=True)
             out.insert(0, self.key, pd.Series([key[0]] * len(out), dtype=object))
             yield out
@@ -38,13 +103,22 @@ class Ordered(StatefulProcessor):
     def advance(self, state: tuple, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         raise NotImplementedError
 
+    def idle(self, state: tuple, until: float) -> tuple[tuple, pd.DataFrame | None]:
+        return state, None
+
+    def wake(self, state: tuple) -> float | None:
+        return None
+
     def close(self) -> None:
         pass
 
 
-def apply(df: DataFrame, proc: Ordered, schema: str) -> DataFrame:
-    return df.groupBy(proc.key).transformWithStateInPandas(
-        statefulProcessor=proc, outputStructType=schema, outputMode="append", timeMode="none")
+def apply(df: DataFrame, proc: Ordered, schema: str, ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    """``proc`` over a stream with the event time ``ts``; rows may come up to ``lateness`` behind the newest one."""
+    proc.row = T.StructType([*[f for f in df.schema.fields if f.name not in (ts, proc.key, CLOSING)], T.StructField(AT, T.LongType())])
+    rows = df.withWatermark(ts, lateness).withColumn(AT, F.unix_micros(ts))
+    return rows.groupBy(proc.key).transformWithStateInPandas(
+        statefulProcessor=proc, outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
 def streak_starts(active: np.ndarray, t: np.ndarray, since: float | None) -> np.ndarray:
@@ -129,6 +203,82 @@ class BlindLadder(Ordered):
         return (open_, None if ok[-1] else float(blind[-1])), out
 
 
+class SilenceLadder(Ordered):
+    """A run without rows for each of the ``limits`` (seconds, name): reported at that time without waiting for another row; the row
+    that ends a silence of the first limit or more is its recovery."""
+
+    state_schema = "t double, level int"
+    initial = (None, 0)
+
+    def __init__(self, key, order, limits: list[tuple[float, str]]):
+        super().__init__(key, order)
+        self.limits = limits
+
+    def advance(self, state, frame):
+        last_t, level = state
+        t = frame["t_s"].to_numpy(float)
+        since = before(t, np.nan if last_t is None else last_t)
+        gap = t - since
+        parts = []
+        for k, (limit, name) in enumerate(self.limits):
+            due = np.flatnonzero(gap >= limit)
+            due = due[(due > 0) | (k >= level)]
+            parts.append(pd.DataFrame({"at": since[due] + limit, "ladder": name, "silent_s": limit}))
+        back = gap >= self.limits[0][0]
+        parts.append(pd.DataFrame({"at": t[back], "ladder": "recovered", "silent_s": gap[back]}))
+        return (float(t[-1]), 0), pd.concat(parts)
+
+    def idle(self, state, until):
+        last_t, level = state
+        due = [(last_t + limit, name, limit) for limit, name in self.limits[level:] if until >= last_t + limit]
+        return (last_t, level + len(due)), pd.DataFrame(due, columns=["at", "ladder", "silent_s"])
+
+    def wake(self, state):
+        return state[0] + self.limits[state[1]][0] if state[1] < len(self.limits) else None
+
+
+class BoundaryMilestones(Ordered):
+    """Milestones of the cycle total, each reported at the first safe boundary at or past it.
+
+    A boundary is safe when the block is of a type in ``after`` and the next one is no interlude, so a block is held back until the next
+    one comes, or none has come for ``close_s``; what falls due meanwhile is reported together at the next safe one.
+    """
+
+    state_schema = "cycles bigint, reported bigint, kind string, ident bigint, t double"
+    initial = (0, 0, None, None, None)
+
+    def __init__(self, key, order, marks: list[int], after: list[str], interludes: list[str], ident: str, close_s: float):
+        super().__init__(key, order)
+        self.marks, self.after, self.interludes, self.ident, self.close_s = np.array(sorted(marks)), after, interludes, ident, close_s
+
+    def _due(self, reported: int, total: np.ndarray, ident: np.ndarray) -> pd.DataFrame:
+        """Marks passed between one safe total and the next."""
+        at = np.searchsorted(total, self.marks)
+        due = (self.marks > reported) & (at < len(total))
+        return pd.DataFrame({self.ident: ident[at[due]], "milestone": self.marks[due], "cycles_total": total[at[due]]})
+
+    def advance(self, state, frame):
+        cycles, reported, kind, ident, _ = state
+        total = cycles + frame["cycles"].fillna(0).to_numpy("int64").cumsum()
+        kinds, idents = frame["kind"].to_numpy(object), frame[self.ident].to_numpy("int64")
+        if kind is not None:
+            total, kinds, idents = np.r_[cycles, total], np.r_[[kind], kinds], np.r_[ident, idents]
+        safe = np.isin(kinds[:-1].astype(str), self.after) & ~np.isin(kinds[1:].astype(str), self.interludes)
+        out = self._due(reported, total[:-1][safe], idents[:-1][safe])
+        reported = int(total[:-1][safe][-1]) if safe.any() else reported
+        return (int(total[-1]), reported, kinds[-1], int(idents[-1]), float(frame["t_s"].iloc[-1])), out
+
+    def idle(self, state, until):
+        cycles, reported, kind, ident, t = state
+        if kind not in self.after or until < t + self.close_s:
+            return state, None
+        return (cycles, max(cycles, reported), kind, ident, t), self._due(reported, np.array([cycles]), np.array([ident]))
+
+    def wake(self, state):
+        cycles, reported, kind, _, t = state
+        return t + self.close_s if kind in self.after and (self.marks[(self.marks > reported) & (self.marks <= cycles)]).size else None
+
+
 class Ledger(Ordered):
     """Running cycle total per run; each milestone is reported once, at the row that passes it."""
 
@@ -194,23 +344,34 @@ class NewCommands(Ordered):
 
 
 class FlagAcks(Ordered):
-    """First acknowledgement of every open flag. One acknowledgement answers all flags raised before it."""
+    """First acknowledgement of every open flag. One acknowledgement answers all flags raised before it.
 
-    state_schema = "open array<struct<id bigint, t double>>"
-    initial = ([],)
+    Open flags are a list of their own: new ones are put behind the others without reading them, and an acknowledgement empties it.
+    """
+
+    state_schema = "acks bigint"
+    initial = (0,)
+
+    def init(self, handle):
+        super().init(handle)
+        self.open = handle.getListState("open", "id bigint, t double")
 
     def advance(self, state, frame):
-        open_ = [tuple(o) for o in (state[0] if state[0] is not None else [])]
         flag, ident, t = (frame["kind"] == "flag").to_numpy(bool), frame["id"].to_numpy("int64"), frame["t_s"].to_numpy(float)
+        acks = np.flatnonzero(~flag)
+        if not len(acks):
+            self.open.appendList(list(zip(ident.tolist(), t.tolist())))
+            return state, None
+        open_ = [tuple(o) for o in self.open.get()] if self.open.exists() else []
         ids = np.concatenate([np.array([o[0] for o in open_], "int64"), ident[flag]])
         raised = np.concatenate([np.array([o[1] for o in open_], float), t[flag]])
         at = np.concatenate([np.full(len(open_), -1), np.flatnonzero(flag)])
-        acks = np.flatnonzero(~flag)
         first = np.searchsorted(acks, at)
         done = first < len(acks)
         by = acks[first[done]]
-        out = pd.DataFrame({"flag_id": ids[done], "raised_at": raised[done], "acked_by": ident[by], "acked_at": t[by]})
-        return (list(zip(ids[~done].tolist(), raised[~done].tolist())),), out
+        rest = list(zip(ids[~done].tolist(), raised[~done].tolist()))
+        self.open.put(rest) if rest else self.open.clear()
+        return (state[0] + len(acks),), pd.DataFrame({"flag_id": ids[done], "raised_at": raised[done], "acked_by": ident[by], "acked_at": t[by]})
 
 
 class RateLimiter(Ordered):
@@ -277,7 +438,7 @@ class EvidenceRing(Ordered):
         old = np.asarray(list(state[0]) if state[0] is not None else [], dtype="int64")
         ids = np.concatenate([old, frame["sample_id"].to_numpy("int64")])
         trips = np.flatnonzero(frame["trip"].to_numpy(bool)) + len(old)
-        parts = [pd.DataFrame({"trip_id": ids[k], "sample_id": ids[max(0, k + 1 - self.size):k + 1][::-1]}).assign(
-            age=lambda d: np.arange(len(d))) for k in trips]
-        out = pd.concat(parts) if parts else pd.DataFrame({"trip_id": [], "sample_id": [], "age": []})
+        length = np.minimum(trips + 1, self.size)
+        age = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        out = pd.DataFrame({"trip_id": np.repeat(ids[trips], length), "sample_id": ids[np.repeat(trips, length) - age], "age": age})
         return (ids[-self.size:].tolist(),), out

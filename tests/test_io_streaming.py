@@ -1,13 +1,8 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
-from stamina.operators import rules as R
 from stamina.operators.measure import measure_pairs
 from stamina.sources import readers, sinks
-from stamina.streaming import processors as P
-from stamina.streaming.engine import run_to_table, store_slices, telemetry_stream
 
 
 def folder():
@@ -53,22 +48,3 @@ def test_measurement_errors_become_rows(spark):
         return {"value": float(len(frame) / len(rest)), "rest_value": 1.0, "quality": "ok", "notes": ""}
     out = {r.id: r for r in measure_pairs(df, ["id"], measure, df.where("id = 3")).collect()}
     assert out[1].value == 3.0 and out[2].error.startswith("TypeError") and 3 not in out
-
-
-def test_restart_equals_one_pass_and_batch(spark):
-    rows = [(f"r{i % 3}", i, float(i), None if i % 7 == 0 else float((i * 37) % 11)) for i in range(240)]
-    df = spark.createDataFrame(rows, "run_id string, sample_id bigint, t_s double, ua double").withColumn("ts", F.timestamp_seconds("t_s"))
-    path, schema = store_slices(df.where("t_s < 120"), "ts", 2)
-    ck, out = folder(), folder() + "/out"
-
-    def drain():
-        s = telemetry_stream(spark, path, schema).select("run_id", "sample_id", "t_s", (F.col("ua") >= 3).alias("over"))
-        o = P.apply(s, P.Sustained("run_id", ["t_s"], 6.0, ["sample_id"]), "run_id string, sample_id bigint, since double")
-        return run_to_table(o, checkpoint=ck, path=out, state_partitions=2)
-    first = drain().count()
-    df.where("t_s >= 120").coalesce(1).write.mode("append").parquet(path)
-    second = drain()
-    drain()                                     # nothing new: no repeats
-    want = {(r.run_id, r.sample_id, r.since) for r in R.sustained(df, ["run_id"], ["t_s", "sample_id"], "t_s", F.col("ua") >= 3, F.lit(6.0)).collect()}
-    got = [(r.run_id, r.sample_id, r.since) for r in second.collect()]
-    assert 0 < first < len(got) and set(got) == want and len(got) == len(want)
