@@ -11,7 +11,8 @@ levels 2 to 4, filled up with level 1 where those are too few; the likeness of t
 ranges, a range is sorted and read as a stream, and the first document of each range is sent along with the range before it.
 
 Defined results: a null text is the empty text, whose fingerprint is empty; two empty fingerprints have likeness 1, one has 0. Null
-ids come after all others; rows with one id follow each other by their text's hash. A single document is its own next one. Extra
+ids come after all others; rows with one id follow each other by their text's hash, and repeated rows in any order: those that would fill a
+range are dealt into pieces. Ids that are no whole numbers are refused by name. A single document is its own next one. Extra
 columns are ignored; empty tables give empty results.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from stamina.llm.sharding import _merged, _quantiles, _range_of
+from stamina.llm.sharding import UNIT, _merged, _quantiles, _range_of, dealt_repeats
 from stamina.llm.textvec import chunks, mix
 
 LEVELS = 4
@@ -156,8 +157,13 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed:
 
     ``extra`` rows close a range and are no documents of it.
     """
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise ValueError(f"column {doc_id} is ordered by number; it holds {kind.simpleString()}")
     rows = docs.select(F.coalesce(F.bitwise_not(F.col(doc_id).cast("long")), F.lit((1 << 63) - 1)).alias("k"), F.xxhash64(text).alias("t"),
                        F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # repeated rows (and null ids of one text) that fill a range are dealt into pieces
+    rows = dealt_repeats(rows, "k", "t", F.lit(UNIT // RANGE_ROWS).cast("long"), "next")
     total = rows.count()
     parts = min(MAX_RANGES, -(-total // RANGE_ROWS))
     share = min(1.0, parts * 32 / max(1, total))

@@ -161,7 +161,25 @@ def test_shards_of_awkward_tables(nasty, empty, spark):
     assert sharding.shard(empty, 4).count() == 0
     laws(sharding.shard(spark.createDataFrame([(1, "only")], "doc_id long, text string"), 4).collect(), 4)
     same = spark.createDataFrame([(1, "same")] * 500, "doc_id long, text string")
-    assert len(laws(sharding.shard(same, 3).collect(), 3)) == 3
+    sizes = laws(sharding.shard(same, 3).collect(), 3)
+    assert len(sizes) == 3 and max(sizes) < 1.4 * min(sizes)
+
+
+def test_repeated_rows_are_dealt_to_all_shards(spark):
+    rows = [(i, f"text {i} " * 5) for i in range(200)] + [(7, "again and again " * 3)] * 800
+    sizes = laws(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect(), 8)
+    assert max(sizes) < 1.1 * np.mean(sizes) and min(sizes) > 0.9 * np.mean(sizes)
+
+
+def test_ranges_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_RANGE_ROWS", 100)
+    rows = [(i, None if i % 2 else f"text {i}") for i in range(12_000)] + [(None, None)] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("k"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("t"), sharding.record_size(F.col("text")).alias("size"))
+    load, total = sharding.loads(df, "size", 4)
+    dealt = sharding.dealt_repeats(df, "k", "t", load("size"), "test").cache()
+    number = sharding._range_of(sharding.split_points(dealt, load("size"), total))
+    assert dealt.count() == len(rows) and max(r["count"] for r in dealt.groupBy(number("k", "t")).count().collect()) <= sharding.WHOLE_KEY * 100
+    laws(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect(), 4)
 
 
 def test_written_shards(nasty, spark):
@@ -350,6 +368,19 @@ def test_next_documents(spark, size, monkeypatch):
     assert got == plain_fingerprints(rows)
 
 
+def test_repeated_rows_are_dealt_to_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "RANGE_ROWS", 100)
+    rows = [(i, f"text {i}") for i in range(300)] + [(None, None)] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = phrases.with_next(df).where("not extra").groupBy("range").count().collect()
+    assert max(r["count"] for r in sizes) < 500 and phrases.compare_with_next(df).count() == 1200
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(ValueError, match="doc_id"):
+        phrases.compare_with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_fingerprints_of_awkward_tables(spark, nasty, empty):
     got = phrases.compare_with_next(nasty).collect()
     assert len(got) == nasty.count()
