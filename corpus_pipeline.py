@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship()
-    placed = sharding.shard(docs, SHARDS)
+    placed = sharding.shard(docs.drop("shard", "slot"), SHARDS)        # columns that came with these names give way
     return placed.withColumnRenamed("__shard", "shard").withColumnRenamed("__slot", "slot").drop("__size")
 
 
