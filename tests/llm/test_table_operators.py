@@ -218,17 +218,55 @@ def test_rollup_follows_its_batches(spark):
         got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in token_counts.Rollup(spark, folder).totals().collect()}
         assert got == {k: (docs[k], want[k]) for k in docs}
     # an attempt that died before its marker leaves no trace
-    spark.createDataFrame([("q", "q", "v", 1, 1)], token_counts.DELTAS).write.parquet(f"{folder}/deltas/four")
+    spark.createDataFrame([("q", "q", "v", 1, 1)], token_counts.DELTAS).write.parquet(f"{folder}/attempts/four/deltas")
     assert got == {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
 
 
+CHANGES = "doc_id long, tokenizer string, op string, source string, lang string, tokens long, seq int"
+
+
+def test_two_committers_from_one_state(spark, monkeypatch):
+    """The second one saw the log as it was before the first one's commit."""
+    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/race")
+    rollup.apply("insert", spark.createDataFrame([(1, "v", "insert", "a", "x", 10, 0)], CHANGES))
+    stale = rollup._log()
+    rollup.apply("first", spark.createDataFrame([(1, "v", "revise", "a", "x", 20, 0)], CHANGES))
+    real, seen = rollup._log, []
+
+    def log(kind="commits"):
+        if kind == "commits" and len(seen) < 2:
+            seen.append(1)
+            return stale
+        return real(kind)
+
+    monkeypatch.setattr(rollup, "_log", log)
+    assert rollup.apply("second", spark.createDataFrame([(1, "v", "revise", "a", "x", 30, 0)], CHANGES)) and len(seen) == 2
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "x", "v", 1, 30)] and rollup.ledger().first()["tokens"] == 30
+    assert rollup.committed() == ["insert", "first", "second"]
+
+
+def test_ties_refused_rows_and_compaction(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACT_EVERY", 3)
+    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/ties")
+    rows = [(1, "v", "insert", "a", "x", 5, 0), (1, "v", "insert", "b", "x", 5, 0), (2, "v", "delete", None, None, None, 0), (2, "v", "insert", "a", "x", 7, 0),
+            (None, "v", "insert", "a", "x", 99, 0)]
+    for k, order in enumerate((rows, rows[::-1])):
+        assert rollup.apply(f"load{k}", spark.createDataFrame(order, CHANGES).coalesce(1))
+        assert [tuple(r) for r in rollup.totals().collect()] == [("b", "x", "v", 1, 5)]
+    for k in range(6):
+        assert rollup.apply(f"more{k}", spark.createDataFrame([(10 + k, "v", "insert", "b", "x", 1, 0), (1, "v", "revise", "b", "x", k, 0)], CHANGES))
+        assert [tuple(r) for r in rollup.totals().collect()] == [("b", "x", "v", 2 + k, k + k + 1)]
+    assert len(rollup._log("bases")) == 2 and not rollup.apply("load0", spark.createDataFrame(rows, CHANGES))
+    assert [(r["tokens"], r["batch"]) for r in rollup.refused().orderBy("batch").collect()] == [(99, "load0"), (99, "load1")]
+
+
 def test_token_counts(spark, nasty, empty):
     import tiktoken
     import base64
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     coder = tiktoken.Encoding("own", pat_str=token_counts.BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = token_counts.count_tokens(nasty.select("doc_id", F.col("text").alias("kept"), "text"), path).collect()
+    got = token_counts.count_tokens(nasty.select("doc_id", F.col("text").alias("kept"), "text", F.lit("x").alias("tokens")), path).collect()
     assert all(r["tokens"] == (len(coder.encode_ordinary(r["kept"])) if r["kept"] else 0) for r in got) and len(got) == nasty.count()
     assert token_counts.count_tokens(empty, path).count() == 0
 
