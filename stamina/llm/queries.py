@@ -98,21 +98,25 @@ def _(spark, sf_dir):
 
 #: Rules as (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: A small labelled table; the names are invented.
+#: A small labelled table, written by hand for this query. All hosts end in a reserved name of which no page's host is part.
 BLOCKED_URLS = [
-    "http://www.cheap-pills.example.com/en/450", "https://cheap-pills.example.net/en/12.html", "http://buy-pills-now.example.com/de/7",
-    "https://www.spam-farm.example.org/en/728", "http://spam-farm.example.net/fr/3/", "https://blog.spam-links.example.com/en/5",
-    "http://casino-win.example.net/en/99", "https://m.casino-win.example.com/es/41.html", "http://win-big-casino.example.org/en/2",
-    "https://free-bets.example.net/en/63", "http://www.free-bets.example.com/de/8/", "https://bets-bonus.example.org/en/77",
-    "http://adult-x.example.com/en/15", "https://m.adult-x.example.net/fr/20", "http://adult-cams.example.com/es/31",
-    "https://ads-track.example.com/en/6", "http://m.ads-track.example.net/en/54.html", "https://ads-click.example.org/de/9"]
+    "http://online-casino-bonus.test/en/spin/12", "https://www.royal-casino-slots.test/de/jackpot", "http://poker-casino-club.test/fr/play/3",
+    "http://viagra-pharmacy-discount.test/en/order", "https://pills-without-prescription.test/es/buy/7", "http://diet-pills-online.test/en/offer.html",
+    "https://hot-adult-videos.test/en/watch/88", "http://www.adult-webcam-girls.test/de/chat", "http://adult-dating-tonight.test/en/join",
+    "http://sports-betting-odds.test/en/bets/4", "https://m.live-betting-tips.test/es/bets", "http://best-bets-daily.test/fr/tips/2",
+    "http://payday-loans-fast.test/en/apply", "https://www.instant-credit-loans.test/en/apply.html", "http://win-a-free-phone.test/en/claim/1",
+    "http://lottery-winner-prize.test/es/claim", "https://free-prize-spinner.test/en/win/9", "http://seo-backlinks-farm.test/en/links/55",
+    "http://cheap-backlinks.test/de/links/6", "http://link-farm-directory.test/en/spam/1", "https://ads-pop-tracker.test/en/click/77",
+    "http://click-tracker-ads.test/fr/ads/8", "http://banner-ads-network.test/en/ads", "http://cheap-replica-watches.test/en/sale/5"]
 ALLOWED_URLS = [
-    "https://www.ththen.example.com/en/148.html", "http://blog.ththan.example.net/en/960", "https://m.therou.example.com/en/474.html",
-    "http://therha.example.com/fr/676", "https://ththin.example.com/en/671", "https://blog.tionsh.example.net/es/533/",
-    "http://ththed.example.org/en/453", "https://www.ththwh.example.org/en/471", "https://blog.thernd.example.net/de/612",
-    "http://thering.example.com/en/328/", "https://www.therti.example.org/en/334/", "https://m.ththth.example.net/en/25",
-    "http://library.example.org/en/books/4", "https://news.example.com/fr/2021/may/story.html", "https://www.garden-club.example.net/de/roses/",
-    "http://wiki.example.org/es/historia", "https://docs.example.net/en/guide/install.html", "https://www.city-museum.example.com/en/visit"]
+    "https://www.city-library.test/en/books/12", "http://county-museum.test/en/visit.html", "https://garden-notes.test/de/roses/4",
+    "https://www.mountain-weather.test/fr/week", "http://river-history.test/es/chapter/3", "https://open-textbooks.test/en/algebra/7",
+    "http://village-school.test/de/stundenplan", "https://blog.bread-and-salt.test/en/recipes/31", "http://astronomy-club.test/en/moon/2",
+    "https://www.railway-timetables.test/de/plan", "https://news.harbour-times.test/en/2021/05/story.html", "http://folk-songs.test/fr/chansons/8",
+    "https://university-press.test/en/journals/19", "http://www.bird-watching.test/en/species/40", "https://docs.sorting-library.test/en/guide/install",
+    "http://local-council.test/es/actas/6", "https://chess-openings.test/en/sicilian", "http://marine-biology.test/en/corals/11",
+    "https://m.theatre-programme.test/fr/saison", "http://thermal-engineering.test/en/pumps/5", "https://wiki.old-maps.test/de/karten/14",
+    "http://translation-forum.test/es/hilo/70", "https://www.health-ministry.test/en/advice/3", "http://knitting-patterns.test/en/scarf/1"]
 
 
 @query("op1_url_filters")

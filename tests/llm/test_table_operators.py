@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stamina.llm import crf_quality, mixing, phrases, sharding, token_counts, url_filter
+from stamina.llm import crf_quality, mixing, phrases, queries, sharding, token_counts, url_filter
 from stamina.session import ensure_checkpoint_dir
 
 
@@ -309,6 +309,30 @@ def test_url_rules_and_model(spark):
 
 # quality
 
+def test_labelled_urls_are_not_those_that_are_judged(spark):
+    labelled = [u.split("://")[1].split("/")[0] for u in queries.BLOCKED_URLS + queries.ALLOWED_URLS]
+    assert len(set(labelled)) == len(labelled)
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select(url_filter.host_of(F.col("url"))).distinct()
+        assert not {r[0] for r in pages.collect()} & set(labelled)
+
+
+def test_model_judges_hosts_it_has_not_seen(spark):
+    """Precision and recall on a second hand-written table that shares no host with the first."""
+    block = ["http://grand-casino-night.test/en/1", "https://discount-pharmacy-pills.test/de/5", "http://free-adult-stream.test/en/9", "http://football-bets-now.test/es/2",
+             "https://quick-loans-today.test/en/apply", "http://lucky-lottery-prize.test/fr/claim", "http://spam-links-farm.test/en/3", "http://ads-click-tracker.test/en/4"]
+    allow = ["https://national-library.test/en/books/2", "http://village-museum.test/de/besuch", "https://rose-garden.test/en/roses/1", "http://school-history.test/fr/3",
+             "https://weather-station.test/en/week", "http://bird-songs.test/es/7", "https://press.biology-journal.test/en/19", "http://old-railway-maps.test/de/plan"]
+    assert not {u.split("/")[2] for u in block + allow} & {u.split("/")[2] for u in queries.BLOCKED_URLS + queries.ALLOWED_URLS}
+    labelled = spark.createDataFrame([(u, 1) for u in queries.BLOCKED_URLS] + [(u, 0) for u in queries.ALLOWED_URLS], "url string, block int")
+    model = url_filter.train(labelled)
+    rows = spark.createDataFrame([(u, u in block) for u in block + allow], "url string, bad boolean")
+    judged = url_filter.judge(rows, spark.createDataFrame([], "host string, path string, verdict string"), model).collect()
+    hit = sum(r["bad"] and r["__verdict"] == "block" for r in judged)
+    said = sum(r["__verdict"] == "block" for r in judged)
+    assert hit / len(block) >= 0.85 and hit / max(1, said) >= 0.85
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     score, turn = rng.normal(size=9) * 2, rng.normal(size=(2, 2))
