@@ -7,7 +7,10 @@ row count whatever the type, spread or ties of the order columns; every window t
 a carry table. Keys within the limit go through the plain window. The limit is the same at
 every data size, and the same path runs on small tables and large ones.
 
-Finding the hot keys is one count over the key columns. The hot rows are written once to the
+Finding the hot keys is one count over the key columns, and it is done once for each table of keys: what a chain of operators adds to
+the rows doesn't change their keys, Spark prunes it from a plan of the keys alone, and a plan that gives the same rows as one counted
+before takes that answer (``find_hot``). ``within`` says that rows are some of those of an operator before, under the same or finer
+keys, so that no count is needed where that one found none. The hot rows are written once to the
 checkpoint folder with their segment, since a range partitioning may come out differently when it
 is computed again; so are the carry tables. Nothing is collected. Tables about hot keys are
 broadcast up to ``MAX_BROADCAST_ROWS`` counted rows and joined by a shuffle beyond.
@@ -15,6 +18,7 @@ broadcast up to ``MAX_BROADCAST_ROWS`` counted rows and joined by a shuffle beyo
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,11 +35,31 @@ def hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
+_counted: OrderedDict = OrderedDict()
+REMEMBERED = 512
+
+
 def find_hot(df: DataFrame, keys: list[str], per_segment: int | None = None) -> DataFrame | None:
-    """(keys, __n): keys with more rows than one task should take, or None."""
-    per = per_segment or rows_per_segment(df.sparkSession)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > per)
-    return None if hot.isEmpty() else cut_lineage(hot)
+    """(keys, __n): keys with more rows than one task should take, or None.
+
+    Answers are kept by the optimised plan of the keys and compared by Spark's own test of equal results. An answer about a table that
+    was replaced meanwhile may be out of date; then a key is cut where it need not be, or not where it might, and results are the same.
+    """
+    spark = df.sparkSession
+    per = per_segment or rows_per_segment(spark)
+    rows = df.select(*keys)
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    at = (spark.sparkContext.applicationId, plan.semanticHash(), tuple(keys), per)
+    for known, hot in _counted.get(at, []):
+        if known.sameResult(plan):
+            _counted.move_to_end(at)
+            return hot
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > per)
+    hot = None if hot.isEmpty() else cut_lineage(hot)
+    _counted.setdefault(at, []).append((plan, hot))
+    if len(_counted) > REMEMBERED:
+        _counted.popitem(last=False)
+    return hot
 
 
 def join_keyed(df: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -54,10 +78,12 @@ class Ordered:
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str],
-                 per_segment: int | None = None):
+                 per_segment: int | None = None, within: Ordered | None = None):
         self.keys, self.order = list(keys), list(order)
         self.per_segment = per_segment
         self.cold, self.warm = df, None
+        if within is not None and within.warm is None and set(within.keys) <= set(self.keys):
+            return
         hot = find_hot(df, self.keys, per_segment)
         if hot is None:
             return

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stamina.operators.intervals import interval_join
 from stamina.operators.ordered import Ordered, haloed
@@ -29,14 +32,53 @@ def running_median(df: DataFrame, keys: list[str], frame: str, value: str, name:
     return h.withColumn(name, med).where("__home").drop("__home", "__bucket")
 
 
+def _kth(ranks: np.ndarray, start: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The ``k``-th smallest of ``ranks[start:end]`` for many frames at once, bit by bit: at each bit the values of a frame with a zero
+    are counted from running counts, and the frame goes on among those or among the others. Work is rows x bits, whatever the frames."""
+    out = np.zeros(len(k), np.int64)
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (ranks >> bit & 1).astype(bool)
+        zeros = np.r_[0, np.cumsum(~one)]
+        before, upto = zeros[start], zeros[end]
+        up = k >= upto - before
+        k = np.where(up, k - (upto - before), k)
+        start, end = np.where(up, zeros[-1] + start - before, before), np.where(up, zeros[-1] + end - upto, upto)
+        out |= up.astype(np.int64) << bit
+        ranks = np.r_[ranks[~one], ranks[one]]
+    return out
+
+
+def frame_medians(x: np.ndarray, y: np.ndarray, at: np.ndarray, half: float) -> np.ndarray:
+    """Median of the ``y`` that are numbers with ``x`` within ``half`` of each ``at``; NaN where there is none."""
+    order = np.argsort(x[~np.isnan(y)], kind="stable")
+    x, y = x[~np.isnan(y)][order], y[~np.isnan(y)][order]
+    values, ranks = np.unique(y, return_inverse=True)
+    start, end = np.searchsorted(x, at - half, "left"), np.searchsorted(x, at + half, "right")
+    some = end > start
+    out, last = np.full(len(at), np.nan), (end - start)[some] - 1
+    if some.any():
+        low, high = (values[_kth(ranks, start[some], end[some], k)] for k in (last // 2, -(-last // 2)))
+        out[some] = low + (high - low) * (last % 2) * 0.5
+    return out
+
+
 def rolling_median(df: DataFrame, keys: list[str], x: str, y: str, name: str, window: float) -> DataFrame:
-    """Median of ``y`` within ``x`` +- window/2, per stretch of ``x`` with a halo."""
-    half = window / 2
+    """Median of ``y`` within ``x`` +- window/2, per stretch of ``x`` with a halo.
+
+    A task takes the rows of eight windows and their halo; its time is linear in them (times the bits of their number), also where all lie in one window.
+    Rows without ``x`` have no median.
+    """
+    half, columns = window / 2, df.columns
     h, part = haloed(df, keys, x, 8 * window, half)
-    cols = ", ".join(f"`{c}`" for c in part)
-    med = F.expr(f"percentile(`{y}`, 0.5D) OVER (PARTITION BY {cols} ORDER BY `{x}` "
-                 f"RANGE BETWEEN {half}D PRECEDING AND {half}D FOLLOWING)")
-    return h.withColumn(name, med).where("__home").drop("__home", "__bucket")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def medians(table: pa.Table) -> pa.Table:
+        home = table.filter(table["__home"])
+        xs, ys, at = (c.cast(pa.float64()).to_numpy() for c in (table[x], table[y], home[x]))
+        found = frame_medians(xs[~np.isnan(xs)], ys[~np.isnan(xs)], at, half)
+        return home.select(columns).append_column(name, pa.array(found, pa.float64(), from_pandas=True))
+
+    return h.groupBy(*part).applyInArrow(medians, schema)
 
 
 def dominant_direction(df: DataFrame, keys: list[str], order: list[str], dx: str, dy: str, name: str) -> DataFrame:
@@ -61,13 +103,13 @@ def normal_displacement(df: DataFrame, keys: list[str], order: list[str], dx: st
             .result().drop("__v", "__hi", "__lo"))
 
 
-def _kept(crossings: DataFrame, keys: list[str], frame: str, gap: float) -> DataFrame:
+def _kept(crossings: DataFrame, keys: list[str], frame: str, gap: float, within: Ordered) -> DataFrame:
     """Drop crossings within ``gap`` of the last kept one.
 
     A crossing farther than the gap from its predecessor is always kept, so the rule only
     has to be followed inside chains of close crossings (a few frames each).
     """
-    o = Ordered(crossings, keys, [frame]).lag(__p=F.col(frame))
+    o = Ordered(crossings, keys, [frame], within=within).lag(__p=F.col(frame))
     fresh = F.col("__p").isNull() | (F.col(frame) - F.col("__p") > gap)
     chained = o.running_sum(__chain=F.when(fresh, 1).otherwise(0)).result()
     runs = chained.groupBy(*keys, "__chain").agg(F.array_sort(F.collect_list(frame)).alias("f"))
@@ -76,12 +118,12 @@ def _kept(crossings: DataFrame, keys: list[str], frame: str, gap: float) -> Data
     return runs.select(*keys, F.explode(keep).alias(frame))
 
 
-def _measure(j: DataFrame, keys: list[str], frame: str, fps: float) -> Ordered:
+def _measure(j: DataFrame, keys: list[str], frame: str, fps: float, within: Ordered) -> Ordered:
     """Shared part: rows of pulse windows with on, stop, lo, next known per row."""
     f, sm = F.col(frame), F.col("sm")
     tail = int(TAIL_S * fps)
     seg = (f >= F.col("on")) & (f < F.col("stop"))
-    o = Ordered(j, keys, [frame]).total(pk=F.max(F.when(seg, sm)))
+    o = Ordered(j, keys, [frame], within=within).total(pk=F.max(F.when(seg, sm)))
     o = o.total(pk_i=F.min(F.when(seg & (sm == F.col("pk")), f)))
     o = o.total_median(base=F.when(F.col("in_base"), sm))
     o = o.total(sm_on=F.max(F.when(f == F.col("on"), sm)))
@@ -107,11 +149,12 @@ def _pulse_rows(g: DataFrame, keys: list[str], fps: float) -> DataFrame:
         F.when(F.col("pk") > 0, F.round(1 - F.col("res") / F.col("pk"), 3)).alias("recovered_frac"))
 
 
-def smooth(trace: DataFrame, keys: list[str], frame: str, disp: str) -> DataFrame:
-    """Adds ``sm`` (running median), ``psm`` (its previous value), ``gmax`` and ``n_frames``."""
+def smooth(trace: DataFrame, keys: list[str], frame: str, disp: str) -> tuple[DataFrame, Ordered]:
+    """Adds ``sm`` (running median), ``psm`` (its previous value), ``gmax`` and ``n_frames``; with the ordered rows behind it."""
+    bare = Ordered(trace, keys, [frame])
     s = running_median(trace, keys, frame, disp, "sm")
-    return (Ordered(s, keys, [frame]).lag(psm=F.col("sm")).total(gmax=F.max(disp), n_frames=F.max(frame))
-            .result().withColumn("n_frames", F.col("n_frames") + 1))
+    o = Ordered(s, keys, [frame], within=bare).lag(psm=F.col("sm")).total(gmax=F.max(disp), n_frames=F.max(frame))
+    return o.result().withColumn("n_frames", F.col("n_frames") + 1), o
 
 
 def pulse_measures(trace: DataFrame, keys: list[str], frame: str, disp: str, fps: float = FPS) -> DataFrame:
@@ -120,10 +163,11 @@ def pulse_measures(trace: DataFrame, keys: list[str], frame: str, disp: str, fps
     Up-crossings of 30 % of the clip maximum, thinned to one per two seconds; every pulse
     then owns the frames around it and is measured by aggregates over them.
     """
-    s = smooth(trace, keys, frame, disp).where(F.col("gmax") >= MIN_PEAK_PX)
+    s, of = smooth(trace, keys, frame, disp)
+    s = s.where(F.col("gmax") >= MIN_PEAK_PX)
     thr = CROSSING * F.col("gmax")
     ups = s.where((F.col("sm") >= thr) & (F.col("psm") < thr)).select(*keys, frame)
-    k = Ordered(_kept(ups, keys, frame, KEPT_GAP_S * fps), keys, [frame])
+    k = Ordered(_kept(ups, keys, frame, KEPT_GAP_S * fps, of), keys, [frame], within=of)
     peak_w = int(PEAK_WINDOW_S * fps)
     k = k.lag(__p=F.col(frame)).lead(__n=F.col(frame)).result()
     lo = F.coalesce(F.col("__p") + peak_w, F.lit(0))
@@ -137,14 +181,15 @@ def pulse_measures(trace: DataFrame, keys: list[str], frame: str, disp: str, fps
     pk = [*keys, "cross"]
     f, sm = F.col(frame), F.col("sm")
     before = (f >= F.col("lo")) & (f < F.col("cross"))
-    o = Ordered(j, pk, [frame]).total(floor=F.min(F.when(before, sm)))
+    # a frame is in a pulse's window once, so a pulse has no more rows than its clip
+    o = Ordered(j, pk, [frame], within=of).total(floor=F.min(F.when(before, sm)))
     o = o.total(__w=F.max(F.when(before & (sm <= F.col("floor") + RISE_FLOOR * F.col("gmax")), f)))
     o = o.with_columns(on=F.when(F.col("cross") > F.col("lo"), F.coalesce(F.col("__w") + 1, F.col("lo"))).otherwise(F.col("cross")))
     rows = o.result().withColumns({
         "stop": F.least(F.col("on") + peak_w, F.col("n_frames")), "nxt": F.coalesce("next_cross", "n_frames"),
         "walk_back": F.col("next_cross").isNotNull(), "base_or_on": F.lit(False),
         "in_base": (f >= F.greatest(F.col("lo"), F.col("on") - int(TAIL_S * fps))) & (f <= F.col("on"))})
-    return _measures(_measure(rows, pk, frame, fps), pk)
+    return _measures(_measure(rows, pk, frame, fps, of), pk)
 
 
 def pulses(trace: DataFrame, keys: list[str], frame: str, disp: str, fps: float = FPS) -> DataFrame:
@@ -155,7 +200,7 @@ def pulses(trace: DataFrame, keys: list[str], frame: str, disp: str, fps: float
 def windowed_measures(trace: DataFrame, onsets: DataFrame, keys: list[str], frame: str, disp: str,
                       fps: float = FPS, on_s: float = ON_S) -> DataFrame:
     """Unrounded pulse measures inside known drive windows [onset, onset + on_s)."""
-    s = smooth(trace, keys, frame, disp)
+    s, of = smooth(trace, keys, frame, disp)
     w = Ordered(onsets, keys, ["onset"]).lead(__n=F.col("onset")).result()
     start, tail = F.ceil(F.col("onset") * fps), int(TAIL_S * fps)
     nxt = F.ceil(F.col("__n") * fps)
@@ -170,7 +215,7 @@ def windowed_measures(trace: DataFrame, onsets: DataFrame, keys: list[str], fram
         "walk_back": F.lit(False), "base_or_on": F.lit(True),
         "in_base": (F.col(frame) >= F.col("on") - tail) & (F.col(frame) < F.col("on"))})
     pk = [*keys, "onset"]
-    return _measures(_measure(rows, pk, frame, fps), pk)
+    return _measures(_measure(rows, pk, frame, fps, of), pk)
 
 
 def windowed_pulses(trace: DataFrame, onsets: DataFrame, keys: list[str], frame: str, disp: str,

@@ -97,3 +97,21 @@ def test_timeline_and_level_generators(spark):
     pts = spark.createDataFrame([(1, float(t)) for t in (-1, 1, 4.5, 30, 69.5, 400)], "id int, t double")
     kv = {r.t: r.kv_at for r in E.commanded_level(pts, E.segments(st, ["id"]), ["id"], "t").collect()}
     assert kv == pytest.approx({-1: 0, 1: 0, 4.5: .5, 30: 1, 69.5: 1.5, 400: 1})
+
+
+def test_frame_medians_equal_numpy():
+    rng = np.random.default_rng(2)
+    for n, spread in ((0, 1.0), (1, 1.0), (300, 5.0), (400, 0.0), (2000, 50.0)):
+        x, y = np.round(rng.random(n) * spread, 2), np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 30, n).astype(float))
+        got = T.frame_medians(x, y, x, 1.25)
+        for xi, g in zip(x, got):
+            own = y[(x >= xi - 1.25) & (x <= xi + 1.25) & ~np.isnan(y)]
+            assert (len(own) == 0 and np.isnan(g)) or g == np.median(own)
+
+
+def test_rolling_median_of_one_hot_window_is_linear(spark):
+    """300,000 rows in one window: with a frame per row this would be 10^11 steps."""
+    df = spark.range(300_000).select(F.lit(1).alias("k"), (F.col("id") % 1000 / 1000.0).alias("x"), (F.col("id") * 7919 % 300_007).cast("double").alias("y"))
+    out = T.rolling_median(df, ["k"], "x", "y", "med", 4.0)
+    assert out.columns == ["k", "x", "y", "med"] and out.count() == 300_000
+    assert [r[0] for r in out.select("med").distinct().collect()] == [float(np.median(np.arange(300_000) * 7919 % 300_007))]
