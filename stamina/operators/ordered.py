@@ -37,26 +37,53 @@ def hinted(df: DataFrame) -> DataFrame:
 
 _counted: OrderedDict = OrderedDict()
 REMEMBERED = 512
+#: Steps of a plan that add no rows to a key.
+NO_MORE_ROWS = {"Filter", "Window", "Sort", "Project"}
+
+
+def _plans(df: DataFrame, keys: list[str]):
+    """The optimised plan of the keys, and the same without the steps that only drop rows or add columns."""
+    plan = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])._jdf.queryExecution().optimizedPlan()
+    yield plan
+    child = plan
+    while child.children().size() == 1 and (child := child.children().head()).nodeName() in NO_MORE_ROWS and child.children().size() == 1 and \
+            plan.references().subsetOf(child.children().head().outputSet()):
+        plan = plan.withNewChildren(child.children())
+        child = plan
+        yield plan
+
+
+def _recall(plan, n_keys: int, per: int, app: str):
+    """(known, hot) of a plan that gives the same rows as ``plan``."""
+    at = (app, plan.semanticHash(), n_keys, per)
+    for known, hot in _counted.get(at, []):
+        if known.sameResult(plan):
+            _counted.move_to_end(at)
+            return True, hot
+    return False, None
 
 
 def find_hot(df: DataFrame, keys: list[str], per_segment: int | None = None) -> DataFrame | None:
     """(keys, __n): keys with more rows than one task should take, or None.
 
-    Answers are kept by the optimised plan of the keys and compared by Spark's own test of equal results. An answer about a table that
-    was replaced meanwhile may be out of date; then a key is cut where it need not be, or not where it might, and results are the same.
+    Answers are kept by the optimised plan of the keys and compared by Spark's own test of equal results; where no key is hot, none is among
+    fewer rows or under finer keys. An answer about a table that was replaced meanwhile may be out of date; then a key is cut where it
+    need not be, or not where it might, and results are the same.
     """
     spark = df.sparkSession
-    per = per_segment or rows_per_segment(spark)
-    rows = df.select(*keys)
-    plan = rows._jdf.queryExecution().optimizedPlan()
-    at = (spark.sparkContext.applicationId, plan.semanticHash(), tuple(keys), per)
-    for known, hot in _counted.get(at, []):
-        if known.sameResult(plan):
-            _counted.move_to_end(at)
-            return hot
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > per)
+    per, app = per_segment or rows_per_segment(spark), spark.sparkContext.applicationId
+    own = None
+    for some in range(len(keys), 0, -1):
+        for plan in _plans(df, keys[:some]):
+            own = own or plan
+            known, hot = _recall(plan, some, per, app)
+            if known and hot is None:
+                return None
+            if known and plan is own:
+                return hot.toDF(*keys, "__n")
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > per)
     hot = None if hot.isEmpty() else cut_lineage(hot)
-    _counted.setdefault(at, []).append((plan, hot))
+    _counted.setdefault((app, own.semanticHash(), len(keys), per), []).append((own, hot))
     if len(_counted) > REMEMBERED:
         _counted.popitem(last=False)
     return hot

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stamina.session import cut_lineage
+
 # Accepted keys, vocabularies and ranges of a plan.
 TOP_KEYS = ["schema", "name", "description", "geometry", "drive", "reference", "environment", "counting",
             "camera_track_max_hz", "stop", "milestones", "failure_rules", "blocks"]
@@ -19,6 +21,48 @@ REQUIRED = ("freq_hz", "max_cycles", "max_wall_h")
 MAX_LOOP_DEPTH = 2
 
 
+# Accepted keys of each kind of object in a plan, and which keys hold objects or lists of blocks.
+KEYS = {"plan": TOP_KEYS, "drive": ["waveform", "freq_hz", "v_pk", "v_min_kv"],
+        "reference": ["ref_kv", "ref_freq_hz", "ref_cycles", "leak_hold_kv", "leak_hold_s"],
+        "environment": ["t_c_band", "p_mbar_band", "stale_after_s", "reattest_on_rearm"], "stop": ["max_cycles", "max_wall_h"],
+        "staircase": ["start_kv", "end_kv", "step_kv", "n_steps", "ramp_s", "landing_s", "settle_s", "snap_lead_s"],
+        "cycle": ["type", "n_cycles", "role", "waveform", "freq_hz", "v_pk_kv", "v_min_kv"],
+        "fast_interlude": ["type", "ref_kv", "ref_freq_hz", "ref_cycles", "leak_hold_kv", "leak_hold_s"],
+        "full_interlude": ["type", "staircase", "set_baseline"], "dc_hold": ["type", "kv", "hold_s", "sample_hz"], "ramp": ["type", "to_kv", "rate_kv_s"],
+        "wait_env": ["type", "prompt", "t_c_band", "p_mbar_band"], "loop": ["type", "blocks", "repeat"]}
+OBJECTS = {"plan": ["drive", "reference", "environment", "stop"], "full_interlude": ["staircase"]}
+LISTS = {"plan": ["blocks"], "loop": ["blocks"]}
+
+
+def _listed(table: dict[str, list[str]], kind: Column, key: Column) -> Column:
+    """Whether ``table`` has ``key`` for ``kind``."""
+    flat = [f"{k}/{v}" for k, vs in table.items() for v in vs]
+    return F.concat(kind, F.lit("/"), key).isin(*flat)
+
+
+def unknown_paths(plans: DataFrame, keys: list[str], doc: str) -> DataFrame:
+    """(keys, path): every key that its object doesn't accept, at any depth of the plan's JSON, with its whole path.
+
+    One step a level of nesting: entries of the objects of a level as rows, unknown ones out, objects and blocks below as the next level. An
+    object of unknown block type is not looked into (its type is a problem of its own). A text that is no object has no paths.
+    """
+    level = plans.select(*keys, F.lit("plan").alias("kind"), F.lit("").alias("path"), F.col(doc).alias("v"))
+    out = None
+    while True:
+        entry = level.select(*keys, "kind", "path", F.explode(F.from_json("v", T.MapType(T.StringType(), T.StringType()))).alias("key", "value"))
+        entry = entry.withColumn("path", F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "key"))
+        bad = entry.where(~_listed(KEYS, F.col("kind"), F.col("key"))).select(*keys, "path")
+        out = bad if out is None else out.unionByName(bad)
+        objects = entry.where(_listed(OBJECTS, F.col("kind"), F.col("key"))).select(*keys, F.col("key").alias("kind"), "path", F.col("value").alias("v"))
+        blocks = entry.where(_listed(LISTS, F.col("kind"), F.col("key"))).select(
+            *keys, "path", F.posexplode(F.from_json("value", T.ArrayType(T.StringType()))).alias("at", "v"))
+        blocks = blocks.select(*keys, F.get_json_object("v", "$.type").alias("kind"), F.concat("path", F.lit("["), F.col("at"), F.lit("]")).alias("path"), "v")
+        below = objects.unionByName(blocks.where(F.col("kind").isin(*BLOCK_TYPES)))
+        if below.isEmpty():
+            return out
+        level = cut_lineage(below)
+
+
 def unknown_keys(present: Column, allowed: list[str], where: str) -> Column:
     extra = F.array_sort(F.array_except(present, F.array(*[F.lit(k) for k in allowed])))
     return F.when(F.size(extra) > 0, F.concat(F.lit(where + ": unknown key(s) "), F.array_join(extra, ",")))

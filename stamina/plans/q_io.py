@@ -107,11 +107,10 @@ def _(t):
                    F.struct(F.lit(1.5).alias("disp_value")).alias("baseline"), F.array(F.struct(F.lit("amplitude").alias("id"))).alias("flags"))
     path = R.scratch(t.spark, "state")
     t("customer").select(F.to_json(doc).alias("value")).write.text(path)
-    # one document per line here; multiLine reads one document per file, so lines are parsed as text
     schema = "schema string, run bigint, cycles bigint, baseline struct<disp_value:double>, flags array<struct<id:string>>"
-    df = t.spark.read.schema(schema).json(path)
-    ok = F.col("schema") == "run-state/1"
-    return df.select("run", F.when(ok, "accepted").otherwise("quarantined").alias("outcome"), F.when(ok, F.col("cycles")).alias("cycles"))
+    accepted, quarantined = R.state_json(t.spark, path, schema, "run-state/1", one_per_file=False)
+    return accepted.select("run", F.lit("accepted").alias("outcome"), "cycles").union(
+        quarantined.select("run", F.lit("quarantined"), F.lit(None).cast("bigint")))
 
 
 @query("s10_waveform_rows", oracle(
@@ -133,9 +132,7 @@ def _(t):
     w = t.trace.select("frame", "t_s", F.col("disp").alias("a_dx"), F.lit(0.5).alias("a_dy"), F.lit(1).alias("a_n"), (-F.col("disp")).alias("b_dx"), F.lit(0.1).alias("b_dy"),
                        F.lit(1).alias("b_n"), F.concat(F.lit("clip"), F.col("clip") % 20).alias("c"))
     w.repartition(F.col("c"), F.pmod(F.xxhash64("frame"), F.lit(8))).write.partitionBy("c").option("header", True).csv(path)
-    raw = t.spark.read.schema(R.text_schema(head)).option("header", True).option("recursiveFileLookup", True).csv(path)
-    d = raw.select(F.regexp_extract(F.col("_metadata.file_path"), "/c=([^/]+)/", 1).alias("clip"), *[
-        F.trim(F.col(c)).try_cast("int" if c == "frame" else "double").alias(c) for c in head])
+    d = R.trace_csv(t.spark, path, head, r"/c=([^/]+)/")
     return rounded(R.long_trace(d, ["a", "b"]).select("clip", "frame", "finger", "dx", "n"), 4)
 
 
@@ -176,13 +173,34 @@ def _(t):
     return K.manifest(t.spark, t.path).select("name", "bytes", "sha256")
 
 
+@query("k5_manifest_of_parts", oracle("SELECT c_nationkey AS nation, CAST(sum(length(c_name)+1) AS BIGINT) AS bytes, count(DISTINCT c_nationkey) AS files FROM customer GROUP BY 1"))
+def _(t):
+    """Files whose sizes the table tells: one of names for each nation, one line each."""
+    path = R.scratch(t.spark, "parts")
+    t("customer").select("c_nationkey", "c_name").repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    m = K.manifest(t.spark, f"{path}/*/*.txt")
+    raw = t.spark.read.format("binaryFile").load(f"{path}/*/*.txt").select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.regexp_extract("path", "c_nationkey=(\\d+)/", 1).cast("int").alias("nation"), "content")
+    # file names repeat over folders, so files are told apart by their hash; equal files count once
+    same = raw.select("nation", F.sha2("content", 256).alias("sha256"))
+    return same.join(m.distinct(), "sha256").groupBy("nation").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+
+
 @query("k6_figure_spec", oracle(
-    """SELECT 'fig'||c_nationkey%5 AS stem, count(DISTINCT c_mktsegment) AS n_runs, CAST(NULL AS VARCHAR) AS problem FROM customer GROUP BY 1"""))
+    """SELECT 'fig'||c_nationkey%5 AS stem, CASE WHEN c_nationkey%5<4 THEN count(DISTINCT c_mktsegment) END AS n_runs,
+    CASE c_nationkey%5 WHEN 4 THEN 'not valid JSON' WHEN 3 THEN 'no opts' WHEN 2 THEN 'written by a newer version' END AS problem FROM customer GROUP BY c_nationkey%5"""))
 def _(t):
+    """Specs as written, and after three kinds of damage to the files of some figures."""
     runs = t("customer").select((F.col("c_nationkey") % 5).alias("g"), F.col("c_mktsegment").alias("run"))
-    s = K.check_spec(K.figure_spec(runs, {"mode": "area", "prepost": "true"}, F.concat(F.lit("fig"), "g")))
-    n = F.size(F.from_json(F.get_json_object("spec", "$.runs"), "array<string>"))
-    return s.select("stem", n.cast("bigint").alias("n_runs"), "problem")
+    spec = K.figure_spec(runs, {"mode": "area", "prepost": "true"}, F.concat(F.lit("fig"), "g"))
+    hurt = F.when(F.col("stem") == "fig4", F.substring("spec", 1, 20)).when(F.col("stem") == "fig3", F.replace("spec", F.lit('"opts"'), F.lit('"odds"')))
+    s = K.check_spec(spec.withColumn("spec", hurt.when(F.col("stem") == "fig2", F.replace("spec", F.lit('"spec_version":1'), F.lit('"spec_version":9'))).otherwise(F.col("spec"))))
+    return s.select("stem", F.get_json_object("spec", "$.n_runs").try_cast("bigint").alias("n_runs"), "problem")
+
+
+@query("k6_figure_runs", oracle("SELECT DISTINCT 'fig'||c_nationkey%5 AS stem, c_mktsegment AS run FROM customer"))
+def _(t):
+    return K.figure_runs(t("customer").select("c_nationkey", F.col("c_mktsegment").alias("run")), F.concat(F.lit("fig"), F.col("c_nationkey") % 5))
 
 
 @query("k7_partitioned_summary", oracle("""SELECT vec_id AS clip, CASE WHEN label%2=0 THEN 'A' ELSE 'B' END AS series, CASE WHEN vec_id%11=0 THEN 'decode failed' END AS error FROM embeddings"""))

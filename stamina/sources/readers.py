@@ -134,9 +134,9 @@ def log_records(lines: DataFrame, key: list[str]) -> DataFrame:
         F.exists(acc, lambda q: q["k"] == p["k"]), acc).otherwise(F.concat(acc, F.array(p))))).alias("fields"))
 
 
-def state_json(spark: SparkSession, pattern: str, schema: str, schema_id: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) state files; a wrong schema id or broken JSON is quarantined."""
-    df = (spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
+def state_json(spark: SparkSession, pattern: str, schema: str, schema_id: str, one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) state documents, one a file or one a line; a wrong schema id or broken JSON is quarantined."""
+    df = (spark.read.schema(schema + ", _corrupt_record string").option("multiLine", one_per_file).option("mode", "PERMISSIVE").json(pattern)
           .withColumn("path", F.col("_metadata.file_path")))
     ok = F.coalesce((F.col("schema") == schema_id) & F.col("_corrupt_record").isNull(), F.lit(False))
     return df.where(ok).drop("_corrupt_record"), df.where(~ok)
@@ -153,10 +153,10 @@ def waveform_rows(lines: DataFrame, key: list[str], line_no: str, header: str, t
     return (d.where("problem is null").select(*key, line_no, "value"), d.where("problem is not null").select(*key, line_no, "problem"))
 
 
-def trace_csv(spark: SparkSession, pattern: str, header: list[str]) -> DataFrame:
-    """Trace tables with dynamic finger columns, everything double except the frame."""
-    raw = spark.read.schema(text_schema(header)).option("header", True).csv(pattern)
-    clip = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_traces\.csv$", 1)
+def trace_csv(spark: SparkSession, pattern: str, header: list[str], clip_in_path: str = r"([^/]+)_traces\.csv$") -> DataFrame:
+    """Trace tables with dynamic finger columns, everything double except the frame; the path names the clip."""
+    raw = spark.read.schema(text_schema(header)).option("header", True).option("recursiveFileLookup", True).csv(pattern)
+    clip = F.regexp_extract(F.col("_metadata.file_path"), clip_in_path, 1)
     return raw.select(clip.alias("clip"), *[F.trim(F.col(c)).try_cast("int" if c == "frame" else "double").alias(c) for c in header])
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPEC_VERSION = 1
+CHUNK_BYTES = 1 << 20
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,26 +44,79 @@ def evolve(old: DataFrame, new: DataFrame, before: str = "notes") -> DataFrame:
     return both.select(*cols[:at], *extra, *cols[at:])
 
 
+class FileHashes(DataSource):
+    """Files as rows of (path, bytes, sha256); one partition a file, which is read a megabyte at a time, so that its size doesn't matter.
+
+    Files are listed by Spark's reader beforehand; a task opens its file by the file system that its path names.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "stamina_file_hashes"
+
+    def schema(self) -> str:
+        return "path string, bytes bigint, sha256 string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FileHashReader(json.loads(self.options["paths"]))
+
+
+class FileHashReader(DataSourceReader):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p) for p in self.paths]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        import pyarrow.fs as afs
+        files, place = afs.FileSystem.from_uri(partition.value)
+        digest, size = hashlib.sha256(), 0
+        with files.open_input_stream(place) as f:
+            while chunk := f.read(CHUNK_BYTES):
+                digest.update(chunk)
+                size += len(chunk)
+        yield partition.value, size, digest.hexdigest()
+
+
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """Name, size and SHA-256 of every file, read and hashed where it is scheduled."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Name, size and SHA-256 of every file, each hashed in chunks by a task of its own; the listing (no content) is the driver's."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path")
+    paths = sorted(r.path for r in listed.collect())
+    spark.dataSource.register(FileHashes)
+    rows = spark.read.format("stamina_file_hashes").option("paths", json.dumps([_uri(p) for p in paths])).load()
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
+
+
+def _uri(path: str) -> str:
+    """file:/a and file:///a are one to Hadoop; only the longer one to others."""
+    return re.sub(r"^file:/+", "file:///", path)
 
 
 def figure_spec(runs: DataFrame, options: dict[str, str], stem: Column) -> DataFrame:
-    """One JSON document per figure: version, options and the runs it shows."""
+    """One JSON document per figure: version, options, how many runs it shows and a digest of them.
+
+    The digest is a sum over the distinct runs, so that it is the same in any order and adds up without a figure's runs in one place;
+    the runs themselves are rows, ``figure_runs``.
+    """
     opts = F.create_map(*[x for k, v in sorted(options.items()) for x in (F.lit(k), F.lit(v))])
-    g = runs.groupBy(stem.alias("stem")).agg(F.array_sort(F.collect_set("run")).alias("runs"))
-    return g.select("stem", F.to_json(F.struct(F.lit(SPEC_VERSION).alias("spec_version"), opts.alias("opts"), "runs", "stem")).alias("spec"))
+    each = F.conv(F.substring(F.sha2(F.coalesce(F.col("run").cast("string"), F.lit("")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    g = figure_runs(runs, stem).groupBy("stem").agg(F.count("*").alias("n_runs"), F.sum(each).cast("string").alias("digest"))
+    return g.select("stem", F.to_json(F.struct(F.lit(SPEC_VERSION).alias("spec_version"), opts.alias("opts"), "n_runs", "digest", "stem")).alias("spec"))
+
+
+def figure_runs(runs: DataFrame, stem: Column) -> DataFrame:
+    """(stem, run): the runs of each figure, once each."""
+    return runs.select(stem.alias("stem"), "run").distinct()
 
 
 def check_spec(specs: DataFrame) -> DataFrame:
     """Problem of each spec document, null when it can be rendered again."""
     v = F.get_json_object("spec", "$.spec_version").try_cast("int")
-    runs = F.from_json(F.get_json_object("spec", "$.runs"), "array<string>")
+    runs = F.get_json_object("spec", "$.n_runs").try_cast("bigint")
     return specs.withColumn("problem", F.when(F.get_json_object("spec", "$").isNull(), "not valid JSON")
                             .when(v.isNull() | (v < 1), "spec_version must be a positive integer").when(v > SPEC_VERSION, "written by a newer version")
-                            .when(F.get_json_object("spec", "$.opts").isNull(), "no opts").when(runs.isNull(), "runs must be a list"))
+                            .when(F.get_json_object("spec", "$.opts").isNull(), "no opts").when(runs.isNull() | (runs < 1), "n_runs must be a positive integer"))
 
 
 def write_summary(df: DataFrame, path: str, by: str = "series") -> None:

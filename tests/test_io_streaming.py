@@ -1,6 +1,9 @@
+import hashlib
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from stamina.operators.measure import measure_pairs
 from stamina.sources import readers, sinks
 
@@ -36,9 +39,21 @@ def test_state_files_are_quarantined(spark):
 
 
 def test_spec_versions(spark):
-    df = spark.createDataFrame([('{"spec_version": 1, "opts": {}, "runs": ["a"]}',), ('{"spec_version": 9, "opts": {}, "runs": []}',),
-                                ('{"spec_version": 1, "runs": []}',), ("nope",)], "spec string")
-    assert [r.problem for r in sinks.check_spec(df).collect()] == [None, "written by a newer version", "no opts", "not valid JSON"]
+    df = spark.createDataFrame([('{"spec_version": 1, "opts": {}, "n_runs": 2}',), ('{"spec_version": 9, "opts": {}, "n_runs": 1}',),
+                                ('{"spec_version": 1, "n_runs": 1}',), ("nope",), ('{"spec_version": 1, "opts": {}, "n_runs": 0}',)], "spec string")
+    assert [r.problem for r in sinks.check_spec(df).collect()] == [None, "written by a newer version", "no opts", "not valid JSON", "n_runs must be a positive integer"]
+    runs = spark.createDataFrame([("f", "b"), ("f", "a"), ("f", "b"), ("g", None)], "stem string, run string")
+    specs = [{r.stem: r.spec for r in sinks.figure_spec(d, {"m": "x"}, F.col("stem")).collect()} for d in (runs, runs.orderBy("run"))]
+    assert specs[0] == specs[1] and '"n_runs":2' in specs[0]["f"]
+
+
+def test_manifest_hashes_in_chunks(spark, monkeypatch):
+    root, content = folder(), os.urandom(3 * (1 << 20) + 17)
+    for name, raw in (("big.bin", content), ("empty.bin", b"")):
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(raw)
+    got = {r.name: (r.bytes, r.sha256) for r in sinks.manifest(spark, root).collect()}
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in (("big.bin", content), ("empty.bin", b""))}
 
 
 def test_measurement_errors_become_rows(spark):
