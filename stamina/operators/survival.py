@@ -101,13 +101,13 @@ def _moments(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of u^beta, u^beta ln u, u^beta (ln u)^2 per hot group (params: one row each)."""
     lu = F.col("lt") - F.col("tau")
     w = F.exp(F.col("beta") * lu)
-    sums = (rows.join(F.broadcast(params.select(*keys, "tau", "beta")), keys).groupBy(*keys)
+    sums = (rows.join(hinted(params.select(*keys, "tau", "beta")), keys).groupBy(*keys)
             .agg(F.sum(w).alias("s0"), F.sum(w * lu).alias("s1"), F.sum(w * lu * lu).alias("s2")))
-    return params.join(F.broadcast(sums), keys)
+    return params.join(sums, keys)
 
 
 MLE_COLS = "beta double, eta double, b10 double, loglik double, n bigint, r_failures bigint, " \
-           "suspensions bigint, tau double, lf double, ln_beta_se double"
+           "suspensions bigint, tau double, lf double, ln_beta_se double, converged boolean"
 
 
 def _keyed(keys: list[str], head, n: int) -> dict[str, pd.Series]:
@@ -119,7 +119,7 @@ def _no_rows(columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
 
 
-def _mle_task(keys: list[str]):
+def _mle_task(keys: list[str], steps: int):
     """Maximum likelihood of one group held by a task (bounded by the hot-key limit)."""
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         lt, failed = np.log(pdf["cycles"].to_numpy(float)), (pdf["status"] == "failed").to_numpy()
@@ -131,7 +131,7 @@ def _mle_task(keys: list[str]):
         tau = lt.mean()
         u, lf = lt - tau, float((lt - tau)[failed].sum())
         lo, hi, beta = BETA_MIN, BETA_MAX, 1.2825 / max(u.std(), 1e-12)
-        for _ in range(200):
+        for _ in range(steps):
             beta = beta if lo < beta < hi else (lo * hi) ** 0.5
             w = np.exp(beta * u)
             m1 = (w * u).sum() / w.sum()
@@ -140,7 +140,7 @@ def _mle_task(keys: list[str]):
             var = (w * u * u).sum() / w.sum() - m1 * m1
             step = score / (1 / beta ** 2 + var)
             beta += step
-            if abs(step) < 1e-13 * abs(beta) or hi - lo < 1e-14:
+            if done := bool(abs(step) < 1e-13 * abs(beta) or hi - lo < 1e-14):
                 break
         if not BETA_MIN * 1.0001 < beta < BETA_MAX * 0.9999:
             return _no_rows(keys + cols)
@@ -149,7 +149,7 @@ def _mle_task(keys: list[str]):
         eta = np.exp(tau + np.log(s0 / r) / beta)
         ll = r * np.log(beta) - r * np.log(s0) + (beta - 1) * lf + r * np.log(r) - r - r * tau
         se = 1 / np.sqrt(r * (1 + beta ** 2 * ((w * u * u).sum() / s0 - m1 * m1)))
-        vals = [beta, eta, eta * K10 ** (1 / beta), ll, n, r, n - r, tau, lf, se]
+        vals = [beta, eta, eta * K10 ** (1 / beta), ll, n, r, n - r, tau, lf, se, done]
         return pd.DataFrame({**out, **{c: [v] for c, v in zip(cols, vals)}})
     return fit
 
@@ -164,12 +164,12 @@ def fit_mle(df: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
     A group that fits one task is solved there, after one shuffle. A hot group is solved
     by aggregations: each step sums over its rows where they lie and broadcasts the next
     shape. Groups whose score has no root in the bracket (for example all times equal)
-    give no row.
+    give no row; one whose fit has not settled after ``steps`` steps has what it came to, with ``converged`` false, at any size.
     """
     df = df.select(*keys, "cycles", "status")
     small, large, hot = _hot_split(df, keys)
     schema = f"{_key_ddl(df, keys)}, {MLE_COLS}"
-    fitted = small.groupBy(*keys).applyInPandas(_mle_task(keys), schema)
+    fitted = small.groupBy(*keys).applyInPandas(_mle_task(keys, steps), schema)
     if large is None:
         return fitted
     rows, params = _log_units(large, keys)
@@ -189,8 +189,6 @@ def fit_mle(df: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
         params = cut_lineage(m.select(*keys, "n", "r", "tau", "lf", to.alias("beta"), "lo", "hi", end.alias("done")))
         if params.where("not done").isEmpty():
             break
-    else:
-        raise RuntimeError(f"the fit of some groups did not converge in {steps} steps")
     m = _moments(rows, params, keys).where(
         (F.col("beta") > BETA_MIN * 1.0001) & (F.col("beta") < BETA_MAX * 0.9999))
     r, beta = F.col("r").cast("double"), F.col("beta")
@@ -200,7 +198,7 @@ def fit_mle(df: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
     return fitted.unionByName(m.select(
         *keys, "beta", eta.alias("eta"), b_life(beta, eta).alias("b10"),
         (ll - r * F.col("tau")).alias("loglik"), "n", F.col("r").alias("r_failures"),
-        (F.col("n") - F.col("r")).alias("suspensions"), "tau", "lf", spread.alias("ln_beta_se")))
+        (F.col("n") - F.col("r")).alias("suspensions"), "tau", "lf", spread.alias("ln_beta_se"), F.col("done").alias("converged")))
 
 
 def _scan_edges(beta, s, r, lf, llh):
@@ -276,7 +274,7 @@ def b10_interval(df: DataFrame, mle: DataFrame, keys: list[str]) -> DataFrame:
 
     def sums(grid):
         w = F.exp(F.col("beta") * (F.ln("cycles") - F.col("tau")))
-        return (large.join(F.broadcast(grid), keys).groupBy(*keys, "beta").agg(F.sum(w).alias("s"))
+        return (large.join(hinted(cut_lineage(grid)), keys).groupBy(*keys, "beta").agg(F.sum(w).alias("s"))
                 .withColumnRenamed("beta", "b"))
 
     def coarse_grid(pdf):

@@ -45,7 +45,7 @@ def _(t):
 @query("l3_weibull_mle", oracle(
     """SELECT grp, round(beta,6) AS beta, round(eta,4) AS eta, round(eta*pow(-ln(0.9e0),1/beta),4) AS b10,
     round(r_failures*ln(beta)-r_failures*beta*ln(eta)+(beta-1)*r_failures*(mf+tau)-r_failures,5) AS loglik,
-    n, r_failures, suspensions FROM mle""", "survival", ctes=MLE))
+    n, r_failures, suspensions, true AS converged FROM mle""", "survival", ctes=MLE))
 def _(t):
     return rounded(S.fit_mle(t.survival, ["grp"]).drop("tau", "lf", "ln_beta_se"), eta=4, b10=4, loglik=5)
 

@@ -81,13 +81,24 @@ class FileHashReader(DataSourceReader):
 
 def manifest(spark: SparkSession, pattern: str) -> DataFrame:
     """Name, size and SHA-256 of every file, each hashed in chunks by a task of its own; the listing (no content) is the driver's."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path")
-    paths = sorted(r.path for r in listed.collect())
+    paths = sorted(_files(spark, pattern))
     spark.dataSource.register(FileHashes)
     rows = spark.read.format("stamina_file_hashes").option("paths", json.dumps([_uri(p) for p in paths])).load()
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
 
 
+def _files(spark: SparkSession, pattern: str) -> Iterator[str]:
+    """Paths of the files that match, or lie below a folder that matches, empty ones included; hidden names are left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(at) or []:
+        below = fs.listFiles(found.getPath(), True)
+        while below.hasNext():
+            path = below.next().getPath()
+            if path.getName()[0] not in "._":
+                yield path.toString()
+
+
 def _uri(path: str) -> str:
     """file:/a and file:///a are one to Hadoop; only the longer one to others."""
     return re.sub(r"^file:/+", "file:///", path)

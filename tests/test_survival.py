@@ -80,3 +80,12 @@ def test_invalid_rows_are_rejected(spark):
     df = table(spark, [("g", 0.0, "failed"), ("g", 5.0, "virgin"), ("g", 5.0, "failed")])
     good, bad = S.split_valid(df)
     assert good.count() == 1 and bad.count() == 2
+
+
+def test_unsettled_fits_have_one_rule_at_any_size(spark, segment):
+    """Too few steps: small groups and hot ones both return what they came to, and say so."""
+    rows = [(g, float(10 + 7 * i * i % 90 + i), "failed") for g in ("a", "b") for i in range(3 if g == "a" else 40)]
+    df = spark.createDataFrame(rows, "grp string, cycles double, status string")
+    fits = {steps: {r.grp: r for r in S.fit_mle(df, ["grp"], steps=steps).collect()} for steps in (1, 200)}
+    assert {r.converged for r in fits[1].values()} == {False} and {r.converged for r in fits[200].values()} == {True}
+    assert all(abs(fits[1][g].beta - fits[200][g].beta) < 1.0 for g in fits[200])
