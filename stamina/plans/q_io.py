@@ -136,6 +136,26 @@ def _(t):
     return rounded(R.long_trace(d, ["a", "b"]).select("clip", "frame", "finger", "dx", "n"), 4)
 
 
+@query("s12_cached_listing", oracle(
+    """, c AS (SELECT event_id, name FROM clips UNION ALL SELECT event_id, 'notes_'||event_id||'.txt' FROM events),
+    n AS (SELECT DISTINCT name, event_id%2=0 AS early FROM c WHERE name LIKE '%.h264')
+    SELECT 'first' AS listing, name FROM n WHERE early GROUP BY name UNION ALL SELECT 'share away', name FROM n GROUP BY name UNION ALL SELECT 'share back', name FROM n WHERE early GROUP BY name""", "clips"))
+def _(t):
+    """The share is listed, grows, goes away (the newest kept listing stands in), and is back with fewer clips."""
+    names = t.clips.select("event_id", "name").union(t("events").select("event_id", F.concat(F.lit("notes_"), "event_id", F.lit(".txt"))))
+    early = names.where("event_id % 2 = 0").select("name")
+    kept = R.ListingSnapshots(t.spark, R.scratch(t.spark, "listing"))
+    kept.read(lambda: early)
+    kept.read(lambda: names)
+    away, live = kept.read(lambda: t.spark.read.text(f"{kept.folder}/no-such-share").toDF("name"))
+    back, again = kept.read(lambda: early)
+    first, _ = kept.read(version=0)
+    if live or not again:
+        raise RuntimeError("the listing does not say where it came from")
+    return (first.select(F.lit("first").alias("listing"), "name").union(away.select(F.lit("share away"), "name"))
+            .union(back.select(F.lit("share back"), "name")))
+
+
 @query("s14_every_nth", oracle("SELECT user_id AS folder, name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY name) AS k FROM (SELECT user_id, 'f'||lpad(CAST(event_id AS VARCHAR),8,'0')||'.png' AS name FROM events)) WHERE (k-1)%4=0"))
 def _(t):
     f = t("events").select(F.col("user_id").alias("folder"), F.concat(F.lit("f"), F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(".png")).alias("name"))

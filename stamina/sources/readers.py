@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,6 +176,43 @@ def files_below(spark: SparkSession, pattern: str) -> DataFrame:
                     "length", F.col("modificationTime").alias("modified"), "path")
 
 
+class ListingSnapshots:
+    """Listings of a share, kept as versions of a table, for when the share is away.
+
+    A version is whole once its writer's marker is there; readers take the newest whole one, or the one they name.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, suffix: str = ".h264"):
+        self.spark, self.folder, self.suffix = spark, folder.rstrip("/"), suffix
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        found = [f.getPath() for f in self._fs.listStatus(self._path(self.folder))]
+        return sorted(int(p.getName()[2:]) for p in found if self._fs.exists(self._path(p, "_SUCCESS")))
+
+    def keep(self, names: DataFrame) -> int:
+        """Store ``name`` of the items with the suffix as the next version."""
+        version = max(self.versions(), default=-1) + 1
+        names.where(F.endswith("name", F.lit(self.suffix))).select("name").distinct().write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        return version
+
+    def read(self, live: Callable[[], DataFrame] | None = None, version: int | None = None) -> tuple[DataFrame, bool]:
+        """(names, whether they are live): the live listing, which is kept as a new version; a kept one when it fails or a version is named."""
+        if live is not None and version is None:
+            try:
+                version = self.keep(live())
+                return self.spark.read.schema("name string").parquet(f"{self.folder}/v={version}"), True
+            except (AnalysisException, Py4JJavaError, OSError):
+                version = None
+        known = self.versions()
+        if not known or version is not None and version not in known:
+            raise FileNotFoundError("the share is away and no listing of it is kept" if version is None else f"no listing {version} is kept")
+        return self.spark.read.schema("name string").parquet(f"{self.folder}/v={known[-1] if version is None else version}"), False
+
+
 def every_nth(files: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Every n-th item of each folder in name order."""
     from stamina.operators.ordered import Ordered

@@ -2,6 +2,7 @@ import hashlib
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from stamina.operators.measure import measure_pairs
@@ -63,3 +64,19 @@ def test_measurement_errors_become_rows(spark):
         return {"value": float(len(frame) / len(rest)), "rest_value": 1.0, "quality": "ok", "notes": ""}
     out = {r.id: r for r in measure_pairs(df, ["id"], measure, df.where("id = 3")).collect()}
     assert out[1].value == 3.0 and out[2].error.startswith("TypeError") and 3 not in out
+
+
+def test_listing_falls_back_to_the_newest_whole_version(spark):
+    kept = readers.ListingSnapshots(spark, folder() + "/listing")
+    away = lambda: spark.read.text("/tmp/no-such-share").toDF("name")
+    with pytest.raises(FileNotFoundError):
+        kept.read(away)
+    for names in (["a.h264", "b.txt"], ["a.h264", "c.h264"]):
+        df, live = kept.read(lambda names=names: spark.createDataFrame([(n,) for n in names], "name string"))
+        assert live
+    os.makedirs(f"{kept.folder}/v=2")                  # a writer that died
+    df, live = kept.read(away)
+    assert not live and {r.name for r in df.collect()} == {"a.h264", "c.h264"}
+    assert {r.name for r in kept.read(version=0)[0].collect()} == {"a.h264"}
+    with pytest.raises(FileNotFoundError):
+        kept.read(version=7)
