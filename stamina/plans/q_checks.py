@@ -212,9 +212,14 @@ def _(t):
                           "tier_says": D.advisory(F.lit(250000), F.col("tier_req"))})
 
 
-@query("p33_duty", "SELECT event_id, CASE upper(event_type) WHEN 'SINE' THEN 0.5e0 ELSE 0.5e0 END AS duty FROM events")
+DUTY_NAMES = ["SINE", "square", "Ramp", "TRIANGLE", "pulse", "DC"]
+
+
+@query("p33_duty", "SELECT event_id, CASE WHEN event_id%7=6 THEN 0.5e0 ELSE [" + ",".join(f"{U.DUTY.get(n.upper(), 0.5)}e0" for n in DUTY_NAMES)
+       + "][event_id%7+1] END AS duty FROM events")
 def _(t):
-    return t("events").select("event_id", U.waveform_duty(F.col("event_type")).alias("duty"))
+    names = F.get(F.array(*[F.lit(n) for n in DUTY_NAMES]), (F.col("event_id") % 7).cast("int"))      # null for the seventh
+    return t("events").select("event_id", U.waveform_duty(names).alias("duty"))
 
 
 SWEEP = """g AS (SELECT s.*, v.v, f.f FROM specimens s, (VALUES (0.5e0),(1e0),(2e0),(4e0)) v(v), (VALUES (1e0),(5e0),(25e0)) f(f)),

@@ -115,15 +115,15 @@ def _(t):
 
 
 @query("g6_waveforms", oracle(
-    """, sp AS (SELECT n_nationkey AS id, ['SINE','SQUARE','RAMP','PULSE','DC'][n_nationkey%5+1] AS w, 0.2e0+0.1e0*(n_nationkey%7) AS du, 0.25e0*(n_nationkey%5) AS sy FROM nation),
+    """, sp AS (SELECT n_nationkey AS id, ['SINE','SQUARE','RAMP','PULSE','DC','ARB'][n_nationkey%6+1] AS w, 0.2e0+0.1e0*(n_nationkey%7) AS du, 0.25e0*(n_nationkey%5) AS sy FROM nation),
     s AS (SELECT *, (i/16e0+0.25e0)%1.0e0 AS t, least(0.05e0,du/2) AS r, least(0.1e0,du/2) AS f FROM sp, (SELECT unnest(range(32)) AS i))
     SELECT id, CAST(i AS INTEGER) AS i, round(CASE w WHEN 'SINE' THEN sin(2*pi()*t) WHEN 'SQUARE' THEN CASE WHEN t<du THEN 1e0 ELSE -1e0 END WHEN 'RAMP' THEN CASE WHEN sy<=0 THEN 1-2*t WHEN sy>=1 THEN 2*t-1 WHEN t<sy THEN 2*t/sy-1 ELSE 1-2*(t-sy)/(1-sy) END
-     WHEN 'PULSE' THEN CASE WHEN t<r THEN 2*t/r-1 WHEN t<du-f THEN 1e0 WHEN t<du THEN 1-2*(t-(du-f))/f ELSE -1e0 END ELSE 0e0 END,6) AS y FROM s"""))
+     WHEN 'ARB' THEN [0e0,2e0,-4e0,1e0,3e0][CAST(floor(t*5) AS INTEGER)%5+1]/4 WHEN 'PULSE' THEN CASE WHEN t<r THEN 2*t/r-1 WHEN t<du-f THEN 1e0 WHEN t<du THEN 1-2*(t-(du-f))/f ELSE -1e0 END ELSE 0e0 END,6) AS y FROM s"""))
 def _(t):
     k = F.col("n_nationkey")
-    sp = t("nation").select(k.alias("id"), F.get(F.array(*[F.lit(w) for w in ("SINE", "SQUARE", "RAMP", "PULSE", "DC")]), (k % 5).cast("int")).alias("waveform"),
+    sp = t("nation").select(k.alias("id"), F.get(F.array(*[F.lit(w) for w in ("SINE", "SQUARE", "RAMP", "PULSE", "DC", "ARB")]), (k % 6).cast("int")).alias("waveform"),
                             (20.0 + 10 * (k % 7)).alias("duty_pct"), (25.0 * (k % 5)).alias("sym_pct"), F.lit(0.05).alias("rise"), F.lit(0.1).alias("fall"),
-                            F.lit(90.0).alias("phase_deg"), F.array(F.lit(0.0)).alias("samples"))
+                            F.lit(90.0).alias("phase_deg"), F.array(*[F.lit(v) for v in (0.0, 2.0, -4.0, 1.0, 3.0)]).alias("samples"))
     return rounded(E.waveform_samples(sp, 2, 16).select("id", "i", "y"))
 
 

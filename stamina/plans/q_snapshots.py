@@ -357,6 +357,26 @@ def cands(t):
     return C.ensemble(c, ["frame"])
 
 
+@query("a10_recorded_anchor", oracle(
+    """, r AS (SELECT run_id, row_idx, tag, area_px AS px, CASE WHEN row_idx%11<>0 THEN mm2_raw*(1+(row_idx%5)*1e-4) END AS mm2, CASE WHEN row_idx%2=0 THEN 16e0 END AS diam FROM s),
+    q AS (SELECT *, px>0 AS has, CASE WHEN px>0 AND mm2>0 THEN sqrt(mm2/px) END AS sc, coalesce(mm2,0)<>0 OR coalesce(diam,0)<>0 AS old FROM r),
+    g AS (SELECT run_id, count(*) AS n_rows, count(*) FILTER (has) AS n_derive, count(*) FILTER (NOT coalesce(has,false) AND old) AS n_blank, count(*) FILTER (has AND sc IS NULL) AS n_fresh,
+     count(*) FILTER (NOT coalesce(has,false) AND NOT old) AS n_untouched, count(sc) AS n_scales, min(sc) AS lo, max(sc) AS hi, median(sc) AS md,
+     arg_min({'r':row_idx,'b':tag='baseline','px':px,'mm2':mm2,'sc':sc}, (tag<>'baseline', row_idx)) FILTER (has) AS rr FROM q GROUP BY run_id),
+    h AS (SELECT *, coalesce(rr.sc, md) AS os FROM g)
+    SELECT run_id, CASE WHEN run_id%7>0 THEN abs(100*(16/sqrt(0.0018e0)*(1+(run_id%9-4)*2e-4)/(16/os)-1))<=0.05e0 END AS anchor_matches_data, round(16/0.05e0,6) AS new_diam_px,
+    round(100*(rr.mm2-pi()*64)/(pi()*64),5) AS rest_dev_before, round(100*(rr.px*0.0025e0-pi()*64)/(pi()*64),5) AS rest_dev_after FROM h""", "snapshots", ctes=SNAP))
+def _(t):
+    i = F.col("row_idx")
+    r = t.snapshots.select("run_id", "row_idx", "tag", F.col("area_px").alias("px"),
+                           F.when(i % 11 != 0, F.coalesce("area_px", F.lit(0.0)) * 0.0018 * (1 + (i % 5) * 1e-4)).alias("mm2"),
+                           F.when(i % 2 == 0, 16.0).alias("diam"))
+    recorded = t.snapshots.select("run_id").distinct().where("run_id % 7 > 0").withColumn(
+        "recorded_px", 16 / F.sqrt(F.lit(0.0018)) * (1 + (F.col("run_id") % 9 - 4) * 2e-4))
+    p = C.reanchor_plan(r, K, 0.05, 16.0, recorded)
+    return rounded(p.select("run_id", "anchor_matches_data", "new_diam_px", "rest_dev_before", "rest_dev_after"), rest_dev_before=5, rest_dev_after=5)
+
+
 @query("a21_ensemble", oracle(
     "SELECT frame, cand, method, capped, round(conf,6) AS conf, round(spread_pct,6) AS spread_pct FROM ens", ctes=CAND))
 def _(t):
