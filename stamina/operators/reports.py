@@ -19,6 +19,48 @@ def counts(blocks: DataFrame, interludes: DataFrame, keys: list[str]) -> DataFra
                                 for c in ("blocks", "modes", "interludes", "baselines")])
 
 
+# Colours of the event log by action, and the rules whose events are the environment record.
+EVENT_COLOURS = {"abort": "red", "pause": "amber", "warn": "amber", "flag": "amber"}
+ENVIRONMENT_RULES = ["env_entry", "wait_env", "env_band"]
+INVENTORY_SUFFIXES = ("csv", "json")
+
+
+def event_log(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The audit events of each run as the report shows them: rule with its tier, and a colour by action."""
+    colour = F.create_map(*[F.lit(x) for kv in EVENT_COLOURS.items() for x in kv])
+    return events.select(*keys, "t", "cycles_total", F.concat_ws("/", F.coalesce("tier", F.lit("")), F.coalesce("rule_id", F.lit(""))).alias("rule"),
+                         "action", "message", F.coalesce(F.try_element_at(colour, "action"), F.lit("grey")).alias("colour"))
+
+
+def environment_record(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Attestations and waits for the environment, in the order of the log."""
+    return events.where(F.col("rule_id").isin(*ENVIRONMENT_RULES)).select(*keys, "t", "rule_id", "message")
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """The tables and documents of each run with size and hash, images and traces left out."""
+    return files.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*INVENTORY_SUFFIXES))
+
+
+def summaries(runs: DataFrame, events: DataFrame, interludes: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+    """Three lines a run: the verdict, the totals, and the amber flags nobody has acknowledged.
+
+    ``runs``: disposition, cycles, actuated_s, failure_mode, milestone (of a snapshot while the run goes on, else null). ``flags``: rule_id,
+    acked_at. A run has at most as many open flags as there are rules, so they fit a line.
+    """
+    from stamina.operators.registry import verdict
+    n_events = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"))
+    n_inter = interludes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_interludes"))
+    amber = flags.where(F.col("acked_at").isNull()).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ", ").alias("open"))
+    all_ = runs.join(n_events, keys, "left").join(n_inter, keys, "left").join(amber, keys, "left")
+    text, _ = verdict(F.col("disposition"), F.col("cycles"), F.col("failure_mode"), F.col("milestone"))
+    cycles = F.format_number("cycles", 0)
+    total = F.concat(cycles, F.lit(" cycles | "), F.format_number("actuated_s", 0), F.lit(" s actuated | "), F.coalesce("n_interludes", F.lit(0)),
+                     F.lit(" interludes | "), F.coalesce("n_events", F.lit(0)), F.lit(" events"))
+    return all_.select(*keys, text.alias("verdict"), total.alias("totals"),
+                       F.coalesce(F.concat(F.lit("open amber flags: "), "open"), F.lit("no open amber flags")).alias("amber"))
+
+
 def context_rows(df: DataFrame, keys: list[str], paths: dict[str, Column]) -> DataFrame:
     """A context as (path, value) rows, values as text."""
     pairs = F.array(*[F.struct(F.lit(p).alias("path"), v.cast("string").alias("value")) for p, v in paths.items()])

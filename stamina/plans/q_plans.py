@@ -268,6 +268,61 @@ def _(t):
     return c.select("run_id", "blocks", "cycles", "interludes", "baselines", text.alias("verdict"), enters.alias("enters_as"))
 
 
+AUDIT_SQL = """a AS (SELECT user_id AS run_id, event_id, epoch_us(ts)/1e6 AS t, event_id%977*10 AS cycles_total, CASE WHEN event_id%3>0 THEN 'fast' END AS tier,
+    CASE WHEN event_id%11=0 THEN 'env_entry' WHEN event_id%13=0 THEN 'wait_env' ELSE 'rule'||event_id%5 END AS rule_id,
+    CASE event_type WHEN 'error' THEN 'abort' WHEN 'signup' THEN 'flag' WHEN 'purchase' THEN 'ack' WHEN 'click' THEN 'warn' ELSE 'log' END AS action, 'event '||event_id AS message FROM events)"""
+
+
+def _audit(t):
+    k, e = F.col("event_id"), F.col("event_type")
+    return t("events").select(
+        F.col("user_id").alias("run_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (k % 977 * 10).alias("cycles_total"),
+        F.when(k % 3 > 0, "fast").alias("tier"), F.when(k % 11 == 0, "env_entry").when(k % 13 == 0, "wait_env").otherwise(F.concat(F.lit("rule"), k % 5)).alias("rule_id"),
+        F.when(e == "error", "abort").when(e == "signup", "flag").when(e == "purchase", "ack").when(e == "click", "warn").otherwise("log").alias("action"),
+        F.concat(F.lit("event "), k).alias("message"))
+
+
+@query("r1_event_log", oracle(
+    """SELECT run_id, round(t,3) AS t, cycles_total, coalesce(tier,'')||'/'||rule_id AS rule, action, message,
+    CASE WHEN action='abort' THEN 'red' WHEN action IN ('pause','warn','flag') THEN 'amber' ELSE 'grey' END AS colour FROM a""", ctes=AUDIT_SQL))
+def _(t):
+    return rounded(P.event_log(_audit(t), ["run_id"]), 3)
+
+
+@query("r1_environment_record", oracle("SELECT run_id, round(t,3) AS t, rule_id, message FROM a WHERE rule_id IN ('env_entry','wait_env','env_band')", ctes=AUDIT_SQL))
+def _(t):
+    return rounded(P.environment_record(_audit(t), ["run_id"]), 3)
+
+
+@query("r1_inventory", oracle("""SELECT CAST(c_custkey AS BIGINT) AS run_id, n.name, CAST(c_custkey*10+len(n.name) AS BIGINT) AS bytes FROM customer,
+    (VALUES ('blocks.csv'),('state.JSON')) n(name)"""))
+def _(t):
+    names = F.explode(F.array(*[F.lit(n) for n in ("blocks.csv", "state.JSON", "frame.png", "clip.h264", "notes")])).alias("name")
+    files = t("customer").select(F.col("c_custkey").alias("run_id"), names).withColumn("bytes", F.col("run_id") * 10 + F.length("name"))
+    return P.inventory(files)
+
+
+@query("r1_summaries", oracle(
+    """, b AS (SELECT run_id, sum(CASE WHEN type='cycle' THEN cycles_done ELSE 0 END) AS cycles, sum(CASE WHEN type='cycle' THEN cycles_done ELSE 0 END)/4e0 AS act FROM blocks GROUP BY run_id),
+    k AS (SELECT run_id, t FROM a WHERE action='ack'),
+    o AS (SELECT run_id, string_agg(DISTINCT rule_id, ', ' ORDER BY rule_id) AS open FROM a WHERE action='flag' AND NOT EXISTS (SELECT 1 FROM k WHERE k.run_id=a.run_id AND k.t>=a.t) GROUP BY run_id),
+    n AS (SELECT run_id, count(*) AS ne FROM a GROUP BY run_id), i AS (SELECT run_id, count(*) AS ni FROM interludes GROUP BY run_id)
+    SELECT b.run_id, CASE WHEN b.run_id%5=0 THEN 'Milestone 5,000 passed, now at '||format('{:,}',CAST(cycles AS BIGINT))||' cycles; the run goes on'
+      WHEN b.run_id%5=1 THEN 'FAILED at '||format('{:,}',CAST(cycles AS BIGINT))||' cycles: leakage' ELSE 'Reached its stop cap at '||format('{:,}',CAST(cycles AS BIGINT))||' cycles' END AS verdict,
+    format('{:,}',CAST(cycles AS BIGINT))||' cycles | '||format('{:,}',CAST(round_even(act,0) AS BIGINT))||' s actuated | '||coalesce(ni,0)||' interludes | '||coalesce(ne,0)||' events' AS totals,
+    coalesce('open amber flags: '||open, 'no open amber flags') AS amber FROM b LEFT JOIN n USING (run_id) LEFT JOIN i USING (run_id) LEFT JOIN o USING (run_id)""",
+    "blocks", "interludes", ctes=AUDIT_SQL))
+def _(t):
+    from stamina.operators.rules import flag_lifecycle
+    a, k = _audit(t), F.col("run_id")
+    n = F.sum(F.when(F.col("type") == "cycle", F.col("cycles_done")).otherwise(0))
+    runs = t.blocks.groupBy("run_id").agg(n.alias("cycles"), (n / 4.0).alias("actuated_s")).select(
+        "*", F.when(k % 5 == 1, "failed").otherwise("complete").alias("disposition"), F.lit("leakage").alias("failure_mode"), F.when(k % 5 == 0, 5000).alias("milestone"))
+    flags = flag_lifecycle(a.where("action = 'flag'").select("run_id", "event_id", "rule_id", F.col("t").alias("raised_at")),
+                           a.where("action = 'ack'").select("run_id", F.col("t").alias("acked_at"), F.col("event_id").alias("acked_by")), ["run_id"])
+    return P.summaries(runs, a, t.interludes, flags, ["run_id"])
+
+
 @query("r5_campaign_report", oracle(
     """, c AS (SELECT grp, count(*) AS n, min(cycles) AS lo FROM survival GROUP BY grp)
     SELECT c.grp, c.n, round(b10,4) AS b10, CASE WHEN coalesce(b10,0)>=20000 THEN 'comply' ELSE 'deviate' END AS b10_status,
