@@ -140,14 +140,14 @@ def _(t):
     """, g AS (SELECT c_custkey AS id, c_custkey%2=0 AS live, c_custkey%3>0 AS dr, c_custkey%5>0 AS mo, c_custkey%7=0 AS bl, c_custkey%11 AS wp, c_custkey%13=0 AS rf, abs(c_acctbal)/1000 AS kv, c_custkey%17>0 AS en FROM customer),
     c AS (SELECT id, unnest([{'n':1,'gate':'platform','ok':true},{'n':2,'gate':'drive_connected','ok':NOT live OR dr},{'n':3,'gate':'monitor_connected','ok':mo OR NOT live OR bl},{'n':4,'gate':'monitor_window','ok':NOT mo OR wp=0},
      {'n':5,'gate':'feasibility','ok':NOT rf},{'n':6,'gate':'specimen_cap','ok':kv<=5+1e-9},{'n':7,'gate':'pressure','ok':true},{'n':8,'gate':'energize_confirm','ok':NOT live OR en}]) AS s FROM g)
-    SELECT id, CAST(s.n AS INTEGER) AS pos, s.gate AS gate, s.ok AS ok, bool_and(s.ok) OVER (PARTITION BY id) AS all_ok FROM c"""))
+    SELECT id, CAST(s.n AS INTEGER) AS pos, s.gate AS gate, s.ok AS ok, CASE WHEN s.gate='pressure' AND id%4=0 THEN 'pressure low' ELSE '' END AS warn, bool_and(s.ok) OVER (PARTITION BY id) AS all_ok FROM c"""))
 def _(t):
     k = F.col("c_custkey")
     g = Q.gate_chain({"mode": F.when(k % 2 == 0, "live").otherwise("mock"), "platform_ok": F.lit(True), "drive_ok": k % 3 > 0, "monitor_ok": k % 5 > 0,
                       "confirmed_blind": k % 7 == 0, "window_problems": k % 11, "feasibility": F.when(k % 13 == 0, "refuse").otherwise("ok"),
-                      "drive_kv": F.abs("c_acctbal") / 1000, "cap_kv": F.lit(5.0), "pressure_note": F.lit(""), "confirmed_energize": k % 17 > 0})
+                      "drive_kv": F.abs("c_acctbal") / 1000, "cap_kv": F.lit(5.0), "pressure_note": F.when(k % 4 == 0, "pressure low").otherwise(""), "confirmed_energize": k % 17 > 0})
     d = t("customer").select(k.alias("id"), g.alias("g")).withColumn("all_ok", Q.all_pass(F.col("g")))
-    return d.select("id", "all_ok", F.posexplode("g").alias("p", "s")).select("id", (F.col("p") + 1).alias("pos"), "s.gate", "s.ok", "all_ok")
+    return d.select("id", "all_ok", F.posexplode("g").alias("p", "s")).select("id", (F.col("p") + 1).alias("pos"), "s.gate", "s.ok", "s.warn", "all_ok")
 
 
 @query("p16_plan_quality", oracle(

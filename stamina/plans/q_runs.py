@@ -295,6 +295,13 @@ def _(t):
     return L.reconcile(t.blocks, ck, ["run_id"])
 
 
+@query("j15_unregistered", oracle("SELECT run_id AS specimen_id, block_idx AS run_seq FROM blocks WHERE run_id%4=0", "blocks"))
+def _(t):
+    """Outcomes of specimens that the registry doesn't have."""
+    known = t("customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("specimen_id"))
+    return G.unregistered_outcomes(known, t.blocks.select(F.col("run_id").alias("specimen_id"), F.col("block_idx").alias("run_seq")))
+
+
 @query("j15_upsert", oracle(
     """, o AS (SELECT run_id AS id, sum(cycles_done) AS c, sum(cycles_done/freq_hz*0.5e0) AS a, max(block_idx) AS lr, bool_or(counting='burst' AND block_idx%4=0) AS f,
       min(CASE WHEN counting='burst' AND block_idx%4=0 THEN block_idx END) AS fb FROM blocks GROUP BY run_id)
