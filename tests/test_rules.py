@@ -11,6 +11,21 @@ from stamina.operators import rules as R
 from stamina.streaming.processors import BlindLadder, FlagAcks, RateLimiter, Sustained, TimedCounter, Watchdog
 
 
+class Kept(list):
+    """A list state outside of a stream."""
+
+    def exists(self):
+        return len(self) > 0
+
+    def get(self):
+        return iter(list(self))
+
+    def put(self, rows):
+        self[:] = rows
+
+    appendList = list.extend
+
+
 def series(seed, n=70):
     rng = random.Random(seed)
     t, out = 0.0, []
@@ -126,7 +141,9 @@ def test_stream_processors_equal_loops_over_batches(seed):
         else:
             want += [(*o, r[1], r[2]) for o in open_]
             open_ = []
-    acks = drain(FlagAcks("run", ["t_s", "id"]), pdf.assign(kind=kinds))
+    proc = FlagAcks("run", ["id"])
+    proc.open = Kept()
+    acks = drain(proc, pdf.assign(kind=kinds))
     assert list(acks.itertuples(index=False, name=None)) == want and want
     b = drain(BlindLadder("run", ["t_s"], 2.0, ["id"]), pdf.assign(readable=[r[3] is not None or r[4] for r in rows]))
     since, warned, want = None, False, []
