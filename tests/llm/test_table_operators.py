@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -183,7 +184,7 @@ def test_ranges_are_bounded_in_rows(spark, monkeypatch):
 
 
 def test_written_shards(nasty, spark):
-    path = f"{ensure_checkpoint_dir(spark)}/written-shards"
+    path = f"{ensure_checkpoint_dir(spark)}/written-shards-{uuid.uuid4().hex}"
     sharding.write_shards(nasty, path, 3)
     assert spark.read.parquet(path).count() == nasty.count()
 
@@ -192,7 +193,7 @@ def test_written_shards(nasty, spark):
 
 def test_rollup_follows_its_batches(spark):
     schema = "doc_id long, tokenizer string, op string, source string, lang string, tokens long, seq int"
-    folder = f"{ensure_checkpoint_dir(spark)}/rollup"
+    folder = f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
     rollup = token_counts.Rollup(spark, folder)
     assert rollup.totals().count() == 0
     batches = [
@@ -227,7 +228,7 @@ CHANGES = "doc_id long, tokenizer string, op string, source string, lang string,
 
 def test_two_committers_from_one_state(spark, monkeypatch):
     """The second one saw the log as it was before the first one's commit."""
-    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/race")
+    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/race-{uuid.uuid4().hex}")
     rollup.apply("insert", spark.createDataFrame([(1, "v", "insert", "a", "x", 10, 0)], CHANGES))
     stale = rollup._log()
     rollup.apply("first", spark.createDataFrame([(1, "v", "revise", "a", "x", 20, 0)], CHANGES))
@@ -247,7 +248,7 @@ def test_two_committers_from_one_state(spark, monkeypatch):
 
 def test_ties_refused_rows_and_compaction(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "COMPACT_EVERY", 3)
-    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/ties")
+    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/ties-{uuid.uuid4().hex}")
     rows = [(1, "v", "insert", "a", "x", 5, 0), (1, "v", "insert", "b", "x", 5, 0), (2, "v", "delete", None, None, None, 0), (2, "v", "insert", "a", "x", 7, 0),
             (None, "v", "insert", "a", "x", 99, 0)]
     for k, order in enumerate((rows, rows[::-1])):
