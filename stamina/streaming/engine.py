@@ -15,6 +15,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 LATENESS = "10 minutes"
 CLOSING = "closing_row"
 SLICE_ROWS, FILE_ROWS, FEWEST_SLICES = 1_000_000, 250_000, 3
+BUCKET_ROWS, FEWEST_BUCKETS = 25_000, 64
 
 
 def telemetry_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts",
@@ -28,51 +29,63 @@ def telemetry_stream(spark: SparkSession, path: str, schema: T.StructType, ts: s
 
 @dataclass
 class Replay:
-    """Stored rows to stream from: a folder of one file or more for each slice, and how far a row may come behind the newest one."""
+    """Stored rows to stream from: a folder of ``files`` files for each slice, which a micro-batch takes whole, how far a row may come
+    behind the newest one, and a number of buckets that bounds what a slice brings for one."""
 
     path: str
     schema: T.StructType
     lateness: str
+    files: int
+    buckets: int
 
     def stream(self, spark: SparkSession, ts: str = "ts") -> DataFrame:
-        return telemetry_stream(spark, self.path, self.schema, ts)
+        return telemetry_stream(spark, self.path, self.schema, ts, self.files)
 
 
 def store_slices(df: DataFrame, ts: str, key: str | None = None, close_after: str | None = None, arrival: Column | None = None,
                  slices: int | None = None, append_to: str | None = None) -> Replay:
     """Stores rows as slices in time order, so that a stream reads several micro-batches.
 
-    Slices are cut by counted rows, so that what a run brings at once is bounded however many rows it has, and each is written by several
-    tasks, by ``key``. Rows without event time come in the last one. ``arrival`` (a small whole number) deals the rows by other than time.
-    ``close_after`` adds a last file with one row that much later, marked in column ``CLOSING``: it moves the watermark past the data,
-    so that all rows and windows of a finite replay are released. The lateness is the largest step back in time between two files.
+    Slices are cut by the counted rows of the largest run, so that what a run brings at once is bounded however many rows it has, and the
+    number of slices does not grow with the number of runs. Each is written by several tasks into as many files as any other, so that a
+    micro-batch takes one slice. Rows without event time come in the last one. ``arrival`` (a small whole number) deals the rows by other
+    than time. ``close_after`` adds a last file with one row that much later, marked in column ``CLOSING``: it moves the watermark past the
+    data, so that all rows and windows of a finite replay are released. The lateness is the largest step back in time between two slices.
     """
     spark = df.sparkSession
     if close_after:
         df = df.withColumn(CLOSING, F.lit(False))
     path, staging = append_to or scratch(spark, "replay"), scratch(spark, "replay-slices")
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.count()
-    n = slices or max(FEWEST_SLICES, -(-rows // SLICE_ROWS))
     if arrival is None:
+        largest = 0 if slices else (df.groupBy(key).count().agg(F.max("count")).first()[0] or 0) if key else df.count()
+        n = slices or max(FEWEST_SLICES, -(-largest // SLICE_ROWS))
         cuts = df.select(F.percentile_approx(us, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
         arrival = F.coalesce(sum((us > F.lit(c)).cast("int") for c in cuts), F.lit(n - 1)) if cuts else F.lit(0)
     df.withColumn("__slice", arrival.cast("int")).write.partitionBy("__slice").parquet(staging)
     dealt = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__slice", T.IntegerType())])).parquet(staging)
     ends = dealt.groupBy("__slice").agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count("*").alias("n")).orderBy("__slice").collect()
-    back, newest = 0, None
+    most = max((e.n for e in ends), default=0)
+    back, newest, files, stored = 0, None, max(1, -(-most // FILE_ROWS)), _files(spark, path)
     for e in ends:                                          # a row of the driver's a slice
-        files = max(1, -(-e.n // FILE_ROWS))
         part = dealt.where(F.col("__slice") == e["__slice"]).drop("__slice")
-        (part.coalesce(1) if files == 1 else part.repartition(files, *([key] if key else []))).write.mode("append").parquet(path)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+        stored += files
+        for _ in range(stored - _files(spark, path)):       # a slice of very few rows: empty files fill it up
+            spark.createDataFrame([], df.schema).write.mode("append").parquet(path)
         if e.lo is not None:
-            newest = max(e.hi if files > 1 else newest or e.lo, newest or e.lo)
-            back, newest = max(back, newest - e.lo), max(newest, e.hi)
+            back, newest = max(back, 0 if newest is None else newest - e.lo), e.hi if newest is None else max(newest, e.hi)
     if close_after:
         end = df.agg((F.max(ts) + F.expr(f"interval {close_after}")).alias(ts))
         end.select(*[F.col(c) if c == ts else F.lit(True).alias(c) if c == CLOSING else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
                    ).write.mode("append").parquet(path)
-    return Replay(path, df.schema, f"{back // 1_000_000 + 1} seconds")
+    return Replay(path, df.schema, f"{back // 1_000_000 + 1} seconds", files, max(FEWEST_BUCKETS, -(-most // BUCKET_ROWS)))
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(at)) if fs.exists(at) else 0
 
 
 def run_to_table(out: DataFrame, mode: str = "append", checkpoint: str | None = None, path: str | None = None,
