@@ -31,7 +31,7 @@ def processed(t, df, columns: dict, proc: P.Ordered, schema: str):
     """``proc`` over a replay of ``df`` (with columns run_id, sample_id and ts) and further ``columns``."""
     r = replayed(t, df)
     rows = r.stream(t.spark).select(K, "ts", CLOSING, "sample_id", "t_s", *[c.alias(n) for n, c in columns.items()])
-    return run(t, P.apply(rows, proc, schema, lateness=r.lateness))
+    return run(t, P.apply(rows, proc, schema, lateness=r.lateness, buckets=r.buckets))
 
 
 def windowed(t, df, make):
@@ -85,16 +85,16 @@ def _(t):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     middle = t.telemetry.agg(F.percentile_approx(us, 0.5)).first()[0]
     checkpoint, folder = scratch(t.spark, "restart-checkpoint"), scratch(t.spark, "restart-out")
-    path, out = None, None
+    path, out, buckets = None, None, None
     for k, part in enumerate((us <= middle, us > middle, None)):
         if part is not None:
             r = store_slices(t.telemetry.where(part), "ts", K, CLOSE if k == 1 else None, slices=2, append_to=path)
-            path = r.path
+            path, buckets = r.path, buckets or r.buckets
         rows = r.stream(t.spark)
         rows = rows.withColumn(CLOSING, F.col(CLOSING) if CLOSING in rows.columns else F.lit(False))
         rows = rows.select(K, "ts", CLOSING, "sample_id", "t_s", (F.col("ua") >= 6).alias("over"))
         proc = P.Sustained(K, ORDER, 7200.0, ["sample_id"])
-        out = run_to_table(P.apply(rows, proc, SUSTAINED, lateness="1 day"), checkpoint=checkpoint, path=folder, state_partitions=4 + k)
+        out = run_to_table(P.apply(rows, proc, SUSTAINED, lateness="1 day", buckets=buckets), checkpoint=checkpoint, path=folder, state_partitions=4 + k)
     return rounded(out, 3)
 
 
@@ -156,7 +156,7 @@ def _(t):
     r = store_slices(blocks, "ts", K, "7300 days", ARRIVAL)
     rows = r.stream(t.spark).select(K, "ts", CLOSING, F.col("sample_id").alias("block_idx"), "sample_id", "t_s", F.col("type").alias("kind"),
                                     F.when(F.col("type") == "cycle", F.col("cycles_done")).alias("cycles"))
-    return run(t, P.apply(rows, marks, "run_id bigint, block_idx bigint, milestone bigint, cycles_total bigint", lateness=r.lateness))
+    return run(t, P.apply(rows, marks, "run_id bigint, block_idx bigint, milestone bigint, cycles_total bigint", lateness=r.lateness, buckets=r.buckets))
 
 
 @query("x6_timed_count_stream", oracle(QR.TIMED + " SELECT run_id, round(cy,3) AS cycles FROM d", "telemetry"))
