@@ -50,7 +50,7 @@ def _(t):
     return t.telemetry.select("sample_id", X.frame_name("run", F.col("sample_id") % 60, F.col("kv") + 0.00003, F.col("i_status")).alias("txt"))
 
 
-@query("f_capture_name", """SELECT event_id, regexp_replace(event_type||' x','[^A-Za-z0-9_-]','_','g')||'_'||lpad(CAST(event_id AS VARCHAR),4,'0')||'_'||strftime(ts,'%Y%m%d-%H%M%S')||
+@query("f_capture_name", """SELECT event_id, regexp_replace(event_type||' x','[^A-Za-z0-9_-]','_','g')||'_'||printf('%04d',event_id)||'_'||strftime(ts,'%Y%m%d-%H%M%S')||
   CASE WHEN event_id%3=0 THEN '' ELSE '_'||translate(printf('%g',-value)||'V','-.','mp') END||'.png' AS txt FROM events""")
 def _(t):
     v = F.when(F.col("event_id") % 3 != 0, -F.col("value"))
