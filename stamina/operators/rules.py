@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stamina.functions.units import compare
-from stamina.operators.ordered import Ordered
+from stamina.operators.ordered import Ordered, hinted
 
 # The default rule set (tier, rule_id, metric, op, threshold, sustain_s, flag_at, action).
 DEFAULT_RULES = [
@@ -65,9 +65,11 @@ def to_metrics(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
 
 
 def match_rules(metrics: DataFrame, rules: DataFrame, tier: str) -> DataFrame:
-    """Metric rows next to their rule (a rule pack is a configuration of a few rows)."""
-    pack = rules.where(F.col("tier") == tier)
-    return metrics.join(pack, "metric")
+    """Metric rows next to their rule (a rule pack is a configuration of a few rows).
+
+    There are as many metrics as rules, so a shuffle by metric would put all rows into a few tasks: the pack is broadcast.
+    """
+    return metrics.join(hinted(rules.where(F.col("tier") == tier)), "metric")
 
 
 def fire_plain(metrics: DataFrame, rules: DataFrame, tier: str) -> DataFrame:

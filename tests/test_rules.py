@@ -187,3 +187,17 @@ def test_worked_examples(spark):
         L.dose(F.lit("dc_hold"), F.lit(0), F.lit(1.0), F.lit("sine"), F.lit(20.0), F.lit(0.0)).alias("none")).first()
     assert v.ipk == pytest.approx(117.8, abs=0.05) and v.edge == pytest.approx(20 / 1950)
     assert (v.life, v.floor, v.dose, v.none) == (520, 40, 100.0, 0.0)
+
+
+def test_rules_are_broadcast_to_the_metrics(spark):
+    """A shuffle by metric would give as many tasks as rules."""
+    m = spark.range(0, 4000, 1, 8).select("id", F.element_at(F.array(F.lit("ipk_frac"), F.lit("env_out_of_band")), (F.col("id") % 2 + 1).cast("int")).alias("metric"),
+                                          (F.col("id") % 4 / 2).alias("value"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.fire_plain(m, R.default_rules(spark), "medium")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {(r.metric, r["count"]) for r in out.groupBy("metric").count().collect()} == {("ipk_frac", 1000), ("env_out_of_band", 1000)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
