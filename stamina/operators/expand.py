@@ -83,9 +83,14 @@ def snapshot_plan(profiles: DataFrame, steps: DataFrame, keys: list[str], settle
 def commanded_level(points: DataFrame, segs: DataFrame, keys: list[str], t: str) -> DataFrame:
     """Commanded kV at each time: 0 before the first segment, linear in ramps, last level after the end.
 
-    Segments of a key do not overlap, so the one a time lies in is the last that begins by then.
+    Segments of a key do not overlap, so the one a time lies in is the last that begins by then. Where one without length stands at the
+    end, its level is the last. Single numbers as orderings let Spark aggregate by hash: a struct would sort all segments of a task.
     """
-    ends = segs.groupBy(*keys).agg(F.max("t1").alias("__end"), F.max_by("to_kv", F.struct("t1", "t0")).alias("__final"))
+    long, at = F.col("t1") > F.col("t0"), F.col("t1")
+    ends = segs.groupBy(*keys).agg(
+        F.max("t1").alias("__end"), F.max_by("to_kv", F.when(long, at)).alias("__final"),
+        F.max(F.when(~long, at)).alias("__point"), F.max_by("to_kv", F.when(~long, at)).alias("__point_kv"))
+    ends = ends.select(*keys, "__end", F.when(F.col("__point") == F.col("__end"), F.col("__point_kv")).otherwise(F.col("__final")).alias("__final"))
     begun = segs.where("t1 > t0").select(*keys, F.col("t0").alias(t), F.struct("kind", "t0", "t1", "from_kv", "to_kv").alias("__seg_box"))
     j = asof_join(points, begun, keys, t, {"__s": F.col("__seg_box")}, [])
     s = F.col("__s")

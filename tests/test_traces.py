@@ -115,3 +115,14 @@ def test_rolling_median_of_one_hot_window_is_linear(spark):
     out = T.rolling_median(df, ["k"], "x", "y", "med", 4.0)
     assert out.columns == ["k", "x", "y", "med"] and out.count() == 300_000
     assert [r[0] for r in out.select("med").distinct().collect()] == [float(np.median(np.arange(300_000) * 7919 % 300_007))]
+
+
+def test_commanded_level_sorts_no_segments_for_the_last_level(spark):
+    segs = spark.createDataFrame([(1, "ramp", 0.0, 5.0, 0.0, 2.0), (1, "hold", 5.0, 9.0, 2.0, 2.0), (1, "hold", 9.0, 9.0, 7.0, 7.0),
+                                  (2, "hold", 0.0, 4.0, 3.0, 3.0), (2, "hold", 2.0, 2.0, 8.0, 8.0)],
+                                 "id int, kind string, t0 double, t1 double, from_kv double, to_kv double")
+    pts = spark.createDataFrame([(1, 2.5), (1, 8.0), (1, 9.0), (1, 50.0), (2, 3.0), (2, 4.0), (2, -1.0)], "id int, t double")
+    out = E.commanded_level(pts, segs, ["id"], "t")
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.t): r.kv_at for r in out.collect()}
+    assert got == {(1, 2.5): 1.0, (1, 8.0): 2.0, (1, 9.0): 7.0, (1, 50.0): 7.0, (2, 3.0): 3.0, (2, 4.0): 3.0, (2, -1.0): 0.0}
