@@ -27,7 +27,7 @@ def _event_folders(t):
     CASE WHEN event_id%3>0 THEN props END AS message FROM events"""))
 def _(t):
     path = _event_folders(t)
-    d = R.run_table(t.spark, f"{path}/*/*/*.csv", R.EVENTS)
+    d = R.run_table(t.spark, f"{path}/*/*", R.EVENTS, files="*.csv")
     return d.select(F.regexp_replace("run_id", "^__r=", "").alias("run"), "event_idx", "wall_s", "action", "message")
 
 

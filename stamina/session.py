@@ -12,11 +12,12 @@ DEFAULT_ROWS_PER_SEGMENT = 1_000_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings: adaptive plans with skew handling, UTC, and full clustering keys.
+    """Runtime settings: adaptive plans with skew handling, UTC, full clustering keys, and listings in few tasks.
 
     ``requireAllClusterKeysForDistribution`` matters for skew: without it Spark
     accepts rows hashed on the entity key alone for a window over
-    (entity, segment), which puts a hot entity back into one task.
+    (entity, segment), which puts a hot entity back into one task. Without a bound
+    on the tasks of a listing Spark starts one for each path, up to 10,000.
     """
     for key, value in {
         "spark.sql.adaptive.enabled": "true",
@@ -24,6 +25,7 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.requireAllClusterKeysForDistribution": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
     }.items():
         spark.conf.set(key, value)
     ship()

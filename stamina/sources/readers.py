@@ -34,7 +34,6 @@ TEXT_COLUMNS = set("loop_path type role t_start_iso t_end_iso counting waveform
 ANCHOR_FLOATS = ("diam_px diam_mm mm_per_px auto_diam_px spread_px spread_pct sigma_pct se_pct fit_circ fit_conf fit_resid_px fit_arc_cov "
                  "prev_diam_px prev_implied_px").split()
 ANCHOR_INTS = "n_rounds fit_n_edge reanchor_rows reanchor_blanked".split()
-RUN_PATH = r"([^/]+)/([^/]+)/[^/]+$"
 
 
 def text_schema(columns: list[str]) -> T.StructType:
@@ -48,12 +47,15 @@ def typed(df: DataFrame, columns: list[str]) -> DataFrame:
         for c in columns if c in df.columns])
 
 
-def run_table(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
+def run_table(spark: SparkSession, pattern: str, columns: list[str], files: str | None = None) -> DataFrame:
     """All files of one table over many run folders, with specimen and run from the path.
 
-    A pattern without matches is an empty table. A byte order mark in the header is ignored.
+    A pattern without matches is an empty table. A byte order mark in the header is ignored. With ``files``, a pattern of file names,
+    ``pattern`` names the run folders, which tasks then list: for very many runs without folders of their own below.
     """
     reader = spark.read.schema(text_schema(columns)).option("header", True).option("enforceSchema", False)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     try:
         raw = reader.csv(pattern)
     except Exception as e:  # only a missing path means "no table"
@@ -61,9 +63,14 @@ def run_table(spark: SparkSession, pattern: str, columns: list[str]) -> DataFram
             raise
         raw = spark.createDataFrame([], text_schema(columns))
         return typed(raw.withColumns({"specimen_id": F.lit(None).cast("string"), "run_id": F.lit(None).cast("string")}), columns)
-    path = F.col("_metadata.file_path")
-    return typed(raw.select("*", F.regexp_extract(path, RUN_PATH, 1).alias("specimen_dir"),
-                            F.regexp_extract(path, RUN_PATH, 2).alias("run_id")), columns)
+    return typed(raw.select("*", folder_above(3).alias("specimen_dir"), folder_above(2).alias("run_id")), columns)
+
+
+def folder_above(at: int) -> Column:
+    """The part of a row's file path, counted from its end. No regular expression: one that is only bound to the end of the path is tried
+    from each of its characters, for each row."""
+    tail = F.substring_index("_metadata.file_path", "/", -at)
+    return F.substring_index(tail, "/", 1)
 
 
 def pick_run_file(files: DataFrame) -> DataFrame:

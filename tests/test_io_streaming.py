@@ -26,6 +26,24 @@ def test_run_folders_with_byte_order_mark(spark):
     assert readers.run_table(spark, f"{root}/none/*.csv", readers.TELEMETRY).count() == 0
 
 
+def test_many_run_folders_are_listed_in_few_tasks(spark):
+    root = folder()
+    for k in range(300):
+        d = os.path.join(root, f"sp{k % 3}", f"LC_{k}")
+        os.makedirs(d)
+        with open(os.path.join(d, "data.csv"), "w", encoding="utf-8") as f:
+            f.write(",".join(readers.TELEMETRY) + f"\n{k}.5,2026-01-01T00:00:00,1.0,,,ok,ok,\n")
+        open(os.path.join(d, "notes.txt"), "w").close()
+    for at, more in (("*/*/*.csv", {}), ("*/*", {"files": "*.csv"})):
+        spark.sparkContext.setJobGroup(at, "listing")
+        t = readers.run_table(spark, f"{root}/{at}", readers.TELEMETRY, **more)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup(at) for s in tracker.getJobInfo(j).stageIds]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 256
+        assert {(r.specimen_dir, r.run_id, r.t_s) for r in t.collect()} == {(f"sp{k % 3}", f"LC_{k}", k + 0.5) for k in range(300)}
+
+
 def test_state_files_are_quarantined(spark):
     root = folder()
     for name, text in (("a", '{"schema": "s/1",\n "run": 1}'), ("b", '{"schema": "t/9", "run": 2}'), ("c", "{broken")):
